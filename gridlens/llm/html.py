@@ -35,9 +35,18 @@ CONTENT_TAGS = frozenset("article main".split())
 BOILER_WORDS = ("nav", "menu", "footer", "header", "sidebar", "advert", "banner", "cookie", "notice", "promo", "share", "social", "related", "comment", "breadcrumb", "popup", "modal", "subscribe", "newsletter", "login", "widget", "sponsor", "consent", "toolbar", "pagination", "copyright", "masthead", "disclaimer")
 BOILER_NAMES = frozenset(("ad", "ads", "adv", "hidden", "complementary", "contentinfo", "navigation", "search", "alert"))
 CONTENT_WORDS = ("article", "content", "entry", "post", "story", "main", "body-text")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCALE = 100
 
 
+def named(attrs: list[tuple[str, str | None]]) -> tuple[int, int]:
+    """What class, id, role and visibility say: (boilerplate marks, content marks)."""
+    names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+    hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
+    boiler = any(w in names for w in BOILER_WORDS) or not BOILER_NAMES.isdisjoint(names.replace("-", " ").replace("_", " ").split())
+    return 2 * boiler + 9 * hidden, int(any(w in names for w in CONTENT_WORDS))
+
+
 @dataclass
 class Block:
     text: str
@@ -55,13 +64,12 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int, int, int]] = []  # tag, node number, boiler marks, content marks
-        self.nodes, self.skip, self.linked, self.words, self.in_links = 0, 0, 0, [], 0
+        self.nodes, self.skip, self.linked, self.heads, self.words, self.in_links = 0, 0, 0, 0, [], 0
 
     def _flush(self) -> None:
-        text = " ".join("".join(self.words).split())
-        if text:
+        if self.words and (text := " ".join("".join(self.words).split())):
             top = self.stack[-1] if self.stack else ("", 0, 0, 0)
-            self.blocks.append(Block(text, tuple(x[1] for x in self.stack if x[0] not in INLINE), top[2], top[3], min(self.in_links, len(text)), any(len(x[0]) == 2 and x[0][0] == "h" and x[0][1].isdigit() for x in self.stack)))
+            self.blocks.append(Block(text, tuple(x[1] for x in self.stack if x[0] not in INLINE), top[2], top[3], min(self.in_links, len(text)), self.heads > 0))
         self.words, self.in_links = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -81,24 +89,35 @@ class Blocks(HTMLParser):
             return
         self.nodes += 1
         boiler, content = self.stack[-1][2:] if self.stack else (0, 0)
-        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-        said = {k for k, _ in attrs} & {"hidden"} or any(k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "") for k, v in attrs)
-        boiler += 3 * (tag in BOILER_TAGS) + 2 * (any(w in names for w in BOILER_WORDS) or not BOILER_NAMES.isdisjoint(names.replace("-", " ").replace("_", " ").split())) + 9 * bool(said)
-        content += 2 * (tag in CONTENT_TAGS) + any(w in names for w in CONTENT_WORDS)
+        boiler += 3 * (tag in BOILER_TAGS)
+        content += 2 * (tag in CONTENT_TAGS)
+        if attrs and tag not in ("a", "html", "body"):
+            less, more = named(attrs)
+            boiler, content = boiler + less, content + more
         self.stack.append((tag, self.nodes, boiler, content))
         self.linked += tag == "a"
+        self.heads += tag in HEADINGS
+
+    def updatepos(self, i, j):
+        return j  # line numbers are not asked for
 
     def _close_implied(self, tag: str) -> None:
         """A block element ends an open paragraph; list items, cells and rows end their like."""
-        if any(x[0] == "p" for x in self.stack[-8:]):
+        near = [x[0] for x in self.stack[-8:]]
+        if "p" in near:
             self._pop("p")
-        elif tag in CLOSED_BY and any(x[0] in CLOSED_BY[tag] for x in self.stack[-3:]):
-            self._pop(next(x[0] for x in reversed(self.stack) if x[0] in CLOSED_BY[tag]))
+        elif tag in CLOSED_BY:
+            self._pop_nearest(near[-3:], CLOSED_BY[tag])
+
+    def _pop_nearest(self, near: list[str], tags: set[str]) -> None:
+        if found := next((x for x in reversed(near) if x in tags), None):
+            self._pop(found)
 
     def _pop(self, tag: str) -> None:
         while self.stack:
             name = self.stack.pop()[0]
             self.linked -= name == "a"
+            self.heads -= name in HEADINGS
             if name == tag:
                 return
 
@@ -108,7 +127,7 @@ class Blocks(HTMLParser):
             return
         if tag not in INLINE:
             self._flush()
-        if any(x[0] == tag for x in self.stack):
+        if self.stack and self.stack[-1][0] == tag or any(x[0] == tag for x in self.stack):
             self._pop(tag)
 
     def handle_data(self, data):
