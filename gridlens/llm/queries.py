@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.llm import chat, html, licenses, packing, quality, warc
+from gridlens.llm import chat, html, licenses, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,14 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model)
+    held = F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "window_diff")
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.as_responses(table(spark, sf_dir, "pages")), "page_id")
     return records.withColumnRenamed("key", "page_id").withColumn("content", F.decode("content", "UTF-8"))
