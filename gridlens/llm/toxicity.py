@@ -10,8 +10,9 @@ dictionaries, so the score is a probability and 0.5 is the threshold.
 Both dictionaries share a base trained on ordinary windows and differ in a tail
 of equal size: more ordinary windows in one, toxic strings in the other. The
 toxic tail is trained on the strings that toxic texts hold and ordinary texts of
-the sample lack. A carrier that either dictionary holds goes before each window,
-so that even a window of one word is compressed and not stored.
+the sample lack. A carrier that either dictionary holds goes before and after
+each window, so that even a window of one word is compressed and not stored, and
+differences are taken per byte of window.
 
 Only `text` is an input of a score. Null and empty texts have no windows and get
 the curve's value for no difference. Repeated ids are scored row by row. Without
@@ -33,6 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVEL = 3
+#: a difference is counted in bytes saved per so many bytes of window.
+SHARE = 20
+STEPS = range(5, 18)
 GRAM = 6
 CARRIER = bytes(range(1, 32))
 WORD = re.compile(r"\w+")
@@ -85,8 +89,9 @@ class Distance:
         if found is None:
             if len(self.known) >= self.most:
                 self.known.clear()
-            data = CARRIER + b" " + window.encode("utf-8", "surrogatepass") + b" "
-            found = self.known[window] = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
+            data = CARRIER + b" " + window.encode("utf-8", "surrogatepass") + b" " + CARRIER
+            d = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
+            found = self.known[window] = SHARE * d // (len(data) - 2 * len(CARRIER))
         return found
 
     def features(self, text: str | None) -> list[int]:
@@ -126,25 +131,25 @@ def toxic_strings(toxic: list[str], ordinary: list[str], ratio: float = 20.0, le
 
 def _design(features: np.ndarray) -> np.ndarray:
     """One step for each value of the largest difference, and the next two as they are."""
-    top = np.minimum(features[:, 0], 12)
-    return np.c_[np.ones(len(features)), *[top >= k for k in range(3, 13)], np.minimum(features[:, 1:], 12) / 4.0].astype(float)
+    return np.c_[np.ones(len(features)), *[features[:, 0] >= k for k in STEPS], np.minimum(features[:, 1:], STEPS[-1]) / 6.0].astype(float)
 
 
 def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
     """Logistic regression by Newton's method; weights other than the intercept stay at or above 0."""
-    x, w = _design(features), np.zeros(13)
-    free = np.ones(13, bool)
+    x = _design(features)
+    n = x.shape[1]
+    w, free = np.zeros(n), np.ones(n, bool)
     for _ in range(4):
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            pull = np.r_[0.0, np.full(12, ridge)]
+            pull = np.r_[0.0, np.full(n - 1, ridge)]
             grad = (x.T @ (p - labels) + pull * w)[free]
             hess = ((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-6))[np.ix_(free, free)]
             step = np.linalg.solve(hess, grad)
             w[free] -= np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-6:
                 break
-        low = (w < 0) & (np.arange(13) > 0)
+        low = (w < 0) & (np.arange(n) > 0)
         if not low.any():
             break
         free &= ~low
