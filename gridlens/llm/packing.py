@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -62,34 +63,70 @@ def fill_window(counts: np.ndarray, capacity: int) -> dict[int, int]:
     return taken
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: fixed value: the tokenizer's own cut of a text into pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: the visible character that stands for each byte: itself, or the next one from 256 on.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_VISIBLE = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+_END = np.array([END_ID], "<u4").tobytes()
 
 
 class Encoder:
-    """Ids of whole texts. White space only separates words for this tokenizer, so the
-    ids of a text are those of its words on end, and each different word is encoded once."""
-
-    def __init__(self, path: str, most: int = 200_000):
-        self.tool, self.most, self.known = _tokenizer(path), most, {}
+    """Ids of whole texts, as little-endian uint32.
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ") if isinstance(text, str) else []
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > self.most and known:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            parts = [np.asarray(e.ids, np.uint32) for e in self.tool.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, parts, strict=True))
-        return np.concatenate([*map(known.__getitem__, words), _END]) if words else _END
+    White space only separates words for this tokenizer, so the ids of a text are
+    those of its words on end. Each different word is cut into pieces once and
+    each different piece is encoded once; both memories are bounded. Words with
+    characters beyond plain Latin go to the tokenizer as they are.
+    """
 
+    def __init__(self, path: str, most: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.tool, self.most, self.words, self.pieces = Tokenizer.from_file(path), most, {}, {}
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE)
+        self.pieces[piece] = found = b"".join([t.id.to_bytes(4, "little") for t in self.tool.model.tokenize(text)])
+        return found
+
+    def _word(self, word: str) -> bytes:
+        pieces = self.pieces
+        if len(pieces) >= self.most:
+            pieces.clear()
+        low = word.lower()
+        if low.isascii() and low[:-1].isalpha():
+            if low.isalpha():
+                return pieces[low] if low in pieces else self._piece(low)
+            if low[-1] in ".,":
+                word, dot = low[:-1], low[-1]
+                return (pieces[word] if word in pieces else self._piece(word)) + (pieces[dot] if dot in pieces else self._piece(dot))
+        if not word.isprintable() or max(word, default="") >= "\u0250":
+            return np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([pieces[p] if p in pieces else self._piece(p) for p in PIECE.findall(low)])
 
-_END = np.array([END_ID], np.uint32)
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not isinstance(text, str):
+            return np.frombuffer(_END, "<u4")
+        if "<|" in text:  # perhaps a special token's string
+            return np.array([*self.tool.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+        words, known = text.replace("\n", " ").split(" "), self.words
+        try:
+            ids = b"".join([known[w] for w in words])
+        except KeyError:
+            if len(known) >= self.most:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+            ids = b"".join([known[w] for w in words])
+        return np.frombuffer(ids + _END, "<u4")
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: later tasks find the words of earlier ones."""
+    return Encoder(path)
 
 
 class Packer:
@@ -156,7 +193,7 @@ class Packer:
     def _emit(self, pieces: list[tuple]) -> None:
         at = 0
         for doc, start, ids, n in pieces:
-            self.out.append((doc, start, len(ids), ids.astype("<u4").tobytes(), n, self.next, at))
+            self.out.append((doc, start, len(ids), ids.tobytes(), n, self.next, at))
             at += len(ids)
         self.next += 1
 
@@ -169,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer = Encoder(tokenizer), Packer(capacity, held_tokens, TaskContext.get().partitionId() << 32)
+        encode, packer = encoder(tokenizer), Packer(capacity, held_tokens, TaskContext.get().partitionId() << 32)
 
         def rows() -> pd.DataFrame:
             found, packer.out = packer.out, []
