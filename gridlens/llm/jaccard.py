@@ -7,7 +7,7 @@ representative of each class goes on. The join then runs in three steps:
 1. Routing. By the prefix principle two linked sets share a shingle among the
    first n - ceil(4n/5) + 1 of either, in any fixed order of shingles. The order
    used puts shingles that are frequent in some part of the corpus last, so that
-   shared passages rarely route. Buckets are the shingles with two sets or more.
+   shared passages rarely route; only the others are counted in one shuffle. Buckets are the shingles with two sets or more.
 2. Neighbours. Sets that lie next to each other in a bucket (ordered by a
    min-hash and size) are compared, and what links is joined into components.
    Groups of copies collapse here with work in proportion to their size.
@@ -43,7 +43,7 @@ from gridlens.session import stored
 N = 5
 NUM, DEN = 4, 5
 LEAVES = 16
-SHAPE = "doc_id long, n_shingles long, key_a long, key_b long, minhash long, prefix array<long>, bits binary"
+SHAPE = "doc_id long, n_shingles long, key_a long, key_b long, minhash long, prefix array<long>, hot_prefix array<long>, bits binary"
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -121,25 +121,22 @@ def shapes(docs: DataFrame, last: np.ndarray, id_col: str, text_col: str) -> Dat
                 s = text.shingle_set(h[i:j], N)
                 n = len(s)
                 if not n:
-                    rows.append((doc, 0, 0, 0, 0, [], b""))
+                    rows.append((doc, 0, 0, 0, 0, [], [], b""))
                     continue
                 m = text.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                rows.append((doc, n, int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64)), int(m.min().astype(np.int64)), _prefix(s, last), bitmap(s).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key_a", "key_b", "minhash", "prefix", "bits"]).astype({"doc_id": "Int64"})
+                rows.append((doc, n, int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64)), int(m.min().astype(np.int64)), *_prefix(s, last), bitmap(s).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key_a", "key_b", "minhash", "prefix", "hot_prefix", "bits"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(shape, SHAPE)
 
 
-def _prefix(s: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The shingles a set is routed by: the first of the order (not frequent, hash)."""
+def _prefix(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles a set is routed by, the first of the order (not frequent, hash): plain and frequent ones."""
     n = len(s)
     take = n - -(-NUM * n // DEN) + 1
-    if len(last):
-        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-        hot = last[at] == s
-        if hot.any():
-            s = np.concatenate([s[~hot], s[hot]])
-    return s[:take].view(np.int64)
+    hot = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(n, bool)
+    plain = s[~hot][:take]
+    return plain.view(np.int64), s[hot][: take - len(plain)].view(np.int64)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -340,173 +337,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blo
     last = frequent(docs, id_col, text_col)
     shape = stored(shapes(docs, last, id_col, text_col), "shapes")
     some = shape.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    reps = stored(
-        some.select("doc_id", "n_shingles", "key_a", "key_b", "minhash", "prefix", "bits")
-        .join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n2"), F.col("key_a").alias("a2"), F.col("key_b").alias("b2")), "doc_id")
-        .filter("n_shingles = n2 and key_a = a2 and key_b = b2")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "minhash", "prefix", "bits"),
-        "reps",
-    )
-    tokens = reps.select(F.explode("prefix").alias("token"), "node", "n", "minhash")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = stored(tokens.join(shared, "token"), "buckets")
-    spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 1000))
-    order = Window.partitionBy("token", spread).orderBy("minhash", "n", "node")
-    near = buckets.select("node", F.lag("node").over(order).alias("other"), "n", F.lag("n").over(order).alias("n2")).filter(
-        F.col("other").isNotNull() & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
-    )
-    pairs = stored(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct(), "near")
-    edges = stored(verified(pairs, docs, id_col, text_col), "edges")
-    comp = stored(components.connected(edges), "components")
-    placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    todo = [(i, j, lx, ly)]
-    while todo:
-        i, j, lx, ly = todo.pop()
-        keep = may_link(x, i, lx, y, j, ly)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        if lx == ly == 0:
-            found_i.append(x.order[i])
-            found_j.append(y.order[j])
-            continue
-        if lx >= ly:
-            i, j = _below(i, j, len(x.bits[lx - 1]))
-            lx -= 1
-        else:
-            j, i = _below(j, i, len(y.bits[ly - 1]))
-            ly -= 1
-        todo += [(i[k : k + 65536], j[k : k + 65536], lx, ly) for k in range(0, len(i), 65536)]
-    none = np.empty(0, np.int64)
-    return (np.concatenate(found_i) if found_i else none), (np.concatenate(found_j) if found_j else none)
-
-
-def _below(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The children of nodes i, each with its partner j."""
-    kids = (i[:, None] * LEAVES + np.arange(LEAVES)).ravel()
-    partners = np.repeat(j, LEAVES)
-    return kids[kids < n], partners[kids < n]
-
-
-def tree_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes in different components that may link, from two blocks or within one."""
-    same = right is None
-    right = left if same else right
-    for wa, a in left.groupby(left["bits"].str.len(), sort=False):
-        for wb, b in right.groupby(right["bits"].str.len(), sort=False):
-            if max(wa, wb) > 2 * min(wa, wb) or same and wa > wb:
-                continue
-            x, y = (_tree(t, min(wa, wb)) for t in (a, b))
-            i, j = dual_traversal(x, y)
-            na, nb = a["node"].to_numpy()[i], b["node"].to_numpy()[j]
-            keep = a["comp"].to_numpy()[i] != b["comp"].to_numpy()[j]
-            if same and wa == wb:
-                keep &= na < nb
-            yield na[keep], nb[keep]
-
-
-def _tree(block: pd.DataFrame, width: int) -> Tree:
-    bits = np.stack([_folded(np.frombuffer(x, np.uint8), width) for x in block["bits"]])
-    return Tree(bits, block["n"].to_numpy(np.int64), np.lexsort((block["minhash"].to_numpy(), block["n"].to_numpy())))
-
-
-def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap at a smaller width: positions are taken modulo it."""
-    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
-
-
-def bound(x: bytes, y: bytes, nx: int, ny: int) -> bool:
-    """The leaf bound for one pair."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    width = min(len(a), len(b))
-    a, b = _folded(a, width), _folded(b, width)
-    lone = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
-    return lone >= least_overlap(nx, ny)
-
-
-def _small(rows: pd.DataFrame, group: np.ndarray, most: int) -> set[tuple[int, int]]:
-    """Pairs of many buckets of one node each (up to LEAVES sets), all at once."""
-    node, comp, n, bits = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["bits"].to_numpy()
-    found, tried = set(), {}
-    for d in range(1, most):
-        i = np.flatnonzero(group[:-d] == group[d:])
-        i = i[(comp[i] != comp[i + d]) & (DEN * np.minimum(n[i], n[i + d]) >= NUM * np.maximum(n[i], n[i + d]))]
-        for x, y in zip(i.tolist(), (i + d).tolist(), strict=True):
-            pair = (min(node[x], node[y]), max(node[x], node[y]))
-            if pair not in tried:
-                tried[pair] = bound(bits[x], bits[y], int(n[x]), int(n[y]))
-                if tried[pair]:
-                    found.add(pair)
-    return found
-
-
-def _blocks(rows: pd.DataFrame) -> set[tuple[int, int]]:
-    """Pairs of all buckets and pairs of blocks in `rows`, which lie together by key."""
-    key = rows[["token", "i", "j"]].to_numpy()
-    group = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(1))]
-    size = np.bincount(group)
-    small = size[group] <= LEAVES
-    found = _small(rows[small], group[small], LEAVES) if small.any() else set()
-    for _, part in rows[~small].groupby(group[~small], sort=False):
-        i, j = part["i"].iloc[0], part["j"].iloc[0]
-        left, right = (part, None) if i == j else (part[part["s"] == i], part[part["s"] == j])
-        if len(left) and (right is None or len(right)):
-            for a, b in tree_pairs(left, right):
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-    return found
-
-
-def across(buckets: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that a bucket's signature trees leave over.
-
-    Sets are dealt to blocks by hash. A bucket of g blocks gives g (g + 1) / 2
-    keys; a set goes to g of them. A task reads its keys in order and holds one.
-    """
-    salted = buckets.withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    routed = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "token", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "node", "comp", "n", "minhash", "bits"
-    )
-
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(sorted(_blocks(rows)) if len(rows) else [], columns=["a", "b"], dtype="int64")
-
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows[["token", "i", "j"]].iloc[-1]
-            open_ = ((rows["token"] == last["token"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])).to_numpy()
-            held = rows[open_]
-            yield pairs(rows[~open_].reset_index(drop=True))
-        if held is not None:
-            yield pairs(held.reset_index(drop=True))
-
-    return routed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInPandas(sweep, "a long, b long").distinct()
-
-
-def differing(buckets: DataFrame) -> DataFrame:
-    """Buckets in which different components meet; of buckets with the same members one."""
-    marks = buckets.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("k")).filter("lo < hi")
-    return marks.groupBy("x", "y", "k").agg(F.min("token").alias("token")).select("token")
-
-
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (its own id without links)."""
-    last = frequent(docs, id_col, text_col)
-    shape = stored(shapes(docs, last, id_col, text_col), "shapes")
-    some = shape.filter("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    reps = stored(
-        some.select("doc_id", "n_shingles", "key_a", "key_b", "minhash", "prefix", "bits")
-        .join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n2"), F.col("key_a").alias("a2"), F.col("key_b").alias("b2")), "doc_id")
-        .filter("n_shingles = n2 and key_a = a2 and key_b = b2")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "minhash", "prefix", "bits"),
-        "reps",
-    )
-    tokens = reps.select(F.explode("prefix").alias("token"), "node", "n", "minhash")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = stored(tokens.join(shared, "token"), "buckets")
+    classes = stored(some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
+    chosen = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "key_a", "key_b")
+    routes = some.select("doc_id", "prefix", "hot_prefix").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("prefix").alias("prefix"), F.first("hot_prefix").alias("hot_prefix"))
+    plain = routes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
+    hot = some.select("doc_id", "hot_prefix").filter(F.size("hot_prefix") > 0).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("hot_prefix").alias("token"), F.col("doc_id").alias("node")).distinct()
+    shared = plain.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1").drop("k")
+    routed = stored(shared.unionByName(hot), "routed")
+    reps = stored(some.select(F.col("doc_id").alias("node"), "n_shingles", "key_a", "key_b", "minhash").join(chosen, ["node", "key_a", "key_b"]).filter("n = n_shingles").groupBy("node").agg(F.first("n").alias("n"), F.first("minhash").alias("minhash")), "reps")
+    crowds = routed.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    buckets = stored(routed.join(crowds, "token").join(reps, "node"), "buckets")
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 1000))
     order = Window.partitionBy("token", spread).orderBy("minhash", "n", "node")
     near = buckets.select("node", F.lag("node").over(order).alias("other"), "n", F.lag("n").over(order).alias("n2")).filter(
@@ -516,8 +356,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blo
     edges = stored(verified(pairs, docs, id_col, text_col), "edges")
     comp = stored(components.connected(edges), "components")
     placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    todo = placed.join(differing(placed), "token").join(reps.select("node", "bits"), "node")
+    todo = placed.join(differing(placed), "token").join(some.select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"]), "node")
     more = stored(across(todo, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
     final = components.connected(edges.union(verified(more, docs, id_col, text_col)))
     rooted = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "key_a", "key_b", F.coalesce("comp", "rep").alias("component"))
