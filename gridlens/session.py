@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -38,3 +39,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def among(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """Rows of `df` with (left_semi) or without (left_anti) a partner in `ids`, or with its columns (inner, left).
+
+    The wide side stays where it is while `ids` has at most `most` rows: then it is
+    broadcast. Beyond that both sides are shuffled, and a hot key is split by AQE.
+    """
+    few = ids.count() <= most
+    return df.join(F.broadcast(ids) if few else ids, on, how)
