@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.llm import components, text
-from gridlens.session import stored
+from gridlens.session import among, stored
 
 N = 5
 NUM, DEN = 4, 5
@@ -148,21 +148,38 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
             yield pd.DataFrame({"node": batch["id"], "shingles": [text.shingle_set(h[i:j], N).tobytes() for i, j in zip(at, at[1:], strict=False)]})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return source.join(wanted.select(F.col("node").alias("id")), "id", "left_semi").mapInPandas(make, "node long, shingles binary").dropDuplicates(["node"])
+    return among(source, wanted.select(F.col("node").alias("id")), "id").mapInPandas(make, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(sets_of(docs, ends, id_col, text_col), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def paired(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with the facts of either end as <column>_a and <column>_b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+    return pairs
+
+
+def verified(pairs: DataFrame, shape: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets link. Pairs that the bitmaps rule out need no sets."""
+    facts = among(shape.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits"), stored(ends(pairs), f"{name}-ends"), "node").dropDuplicates(["node"])
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = [bound(x, y, n, m) for x, y, n, m in zip(batch["bits_a"], batch["bits_b"], batch["n_a"], batch["n_b"], strict=True)]
+            yield batch.loc[keep, ["a", "b"]]
+
+    likely = stored(paired(pairs, facts, ["n", "bits"]).filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).mapInPandas(sift, "a long, b long"), f"{name}-likely")
+    sets = sets_of(docs, stored(ends(likely), f"{name}-nodes"), id_col, text_col)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    return both.mapInPandas(check, "a long, b long")
+    return stored(paired(likely, stored(sets, f"{name}-sets"), ["shingles"]).mapInPandas(check, "a long, b long"), f"{name}-links")
 
 
 class Tree:
@@ -337,14 +354,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blo
     last = frequent(docs, id_col, text_col)
     shape = stored(shapes(docs, last, id_col, text_col), "shapes")
     some = shape.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "key_a", "key_b")
-    routes = some.select("doc_id", "prefix", "hot_prefix").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("prefix").alias("prefix"), F.first("hot_prefix").alias("hot_prefix"))
-    plain = routes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
-    hot = some.select("doc_id", "hot_prefix").filter(F.size("hot_prefix") > 0).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.explode("hot_prefix").alias("token"), F.col("doc_id").alias("node")).distinct()
+    classes = stored(some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")), "classes")
+    key = ["n_shingles", "key_a", "key_b"]
+    copies = stored(some.select("doc_id", *key).join(classes.filter("k > 1"), key).filter("doc_id <> rep").select("doc_id").distinct(), "copies")
+    single = among(some, copies, "doc_id", "left_anti")
+    plain = single.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
+    hot = single.select(F.explode("hot_prefix").alias("token"), F.col("doc_id").alias("node"))
     shared = plain.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1").drop("k")
     routed = stored(shared.unionByName(hot), "routed")
-    reps = stored(some.select(F.col("doc_id").alias("node"), "n_shingles", "key_a", "key_b", "minhash").join(chosen, ["node", "key_a", "key_b"]).filter("n = n_shingles").groupBy("node").agg(F.first("n").alias("n"), F.first("minhash").alias("minhash")), "reps")
+    reps = stored(single.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "minhash").dropDuplicates(["node"]), "reps")
     crowds = routed.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     buckets = stored(routed.join(crowds, "token").join(reps, "node"), "buckets")
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 1000))
@@ -353,12 +371,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blo
         F.col("other").isNotNull() & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
     )
     pairs = stored(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct(), "near")
-    edges = stored(verified(pairs, docs, id_col, text_col), "edges")
+    edges = verified(pairs, shape, docs, id_col, text_col, "near")
     comp = stored(components.connected(edges), "components")
     placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    todo = placed.join(differing(placed), "token").join(some.select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"]), "node")
-    more = stored(across(todo, block).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    final = components.connected(edges.union(verified(more, docs, id_col, text_col)))
+    todo = stored(placed.join(differing(placed), "token"), "todo")
+    bits = among(some.select(F.col("doc_id").alias("node"), "bits"), stored(todo.select("node").distinct(), "todo-nodes"), "node").dropDuplicates(["node"])
+    more = stored(across(todo.join(bits, "node"), block).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    final = components.connected(edges.union(verified(more, shape, docs, id_col, text_col, "far")))
     rooted = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "key_a", "key_b", F.coalesce("comp", "rep").alias("component"))
     return shape.join(rooted, ["n_shingles", "key_a", "key_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id")

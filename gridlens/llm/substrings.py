@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm import text
-from gridlens.session import stored
+from gridlens.session import among, stored
 
 K, WINDOW = 8, 10
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
@@ -216,14 +216,14 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame(of(held), columns=columns)
 
     chained = stored(links.repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "pos").mapInPandas(chain, "doc long, first_doc long, ps binary, fs binary"), "chains")
-    ends = chained.select("doc").union(chained.select("first_doc")).distinct()
+    ends = stored(chained.select("doc").union(chained.select("first_doc")).distinct(), "ends")
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, at = text.batch_words(batch["text"])
             yield pd.DataFrame({"doc": batch["doc_id"], "words": [h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]})
 
-    once = source.join(ends.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInPandas(sequences, "doc long, words binary")
+    once = among(source, ends.withColumnRenamed("doc", "doc_id"), "doc_id").mapInPandas(sequences, "doc long, words binary")
     words = stored(once.groupBy("doc").agg(F.max_by("words", F.length("words")).alias("words")), "words")
     both = chained.join(words, "doc").withColumnRenamed("words", "a").join(words.select(F.col("doc").alias("first_doc"), F.col("words").alias("b")), "first_doc")
 
@@ -255,7 +255,8 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
     A document of which nothing is left goes; one that had no words stays.
     """
     lists = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts__"))
-    joined = docs.join(lists.withColumnRenamed("doc_id", "id__"), docs[id_col].cast("long") == F.col("id__"), "left").drop("id__")
+    keyed = docs.withColumn("id__", F.col(id_col).cast("long"))
+    joined = among(keyed, stored(lists.withColumnRenamed("doc_id", "id__"), "cuts"), "id__", "left", most=200_000).drop("id__")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
