@@ -15,7 +15,7 @@ from gridlens.plans import inline
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-EVENTS = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_ms(ts) AS t_ms FROM events)"
+EVENTS = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t_ms FROM events)"
 
 
 def query(sql: str | None = None):
@@ -270,9 +270,9 @@ def moved(spark, sf_dir) -> DataFrame:
     return forensics.transitions(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", "l_extendedprice")
 
 
-@query(f"{TRANS} SELECT l_suppkey, l_orderkey, l_linenumber, round(di, 4) AS di, round(r, 4) AS r FROM t")
+@query(f"{TRANS} SELECT l_suppkey, l_orderkey, l_linenumber, round(di, 6) AS di, round(r, 8) AS r FROM t")
 def transition_events(spark, sf_dir):
-    return moved(spark, sf_dir).select("l_suppkey", "l_orderkey", "l_linenumber", F.round("di", 4).alias("di"), F.round("r", 4).alias("r"))
+    return moved(spark, sf_dir).select("l_suppkey", "l_orderkey", "l_linenumber", *r6("di"), F.round("r", 8).alias("r"))
 
 
 @query("""WITH q AS (SELECT l_returnflag, list_sort(list(l_quantity))[CAST(floor(0.5 * (count(l_quantity) - 1)) AS INT) + 1] AS mq, list_sort(list(l_tax))[CAST(floor(0.5 * (count(l_tax) - 1)) AS INT) + 1] AS mt, count(*) AS n FROM lineitem GROUP BY 1)
@@ -312,8 +312,9 @@ def piecewise_knee(spark, sf_dir):
     return forensics.piecewise_knee(daily(spark, sf_dir), ENTITY, "day", "y").select("event_type", "knee_x", "split", F.round("sse", 2).alias("sse"))
 
 
-CHORD = f"""{DAILY}, b AS (SELECT *, first_value(day) OVER w AS x0, last_value(day) OVER w AS x1, first_value(y) OVER w AS y0, last_value(y) OVER w AS y1 FROM y WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+CHORD_ONLY = """b AS (SELECT *, first_value(day) OVER w AS x0, last_value(day) OVER w AS x1, first_value(y) OVER w AS y0, last_value(y) OVER w AS y1 FROM y WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 q AS (SELECT *, round((day - x0)::DOUBLE / (x1 - x0) - (y - y0) / (y1 - y0), 9) AS gap FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY gap DESC, day) AS rn FROM q WHERE gap IS NOT NULL)"""
+CHORD = f"{DAILY}, {CHORD_ONLY}"
 
 
 @query(f"{CHORD} SELECT event_type, day AS knee_x, round(gap, 6) AS gap FROM c WHERE rn = 1")
@@ -321,7 +322,7 @@ def chord_knee(spark, sf_dir):
     return forensics.chord_knee(daily(spark, sf_dir), ENTITY, "day", "y").select("event_type", "knee_x", *r6("gap"))
 
 
-@query(f"""{PIECE}, {CHORD.split(', ', 1)[1].split('), ', 1)[1].replace('FROM y WINDOW', 'FROM y WINDOW')}, sp AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM y GROUP BY 1)
+@query(f"""{PIECE}, {CHORD_ONLY}, sp AS (SELECT event_type, min(day) AS lo, max(day) AS hi FROM y GROUP BY 1)
 SELECT sp.event_type, k.day AS px, c.day AS cx, CASE WHEN k.day IS NULL THEN 'no piecewise knee' WHEN c.day IS NULL THEN 'no chord knee' WHEN abs(k.day - c.day) > 0.25 * (hi - lo) THEN 'methods disagree' END AS reason FROM sp LEFT JOIN k ON k.event_type = sp.event_type AND k.rn = 1 LEFT JOIN c ON c.event_type = sp.event_type AND c.rn = 1""")
 def knee_agreement(spark, sf_dir):
     d = daily(spark, sf_dir)
@@ -381,12 +382,12 @@ def anti_unmatched(spark, sf_dir):
     return evidence.uncited(table(spark, sf_dir, "orders"), cited, ["o_orderkey"]).select("o_orderkey")
 
 
-@query(f"""{RUNS}, k AS (SELECT 1 AS kind, event_type AS entity, start AS at, 'sustained' AS rule, CAST(fires AS BIGINT) AS weight FROM w UNION ALL SELECT 2, event_type, t_ms, 'level', CAST(floor(value) AS BIGINT) FROM e WHERE value > 488),
-n AS (SELECT *, row_number() OVER (ORDER BY kind, at, entity, weight) AS i FROM k) SELECT printf('E%03d', i) AS evidence_id, entity, at, rule, weight FROM n WHERE i <= 80""")
+@query(f"""{RUNS}, k AS (SELECT 1 AS kind, event_type AS entity, start AS at_ms, 'sustained' AS rule, CAST(fires AS BIGINT) AS weight FROM w UNION ALL SELECT 2, event_type, t_ms, 'level', CAST(floor(value) AS BIGINT) FROM e WHERE value > 488),
+n AS (SELECT *, row_number() OVER (ORDER BY kind, at_ms, entity, weight) AS i FROM k) SELECT printf('E%03d', i) AS evidence_id, entity, at_ms, rule, weight FROM n WHERE i <= 80""")
 def evidence_ledger(spark, sf_dir):
-    w = sustained(spark, sf_dir).select(F.lit(1).alias("kind"), F.col("event_type").alias("entity"), F.col("start").alias("at"), F.lit("sustained").alias("rule"), F.col("fires").alias("weight"))
-    e = events(spark, sf_dir).filter("value > 488").select(F.lit(2).alias("kind"), F.col("event_type").alias("entity"), F.col("t_ms").alias("at"), F.lit("level").alias("rule"), F.floor("value").cast("long").alias("weight"))
-    return evidence.ledger([w, e], ["kind", "at", "entity", "weight"]).select("evidence_id", "entity", "at", "rule", "weight")
+    w = sustained(spark, sf_dir).select(F.lit(1).alias("kind"), F.col("event_type").alias("entity"), F.col("start").alias("at_ms"), F.lit("sustained").alias("rule"), F.col("fires").alias("weight"))
+    e = events(spark, sf_dir).filter("value > 488").select(F.lit(2).alias("kind"), F.col("event_type").alias("entity"), F.col("t_ms").alias("at_ms"), F.lit("level").alias("rule"), F.floor("value").cast("long").alias("weight"))
+    return evidence.ledger([w, e], ["kind", "at_ms", "entity", "weight"]).select("evidence_id", "entity", "at_ms", "rule", "weight")
 
 
 @query("SELECT l_shipmode, count(*) AS n FROM (SELECT CASE WHEN abs(l_discount - 0.05) < 0.02 THEN 'near' WHEN l_discount < 0.05 THEN 'below' ELSE 'above' END AS l_shipmode FROM lineitem) GROUP BY 1".replace("l_shipmode", "side"))
