@@ -109,6 +109,12 @@ class Fenwick:
         return out
 
 
+def _apart(run: np.ndarray, side: np.ndarray, gap: int) -> list[np.ndarray]:
+    """A run cut where neighbours on one side are further apart than `gap`."""
+    run = run[np.argsort(side[run], kind="stable")]
+    return np.split(run, np.flatnonzero(np.diff(side[run]) > gap) + 1)
+
+
 def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GAP) -> list[np.ndarray]:
     """Chains of matches (indices, in order), each match in one at most.
 
@@ -116,12 +122,14 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
     side; as the skipped words of a gap are the difference of pos + first, each
     match enters the tree with that sum added, and a prefix maximum over `first`
     finds its best predecessor. Runs of matches further apart than `max_gap`
-    words in the document never join, so each run has a tree of its own.
+    words in either document never join, so each run has a tree of its own.
     """
     order = np.lexsort((first, pos))
     pos, first = pos[order], first[order]
-    out = []
-    for run in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > max_gap + k) + 1):
+    out, runs = [], [np.arange(len(pos))]
+    for side in (pos, first, pos):
+        runs = [np.sort(part) for run in runs for part in _apart(run, side, max_gap + k)]
+    for run in runs:
         ranks = np.unique(first[run], return_inverse=True)[1].tolist()
         p, f = pos[run].tolist(), first[run].tolist()
         tree, score, back = Fenwick(len(run)), [0] * len(run), [-1] * len(run)
@@ -137,7 +145,7 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
                 score[x] = 2 * k + (gain if fits and gain > 0 else 0)
                 back[x] = prev if fits and gain > 0 else -1
             for x in range(i, j):
-                tree.put(ranks[x], (score[x] + p[x] + f[x] - 2 * k, x))
+                tree.put(ranks[x], (score[x] + p[x] + f[x], x))
             i = j
         used = [False] * len(run)
         for x in sorted(range(len(run)), key=lambda v: -score[v]):
