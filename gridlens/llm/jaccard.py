@@ -16,7 +16,10 @@ representative of each class goes on. The join then runs in three steps:
    below and the range of sizes. Two nodes are entered together only if some
    pair below could overlap enough; leaf pairs that stay are compared exactly.
    A bucket with more sets than a block is cut into blocks, and every pair of
-   blocks is a task of its own, so no bucket is capped and none meets in a task.
+   blocks is a group of its own, so no bucket is capped and none meets in a task.
+   The trees are walked twice: first each set is compared with its closest
+   partner only and what links is joined, so that groups of copies become one
+   component; then every pair that still lies in different components is.
 
 No step is approximate: every pair of linked sets in different components
 reaches an exact comparison of the whole sets.
@@ -43,6 +46,8 @@ from gridlens.session import among, stored
 N = 5
 NUM, DEN = 4, 5
 LEAVES = 16
+#: node pairs that are looked at together: 8 MB of bitmaps a side.
+PAIRS = 16_384
 SHAPE = "doc_id long, n_shingles long, key_a long, key_b long, minhash long, prefix array<long>, hot_prefix array<long>, bits binary"
 
 
@@ -168,7 +173,7 @@ def verified(pairs: DataFrame, shape: DataFrame, docs: DataFrame, id_col: str, t
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = [bound(x, y, n, m) for x, y, n, m in zip(batch["bits_a"], batch["bits_b"], batch["n_a"], batch["n_b"], strict=True)]
+            keep = [bound(x, y, n, m) >= 0 for x, y, n, m in zip(batch["bits_a"], batch["bits_b"], batch["n_a"], batch["n_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
     likely = stored(paired(pairs, facts, ["n", "bits"]).filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).mapInPandas(sift, "a long, b long"), f"{name}-likely")
@@ -186,7 +191,7 @@ class Tree:
     """A signature tree over sets of one width of bitmap: level 0 are the leaves."""
 
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, order: np.ndarray):
-        self.order = order
+        self.order, self.place = order, np.argsort(order)
         bits, sizes = bits[order], sizes[order]
         self.bits, self.low, self.high = [bits], [sizes], [sizes]
         while len(self.bits[-1]) > 1:
@@ -200,16 +205,17 @@ def may_link(x: Tree, i: np.ndarray, lx: int, y: Tree, j: np.ndarray, ly: int) -
     """Of node pairs, those below which some pair can link.
 
     A leaf's bits that a node lacks are members without partner there, so a pair's
-    overlap is at most size minus those; sizes must be in reach of each other.
+    overlap is at most size minus those. It has to reach NUM (a + b) / (NUM + DEN),
+    and sizes must be in reach of each other.
     """
     fit = (DEN * x.high[lx][i] >= NUM * y.low[ly][j]) & (DEN * y.high[ly][j] >= NUM * x.low[lx][i])
     bx, by = x.bits[lx][i], y.bits[ly][j]
     if lx == 0:
         lone = np.bitwise_count(bx & ~by).sum(1)
-        fit &= DEN * (x.high[0][i] - lone) >= NUM * np.maximum(x.high[0][i], np.where(ly == 0, y.low[ly][j], 0))
+        fit &= (NUM + DEN) * (x.high[0][i] - lone) >= NUM * (x.high[0][i] + y.low[ly][j])
     if ly == 0:
         lone = np.bitwise_count(by & ~bx).sum(1)
-        fit &= DEN * (y.high[0][j] - lone) >= NUM * np.maximum(y.high[0][j], np.where(lx == 0, x.low[lx][i], 0))
+        fit &= (NUM + DEN) * (y.high[0][j] - lone) >= NUM * (y.high[0][j] + x.low[lx][i])
     return fit
 
 
@@ -235,7 +241,7 @@ def dual_traversal(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
         else:
             j, i = _below(j, i, len(y.bits[ly - 1]))
             ly -= 1
-        todo += [(i[k : k + 65536], j[k : k + 65536], lx, ly) for k in range(0, len(i), 65536)]
+        todo += [(i[k : k + PAIRS], j[k : k + PAIRS], lx, ly) for k in range(0, len(i), PAIRS)]
     none = np.empty(0, np.int64)
     return (np.concatenate(found_i) if found_i else none), (np.concatenate(found_j) if found_j else none)
 
@@ -247,8 +253,8 @@ def _below(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return kids[kids < n], partners[kids < n]
 
 
-def tree_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes in different components that may link, from two blocks or within one."""
+def tree_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
+    """Pairs (a < b, room) of nodes in different components that may link, from two blocks or within one."""
     same = right is None
     right = left if same else right
     for wa, a in left.groupby(left["bits"].str.len(), sort=False):
@@ -261,7 +267,18 @@ def tree_pairs(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple
             keep = a["comp"].to_numpy()[i] != b["comp"].to_numpy()[j]
             if same and wa == wb:
                 keep &= na < nb
-            yield na[keep], nb[keep]
+            i, j, na, nb = i[keep], j[keep], na[keep], nb[keep]
+            room = [np.empty(0)]
+            for k in range(0, len(i), PAIRS):
+                p, q = x.place[i[k : k + PAIRS]], y.place[j[k : k + PAIRS]]
+                room.append(_room(x.bits[0][p], y.bits[0][q], x.low[0][p], y.low[0][q]))
+            yield pd.DataFrame({"a": np.minimum(na, nb), "b": np.maximum(na, nb), "room": np.concatenate(room)})
+
+
+def _room(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How far the greatest possible overlap of each pair lies above the least with which it links, by size."""
+    most = np.minimum(nx - np.bitwise_count(x & ~y).sum(1), ny - np.bitwise_count(y & ~x).sum(1))
+    return most / (nx + ny) - NUM / (NUM + DEN)
 
 
 def _tree(block: pd.DataFrame, width: int) -> Tree:
@@ -274,48 +291,51 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
 
 
-def bound(x: bytes, y: bytes, nx: int, ny: int) -> bool:
-    """The leaf bound for one pair."""
+def bound(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """The leaf bound for one pair: its greatest overlap less the least with which it links."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
     width = min(len(a), len(b))
     a, b = _folded(a, width), _folded(b, width)
-    lone = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
-    return lone >= least_overlap(nx, ny)
+    most = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+    return most - least_overlap(nx, ny)
 
 
-def _small(rows: pd.DataFrame, group: np.ndarray, most: int) -> set[tuple[int, int]]:
+def _small(rows: pd.DataFrame, group: np.ndarray, most: int) -> pd.DataFrame:
     """Pairs of many buckets of one node each (up to LEAVES sets), all at once."""
     node, comp, n, bits = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), rows["bits"].to_numpy()
-    found, tried = set(), {}
+    tried = {}
     for d in range(1, most):
         i = np.flatnonzero(group[:-d] == group[d:])
         i = i[(comp[i] != comp[i + d]) & (DEN * np.minimum(n[i], n[i + d]) >= NUM * np.maximum(n[i], n[i + d]))]
         for x, y in zip(i.tolist(), (i + d).tolist(), strict=True):
             pair = (min(node[x], node[y]), max(node[x], node[y]))
             if pair not in tried:
-                tried[pair] = bound(bits[x], bits[y], int(n[x]), int(n[y]))
-                if tried[pair]:
-                    found.add(pair)
-    return found
+                tried[pair] = bound(bits[x], bits[y], int(n[x]), int(n[y])) / int(n[x] + n[y])
+    return pd.DataFrame([(a, b, room) for (a, b), room in tried.items() if room >= 0], columns=["a", "b", "room"]).astype({"a": "int64", "b": "int64", "room": float})
 
 
-def _blocks(rows: pd.DataFrame) -> set[tuple[int, int]]:
-    """Pairs of all buckets and pairs of blocks in `rows`, which lie together by key."""
+def _blocks(rows: pd.DataFrame, closest: bool) -> pd.DataFrame:
+    """Pairs of all buckets and pairs of blocks in `rows`, which lie together by key; of each node the closest or all."""
     key = rows[["token", "i", "j"]].to_numpy()
     group = np.r_[0, np.cumsum((key[1:] != key[:-1]).any(1))]
-    size = np.bincount(group)
-    small = size[group] <= LEAVES
-    found = _small(rows[small], group[small], LEAVES) if small.any() else set()
+    small = np.bincount(group)[group] <= LEAVES
+    found = [_small(rows[small], group[small], LEAVES)]
     for _, part in rows[~small].groupby(group[~small], sort=False):
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         left, right = (part, None) if i == j else (part[part["s"] == i], part[part["s"] == j])
         if len(left) and (right is None or len(right)):
-            for a, b in tree_pairs(left, right):
-                found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-    return found
+            found += [_closest(f) if closest else f for f in tree_pairs(left, right)]
+    pairs = pd.concat(found, ignore_index=True)
+    return (_closest(pairs) if closest else pairs)[["a", "b"]].drop_duplicates().sort_values(["a", "b"])
+
 
+def _closest(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of the pairs of each node the one with most room."""
+    pairs = pairs.sort_values(["room", "a", "b"], ascending=[False, True, True])
+    return pairs[~pairs.duplicated("a") | ~pairs.duplicated("b")]
 
-def across(buckets: DataFrame, block: int) -> DataFrame:
+
+def across(buckets: DataFrame, block: int, closest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that a bucket's signature trees leave over.
 
     Sets are dealt to blocks by hash. A bucket of g blocks gives g (g + 1) / 2
@@ -327,18 +347,16 @@ def across(buckets: DataFrame, block: int) -> DataFrame:
     )
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(sorted(_blocks(rows)) if len(rows) else [], columns=["a", "b"], dtype="int64")
-
         held = None
         for batch in batches:
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
             last = rows[["token", "i", "j"]].iloc[-1]
             open_ = ((rows["token"] == last["token"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])).to_numpy()
             held = rows[open_]
-            yield pairs(rows[~open_].reset_index(drop=True))
+            if not open_.all():
+                yield _blocks(rows[~open_].reset_index(drop=True), closest)
         if held is not None:
-            yield pairs(held.reset_index(drop=True))
+            yield _blocks(held.reset_index(drop=True), closest)
 
     return routed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInPandas(sweep, "a long, b long").distinct()
 
@@ -349,7 +367,7 @@ def differing(buckets: DataFrame) -> DataFrame:
     return marks.groupBy("x", "y", "k").agg(F.min("token").alias("token")).select("token")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (its own id without links)."""
     last = frequent(docs, id_col, text_col)
     shape = stored(shapes(docs, last, id_col, text_col), "shapes")
@@ -372,12 +390,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", blo
     )
     pairs = stored(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct(), "near")
     edges = verified(pairs, shape, docs, id_col, text_col, "near")
-    comp = stored(components.connected(edges), "components")
-    placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    todo = stored(placed.join(differing(placed), "token"), "todo")
-    bits = among(some.select(F.col("doc_id").alias("node"), "bits"), stored(todo.select("node").distinct(), "todo-nodes"), "node").dropDuplicates(["node"])
-    more = stored(across(todo.join(bits, "node"), block).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    final = components.connected(edges.union(verified(more, shape, docs, id_col, text_col, "far")))
+    facts = some.select(F.col("doc_id").alias("node"), "bits")
+    for closest in (True, False):
+        comp = stored(components.connected(edges), "components")
+        placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        todo = stored(placed.join(differing(placed), "token"), "todo")
+        bits = among(facts, stored(todo.select("node").distinct(), "todo-nodes"), "node").dropDuplicates(["node"])
+        more = stored(across(todo.join(bits, "node"), block, closest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.union(verified(more, shape, docs, id_col, text_col, "far"))
+        pairs = pairs.union(more)
+    final = components.connected(edges)
     rooted = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "key_a", "key_b", F.coalesce("comp", "rep").alias("component"))
     return shape.join(rooted, ["n_shingles", "key_a", "key_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id")
