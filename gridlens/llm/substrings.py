@@ -81,6 +81,7 @@ def matches(found: DataFrame) -> DataFrame:
     document, and with the place before it in its own (so that a short period is one
     long passage, a period behind itself)."""
     first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").drop("lo", "hi")
+    first = stored(first, "first")  # the join then shuffles plain rows, of which AQE splits a hot seed
     other = found.join(first, "seed").filter("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     own = found.filter("before >= 0").select("doc", "pos", F.col("doc").alias("first_doc"), F.col("before").alias("first_pos"))
     return other.union(own)
