@@ -1,21 +1,20 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimizers of k-word runs: of every `window` runs on end the one
-with the least hash is a seed, so two texts that agree on k + window - 1 words
-share one. A seed found in several places is joined to its first place (least
-document, then position), and in its own document to the place before it, and to
-no other: a passage in many documents gives one match for each place, and its
-first copy is the one that stays. The matches of a
-document with an earlier one are chained: ordered matches, with a cost for the
-gaps between them, by dynamic programming through a Fenwick tree of prefix
-maxima. A chain is then aligned: the words between its seeds are compared, and
-its ends are carried on as long as words agree. Chains of at least `min_words`
-words and `min_identity` are passages.
+Seeds are the k-word runs whose hash falls in one of `window` classes: which run
+is a seed depends on its own words only, so an equal run is a seed in every
+text. A seed found in several places is joined to its first place (least
+document, then position), and in its own document to the place before it. The
+matches of a document with an earlier one are chained: ordered matches, with a
+small cost for the gaps between them, by dynamic programming through a Fenwick
+tree of prefix maxima. Chains of two matches or more are aligned from a seed on
+to both sides, through edits (furthest-reaching points by number of edits, given
+up once the score is DROP under its best); of the alignment the longest part
+around the seed that keeps `min_identity` counts, if it has `min_words` words.
 
 Nulls and edge cases: null and empty texts and texts under k words have no
 seeds; a null id takes no part; rows that repeat an id count as one (the
-longest text); a passage that repeats within a document is found there; ties
-between equal hashes go to the last run. Other columns are ignored.
+longest text); a passage that repeats within a document is found there. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,41 +29,59 @@ from pyspark.sql import functions as F
 from gridlens.llm import text
 from gridlens.session import among, stored
 
-K, WINDOW = 8, 10
+K, WINDOW = 5, 4
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
 MAX_GAP = 60
+#: what a matched word of a chain is worth in skipped words: one seed pays for the longest gap.
+WORTH = 32
+#: an edit costs so many matched words, and an end is given up that far under its best.
+EDIT, DROP = 2, 20
+BITS = 28
 PASSAGE = "doc_id long, start long, stop long, first_doc long, first_start long, first_stop long, matched long"
 
 
-def minimizers(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def sampled(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the seeds of one word sequence."""
     h = text.grams(words, k)
-    if not len(h):
-        return h, np.empty(0, np.int64)
-    if len(h) <= window:
-        at = np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
-    else:
-        rows = np.lib.stride_tricks.sliding_window_view(h, window)[:, ::-1]
-        at = np.unique(np.arange(len(rows)) + window - 1 - rows.argmin(1))
+    at = np.flatnonzero((h >> np.uint64(7)) % np.uint64(window) == 0)
     return h[at], at.astype(np.int64)
 
 
-def seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            h, at = text.batch_words(batch["text"])
-            parts = [(doc, *minimizers(h[i:j], k, window)) for doc, i, j in zip(batch["doc_id"], at, at[1:], strict=False) if j - i >= k]
-            if parts:
-                yield pd.DataFrame(
-                    {
-                        "seed": np.concatenate([p[1] for p in parts]).view(np.int64),
-                        "doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64),
-                        "pos": np.concatenate([p[2] for p in parts]),
-                        "before": np.concatenate([before(p[1], p[2]) for p in parts]),
-                    }
-                )
-
-    return docs.mapInPandas(find, "seed long, doc long, pos long, before long")
+def seeds(docs: DataFrame, k: int, window: int) -> tuple[DataFrame, object]:
+    """The seeds that may repeat (seed, doc, pos, before), and the bitmap of those that do.
+
+    Texts are read twice: seeds alone are counted first, so that only those in the
+    bitmap are written and dealt out with their places."""
+
+    def find(bits):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                h, at = text.batch_words(batch["text"])
+                parts = []
+                for doc, i, j in zip(batch["doc_id"], at, at[1:], strict=False):
+                    g, p = sampled(h[i:j], k, window)
+                    if bits is not None and len(g):
+                        here = within(bits.value, g)
+                        g, p = g[here], p[here]
+                    if len(g):
+                        parts.append((doc, g, p))
+                if parts and bits is None:
+                    yield pd.DataFrame({"seed": np.concatenate([p[1] for p in parts]).view(np.int64)})
+                elif parts:
+                    yield pd.DataFrame(
+                        {
+                            "seed": np.concatenate([p[1] for p in parts]).view(np.int64),
+                            "doc": np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]).astype(np.int64),
+                            "pos": np.concatenate([p[2] for p in parts]),
+                            "before": np.concatenate([before(p[1], p[2]) for p in parts]),
+                        }
+                    )
+
+        return run
+
+    twice = docs.mapInPandas(find(None), "seed long").groupBy("seed").count().filter("count > 1")
+    bits = bitmap(twice, "seed")
+    return stored(docs.mapInPandas(find(bits), "seed long, doc long, pos long, before long"), "seeds"), bits
 
 
 def before(h: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -76,13 +93,16 @@ def before(h: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def matches(found: DataFrame) -> DataFrame:
+def repeated(found: DataFrame) -> DataFrame:
+    """(seed, first, hi): first place and last document of every seed with two places or more."""
+    return found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("n > 1").drop("n")
+
+
+def matches(found: DataFrame, first: DataFrame) -> DataFrame:
     """(doc, pos, first_doc, first_pos): every seed with its first place in an earlier
     document, and with the place before it in its own (so that a short period is one
     long passage, a period behind itself)."""
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").drop("lo", "hi")
-    first = stored(first, "first")  # the join then shuffles plain rows, of which AQE splits a hot seed
-    other = found.join(first, "seed").filter("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    other = found.join(first.filter("first.doc < hi").drop("hi"), "seed").filter("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     own = found.filter("before >= 0").select("doc", "pos", F.col("doc").alias("first_doc"), F.col("before").alias("first_pos"))
     return other.union(own)
 
@@ -119,7 +139,7 @@ def _apart(run: np.ndarray, side: np.ndarray, gap: int) -> list[np.ndarray]:
 def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GAP) -> list[np.ndarray]:
     """Chains of matches (indices, in order), each match in one at most.
 
-    The score of a chain is 2k for each match less the words skipped on either
+    The score of a chain is WORTH k for each match less the words skipped on either
     side; as the skipped words of a gap are the difference of pos + first, each
     match enters the tree with that sum added, and a prefix maximum over `first`
     finds its best predecessor. Runs of matches further apart than `max_gap`
@@ -141,9 +161,9 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
                 j += 1
             for x in range(i, j):
                 at, prev = tree.top(ranks[x] - 1) if ranks[x] else (0, -1)
-                gain = at - (p[x] + f[x]) + 2 * k if prev >= 0 else 0
+                gain = at - (p[x] + f[x]) + WORTH * k if prev >= 0 else 0
                 fits = prev >= 0 and p[x] - p[prev] <= max_gap + k and f[x] - f[prev] <= max_gap + k
-                score[x] = 2 * k + (gain if fits and gain > 0 else 0)
+                score[x] = WORTH * k + (gain if fits and gain > 0 else 0)
                 back[x] = prev if fits and gain > 0 else -1
             for x in range(i, j):
                 tree.put(ranks[x], (score[x] + p[x] + f[x], x))
@@ -160,44 +180,94 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
     return out
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Edit distance of two short word runs; equal ends cost nothing."""
-    n = min(len(a), len(b))
-    same = int(np.argmin(np.r_[a[:n] == b[:n], False])) if n else 0
-    a, b = a[same:], b[same:]
-    n = min(len(a), len(b))
-    same = int(np.argmin(np.r_[a[::-1][:n] == b[::-1][:n], False])) if n else 0
-    a, b = a[: len(a) - same], b[: len(b) - same]
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    row, steps = np.arange(len(b) + 1), np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        best = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (b != x))]
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
-
-
-def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, first: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
-    """(start, stop, first_start, first_stop, edits) of a chain over word sequences a and b."""
-    back = int(np.argmin(np.r_[a[: pos[0]][::-1][: first[0]] == b[: first[0]][::-1][: pos[0]], False]))
-    ends = (int(pos[-1]) + k, int(first[-1]) + k)
-    n = min(len(a) - ends[0], len(b) - ends[1])
-    on = int(np.argmin(np.r_[a[ends[0] : ends[0] + n] == b[ends[1] : ends[1] + n], False]))
-    edits = 0
-    for (p, f), (q, g) in zip(zip(pos, first, strict=True), zip(pos[1:], first[1:], strict=True), strict=False):
-        if q - p != g - f or q - p > k:
-            edits += distance(a[p + k : max(q, p + k)], b[f + k : max(g, f + k)]) + (abs((q - p) - (g - f)) if min(q - p, g - f) < k else 0)
-    return int(pos[0]) - back, ends[0] + on, int(first[0]) - back, ends[1] + on, edits
-
+def extend(a: list[int], b: list[int], low: int, high: int) -> list[tuple[int, int, int, int]]:
+    """Equal runs of an alignment of prefixes of a and b: (place in a, place in b, words, edits up to there).
 
-def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """Repeated passages: words [start, stop) of doc_id repeat [first_start, first_stop) of first_doc.
-
-    Shuffles: seeds by hash (counted, then joined; a hot seed is split by the
-    join), matches by document pair, word sequences of matched documents only.
+    Point (e, d) is the furthest place in `a` that e edits reach on diagonal d (place in
+    a less place in b, low <= d <= high). The alignment ends at the best score, EDIT an
+    edit less than the words that agree; points DROP under the best are given up.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    links = stored(matches(stored(seeds(source, k, window), "seeds")), "matches")
+    n, m, waves, best = len(a), len(b), [], (0, 0, 0, 0)
+    wave, top = {0: (0, 0)}, 0
+    while wave:
+        here = {}
+        e = len(waves)
+        for d, (i, came) in wave.items():
+            j = i - d
+            start = i
+            while i < n and j < m and a[i] == b[j]:
+                i += 1
+                j += 1
+            s = (i + j) // 2 - (EDIT + 1) * e
+            if s >= top - DROP:
+                here[d] = (start, i, came)
+                if s > top:
+                    top, best = s, (s, e, d, i)
+        waves.append(here)
+        wave = {}
+        for d, (_, i, _) in here.items():
+            for to, at in ((d, i + 1), (d + 1, i + 1), (d - 1, i)):
+                if low <= to <= high and at <= n and at - to <= m and (to not in wave or at > wave[to][0]):
+                    wave[to] = (at, d)
+    _, e, d, _ = best
+    out = []
+    while e >= 0:
+        start, stop, came = waves[e][d]
+        out.append((start, start - d, stop - start, e))
+        d, e = came, e - 1
+    return [r for r in out[::-1] if r[2]]
+
+
+def around(a: list[int], b: list[int], p: int, f: int, own: bool, min_identity: float) -> tuple[int, int, int, int, int]:
+    """(start, stop, first_start, first_stop, edits) of the longest alignment through word p of a
+    and word f of b that keeps min_identity. `own`: b is a, which must not be aligned with itself."""
+    far = len(a) + len(b)
+    shift = p - f
+    right = extend(a[p:], b[f:], 1 - shift if own else -far, far)
+    left = extend(a[:p][::-1], b[:f][::-1], -far, shift - 1 if own else far)
+    rights = [(x + n, y + n, e) for x, y, n, e in right] or [(0, 0, 0)]
+    lefts = [(0, 0, 0), *[(x + n, y + n, e) for x, y, n, e in left]]
+    x, y = lefts[-1], rights[-1]
+    if x[2] + y[2] > x[0] + y[0] - min_identity * (x[0] + y[0]):
+        most, spare = np.array([v[0] for v in lefts]), np.array([v[0] - v[2] - min_identity * v[0] for v in lefts])
+        best = -1
+        for v in rights:  # the first run of the right side is the seed itself and always stays
+            fits = np.where(spare + (v[0] - v[2] - min_identity * v[0]) > -1e-9, most, -1)
+            at = int(fits.argmax())
+            if fits[at] >= 0 and fits[at] + v[0] > best:
+                best, x, y = fits[at] + v[0], lefts[at], v
+    return p - x[0], p + y[0], f - x[1], f + y[1], x[2] + y[2]
+
+
+def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, first: np.ndarray, own: bool, k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, first_start, first_stop, edits) of the passages through the matches of a pair."""
+    a, b, found, seen = a.tolist(), b.tolist(), [], []
+    for p, f in zip(pos.tolist(), first.tolist(), strict=True):
+        if a[p : p + k] != b[f : f + k] or p + k > len(a) or any(s <= p and p + k <= e and fs <= f and f + k <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
+            continue
+        one = around(a, b, p, f, own, min_identity)
+        seen.append(one)
+        s, e, _, _, edits = one
+        if e - s >= min_words and e - s - edits >= min_identity * (e - s):
+            found.append(one)
+    return found
+
+
+def bitmap(df: DataFrame, column: str):
+    """Which of 2**BITS classes the values of a column fall in, broadcast; its size does not grow with the table."""
+    cells = df.select(F.shiftrightunsigned(column, 64 - BITS).alias("c")).groupBy(F.expr("c >> 6").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << BITS - 6, np.uint64)
+    out[cells["at"].to_numpy()] = cells["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    c = h >> np.uint64(64 - BITS)
+    return (bits[(c >> np.uint64(6)).astype(np.int64)] >> (c & np.uint64(63))) & np.uint64(1) > 0
+
+
+def aligned(source: DataFrame, links: DataFrame, pick, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """Passages through the matches of each pair of documents that `pick` (of pos, first) leaves."""
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(rows: pd.DataFrame) -> list[tuple]:
@@ -205,14 +275,9 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             pos, first = rows["pos"].to_numpy(), rows["first_pos"].to_numpy()
             cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1])) + 1
             found = []
-            for part in np.split(np.arange(len(rows)), cuts):
-                if not len(part):
-                    continue
-                for c in chains(pos[part], first[part], k):
-                    c = part[c]
-                    # the ends may grow by less than a window on either side
-                    if pos[c[-1]] + k - pos[c[0]] + 2 * (k + window) >= min_words:
-                        found.append((doc[c[0]], first_doc[c[0]], pos[c].astype("<i8").tobytes(), first[c].astype("<i8").tobytes()))
+            for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(rows)], strict=True):
+                if y > x and len(c := pick(pos[x:y], first[x:y])):
+                    found.append((doc[x], first_doc[x], pos[x:y][c].astype("<i8").tobytes(), first[x:y][c].astype("<i8").tobytes()))
             return found
 
         held, columns = None, ["doc", "first_doc", "ps", "fs"]
@@ -240,14 +305,29 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             found = []
             for doc, first_doc, ps, fs, a, b in zip(batch["doc"], batch["first_doc"], batch["ps"], batch["fs"], batch["a"], batch["b"], strict=True):
-                s, e, fs_, fe, edits = align(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(ps, "<i8"), np.frombuffer(fs, "<i8"), k)
-                if e - s >= min_words and e - s - edits >= min_identity * (e - s) and not (doc == first_doc and s < fe and fs_ < e and s == fs_):
+                for s, e, fs_, fe, edits in align(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(ps, "<i8"), np.frombuffer(fs, "<i8"), doc == first_doc, k, min_words, min_identity):
                     found.append((doc, s, e, first_doc, fs_, fe, e - s - edits))
             yield pd.DataFrame(found, columns=["doc_id", "start", "stop", "first_doc", "first_start", "first_stop", "matched"])
 
     return both.mapInPandas(measure, PASSAGE)
 
 
+def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
+    """Repeated passages: words [start, stop) of doc_id repeat [first_start, first_stop) of first_doc.
+
+    Shuffles: seeds by hash (counted; those that repeat are then joined, and
+    a hot seed is split by the join), matches by document pair, word sequences of matched documents only.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    found, _ = seeds(source, k, window)
+    first = stored(repeated(found), "first")  # the join then shuffles plain rows, of which AQE splits a hot seed
+
+    def chained(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int64), *[c for c in chains(pos, at, k) if len(c) > 1]]).astype(np.int64) if len(pos) > 1 else np.empty(0, np.int64)
+
+    return aligned(source, matches(found, first), chained, k, min_words, min_identity)
+
+
 def spans(found: DataFrame) -> DataFrame:
     """The union of the passages of each document: doc_id, start, stop, n_words."""
     from pyspark.sql.window import Window

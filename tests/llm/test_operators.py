@@ -324,6 +324,34 @@ def test_substring_passages(spark):
     assert substrings.passages(table.limit(0)).count() == 0
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_substring_passages_over_edit_rates(spark):
+    rng = random.Random(12)
+    pairs = [(n, rate) for rate in (0, 5, 10, 15, 20) for n in (60, 75, 100) for _ in range(12)]
+    texts, close = [], []
+    for n, rate in pairs:
+        passage = [w + str(rng.randrange(50)) for w in babble(rng, n)]
+        other = [w for x in passage for w in ([x] if rng.random() >= rate / 100 else rng.choice([["new" + x], [], [x, "more" + x]]))]
+        texts += [" ".join(babble(rng, 60) + x + babble(rng, 60)) for x in (passage, other)]
+        close.append(len(other) >= 50 and edits_between(other, passage) <= 0.2 * len(other))
+    found = {(r["doc_id"], r["first_doc"]): r for r in substrings.passages(docs(spark, texts)).collect()}
+    assert all(d == f + 1 and f % 2 == 0 for d, f in found)
+    for rate, share in ((0, 1), (5, 1), (10, 0.97), (15, 0.9), (20, 0.75)):
+        asked = [2 * i + 1 for i, (_, r) in enumerate(pairs) if r == rate and close[i]]
+        assert sum((d, d - 1) in found for d in asked) >= share * len(asked) > 0, rate
+    for r in found.values():
+        a, b = (texts[r[x]].split()[r[s] : r[e]] for x, s, e in (("doc_id", "start", "stop"), ("first_doc", "first_start", "first_stop")))
+        assert len(a) >= 50 and len(a) - edits_between(a, b) >= r["matched"] >= 0.8 * len(a)
+
+
 def test_chains_are_collinear_and_cost_gaps():
     pos, first = np.array([0, 10, 20, 21, 30]), np.array([100, 110, 500, 121, 130])
     best = substrings.chains(pos, first)[0]
