@@ -11,6 +11,11 @@ to both sides, through edits (furthest-reaching points by number of edits, given
 up once the score is DROP under its best); of the alignment the longest part
 around the seed that keeps `min_identity` counts, if it has `min_words` words.
 
+Seeds alone lose a repeat whose parts stand first in different documents. So
+every run of `min_words` words that holds a word outside the passages found, and
+whose seeds all repeat, is joined to its own first place in the corpus, and
+aligned from there. Every word of an exact repeat is in a passage.
+
 Nulls and edge cases: null and empty texts and texts under k words have no
 seeds; a null id takes no part; rows that repeat an id count as one (the
 longest text); a passage that repeats within a document is found there. Other
@@ -38,6 +43,7 @@ WORTH = 32
 EDIT, DROP = 2, 20
 BITS = 28
 PASSAGE = "doc_id long, start long, stop long, first_doc long, first_start long, first_stop long, matched long"
+_ODD = 0x9E3779B97F4A7C15
 
 
 def sampled(words: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +272,62 @@ def within(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(c >> np.uint64(6)).astype(np.int64)] >> (c & np.uint64(63))) & np.uint64(1) > 0
 
 
+def long_runs(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n words, at a cost that does not grow with n."""
+    up = np.cumprod(np.r_[np.uint64(1), np.full(len(words), _ODD, np.uint64)], dtype=np.uint64)
+    down = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - n, pow(_ODD, -1, 1 << 64), np.uint64)], dtype=np.uint64)
+    total = np.r_[np.uint64(0), np.cumsum(words * up[:-1], dtype=np.uint64)]
+    return text.mix((total[n:] - total[:-n]) * down)
+
+
+def _counts(flags: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(flags)]
+
+
+def exact_runs(source: DataFrame, found: DataFrame, seen, k: int, window: int, n: int) -> DataFrame:
+    """(doc, pos, first_doc, first_pos): runs of n words that no passage of `found` holds whole, with their first place.
+    Runs with a seed that does not repeat (`seen`) cannot repeat."""
+    covered = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+
+    def runs(asked):
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                h, at = text.batch_words(batch["text"])
+                parts = []
+                for doc, cuts, i, j in zip(batch["doc_id"], batch["cuts"] if asked is None else [None] * len(batch), at, at[1:], strict=False):
+                    if j - i < n:
+                        continue
+                    words = h[i:j]
+                    g, p = sampled(words, k, window)
+                    odd = np.zeros(len(words), bool)
+                    odd[p[~within(seen.value, g)]] = True
+                    odd = _counts(odd)
+                    fits = odd[n - k + 1 : len(words) - k + 2] == odd[: len(words) - n + 1]
+                    if asked is None:
+                        free = np.ones(len(words), bool)
+                        for c in cuts if cuts is not None else ():
+                            free[c["start"] : c["stop"]] = False
+                        free = _counts(free)
+                        fits &= free[n:] > free[:-n]
+                    if not fits.any():
+                        continue
+                    r = long_runs(words, n)
+                    if asked is not None:
+                        fits &= within(asked.value, r)
+                    p = np.flatnonzero(fits)
+                    parts.append((doc, r[p], p))
+                if parts:
+                    yield pd.DataFrame({"run": np.concatenate([x[1] for x in parts]).view(np.int64), "doc": np.repeat([x[0] for x in parts], [len(x[2]) for x in parts]).astype(np.int64), "pos": np.concatenate([x[2] for x in parts])})
+
+        return find
+
+    schema = "run long, doc long, pos long"
+    asked = stored(among(source, stored(covered, "covered"), "doc_id", "left", most=200_000).mapInPandas(runs(None), schema), "asked")
+    places = stored(source.mapInPandas(runs(bitmap(asked, "run")), schema), "places")
+    least = stored(places.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    return asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+
+
 def aligned(source: DataFrame, links: DataFrame, pick, k: int, min_words: int, min_identity: float) -> DataFrame:
     """Passages through the matches of each pair of documents that `pick` (of pos, first) leaves."""
 
@@ -316,16 +378,24 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """Repeated passages: words [start, stop) of doc_id repeat [first_start, first_stop) of first_doc.
 
     Shuffles: seeds by hash (counted; those that repeat are then joined, and
-    a hot seed is split by the join), matches by document pair, word sequences of matched documents only.
+    a hot seed is split by the join), matches by document pair, word sequences of matched documents only,
+    and long runs outside the passages of the seeds.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    found, _ = seeds(source, k, window)
+    found, seen = seeds(source, k, window)
     first = stored(repeated(found), "first")  # the join then shuffles plain rows, of which AQE splits a hot seed
 
     def chained(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.concatenate([np.empty(0, np.int64), *[c for c in chains(pos, at, k) if len(c) > 1]]).astype(np.int64) if len(pos) > 1 else np.empty(0, np.int64)
 
-    return aligned(source, matches(found, first), chained, k, min_words, min_identity)
+    def starts(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        order = np.lexsort((pos, pos - at))
+        p, d = pos[order], (pos - at)[order]
+        return np.sort(order[np.r_[True, (np.diff(p) != 1) | (np.diff(d) != 0)]])
+
+    fuzzy = stored(aligned(source, matches(found, first), chained, k, min_words, min_identity), "fuzzy")
+    exact = aligned(source, exact_runs(source, fuzzy, seen, k, window, min_words), starts, k, min_words, min_identity)
+    return fuzzy.union(exact)
 
 
 def spans(found: DataFrame) -> DataFrame:

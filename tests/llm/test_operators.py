@@ -352,6 +352,22 @@ def test_substring_passages_over_edit_rates(spark):
         assert len(a) >= 50 and len(a) - edits_between(a, b) >= r["matched"] >= 0.8 * len(a)
 
 
+def test_substring_passages_whose_parts_stand_first_elsewhere(spark):
+    rng = random.Random(13)
+    x, y = babble(rng, 45), babble(rng, 45)
+    short, long = babble(rng, 40), babble(rng, 12)
+    parts = [x, y, x + y, x + y, short, short + long, short + long, babble(rng, 51) * 2]
+    texts = [" ".join(babble(rng, 30) + p + babble(rng, 30)) for p in parts]
+    words = [t.split() for t in texts]
+    first, asked = {}, set()
+    for i, w in enumerate(words):
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), (i, j)) != (i, j):
+                asked |= {(i, k) for k in range(j, j + 50)}
+    found = {(r["doc_id"], k) for r in substrings.passages(docs(spark, texts)).collect() for k in range(r["start"], r["stop"])}
+    assert {i for i, _ in asked} == {3, 6, 7} and asked <= found and {i for i, _ in found} == {3, 6, 7}
+
+
 def test_chains_are_collinear_and_cost_gaps():
     pos, first = np.array([0, 10, 20, 21, 30]), np.array([100, 110, 500, 121, 130])
     best = substrings.chains(pos, first)[0]
