@@ -11,7 +11,9 @@ are the content.
 Scripts, styles, templates, comments and form controls never make blocks.
 Character references are decoded, white space inside a block becomes one space,
 empty blocks vanish and blocks are joined by one newline in page order. Null
-and empty pages give the empty text. Nothing is dropped or capped otherwise.
+and empty pages give the empty text. End tags may be left out: a head ends at the
+first thing that is not of a head, an option at the next one, and a skipped element
+that no end tag closes is read as if its start tag were not there. Nothing is dropped or capped otherwise.
 Repeated rows are extracted row by row; other columns are ignored.
 """
 
@@ -28,6 +30,10 @@ from pyspark.sql import DataFrame
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("script style template noscript head title svg math iframe object select textarea button option datalist canvas audio video".split())
+HEAD_ITEMS = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: the end of these is the end of the page if their end tag is missing.
+RAW = frozenset("script style".split())
+OPTIONS = frozenset("option optgroup".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILER_TAGS = frozenset("nav footer aside form header menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
@@ -60,11 +66,13 @@ class Block:
 class Blocks(HTMLParser):
     """Text blocks of a page with what the classifier needs of their place."""
 
-    def __init__(self):
+    def __init__(self, unclosed: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.skips: list[tuple[str, int]] = []  # tags open within what is skipped, and the number of the start tag
+        self.unclosed, self.starts = unclosed, 0
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int, int, int]] = []  # tag, node number, boiler marks, content marks
-        self.nodes, self.skip, self.linked, self.heads, self.words, self.in_links = 0, 0, 0, 0, [], 0
+        self.nodes, self.linked, self.heads, self.words, self.in_links = 0, 0, 0, [], 0
 
     def _flush(self) -> None:
         if self.words and (text := " ".join("".join(self.words).split())):
@@ -73,12 +81,14 @@ class Blocks(HTMLParser):
         self.words, self.in_links = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            self.skip += tag in SKIPPED
-            return
-        if tag in SKIPPED:
-            self._flush()
-            self.skip = 1
+        self.starts += 1
+        if self.skips:
+            self._skip_ends(tag)
+        if self.skips or tag in SKIPPED and self.starts not in self.unclosed:
+            if not self.skips:
+                self._flush()
+            if tag not in VOID:
+                self.skips.append((tag, self.starts))
             return
         if tag not in INLINE:
             self._flush()
@@ -98,6 +108,16 @@ class Blocks(HTMLParser):
         self.linked += tag == "a"
         self.heads += tag in HEADINGS
 
+    def _skip_ends(self, tag: str) -> None:
+        """A start tag ends a skipped head it has no place in, and an open option."""
+        names = [x[0] for x in self.skips]
+        if names[0] == "head" and (tag == "body" or len(names) == 1 and tag not in HEAD_ITEMS):
+            self.skips.clear()
+        elif tag in OPTIONS and "option" in names:
+            del self.skips[len(names) - 1 - names[::-1].index("option") :]
+        elif names[0] == "option" and tag not in INLINE:
+            self.skips.clear()
+
     def updatepos(self, i, j):
         return j  # line numbers are not asked for
 
@@ -122,27 +142,39 @@ class Blocks(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.skip -= tag in SKIPPED
-            return
+        if self.skips:
+            names = [x[0] for x in self.skips]
+            if tag in names:
+                del self.skips[len(names) - 1 - names[::-1].index(tag) :]
+                return
+            if names[0] == "template" or all(x[0] != tag for x in self.stack):
+                return
+            self.skips.clear()  # what holds the skipped element ends, and it with that
         if tag not in INLINE:
             self._flush()
         if self.stack and self.stack[-1][0] == tag or any(x[0] == tag for x in self.stack):
             self._pop(tag)
 
     def handle_data(self, data):
-        if not self.skip:
+        if len(self.skips) == 1 and self.skips[0][0] == "head" and not data.isspace():
+            self.skips.clear()
+        if not self.skips:
             self.words.append(data)
             if self.linked:
                 self.in_links += len(data)
 
 
 def blocks_of(html: str) -> list[Block]:
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser._flush()
-    return parser.blocks
+    unclosed: frozenset[int] = frozenset()
+    while True:
+        parser = Blocks(unclosed)
+        parser.feed(html)
+        parser.close()
+        left = {at for tag, at in parser.skips if tag in SKIPPED and tag not in RAW}
+        if not left or left <= unclosed:
+            parser._flush()
+            return parser.blocks
+        unclosed |= left
 
 
 def costs(b: Block) -> tuple[int, int]:

@@ -307,6 +307,27 @@ def test_html_extraction(spark):
     assert [r["text"] for r in html.extract(rows).collect()] == ["", "", ""] and html.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<html><head><title>Name</title><meta charset=utf-8><body>", ""),
+        ("<head><style>p {}</style>", ""),
+        ("<head><title>Name</title></head><select><option>A<option>B</select>", ""),
+        ("<select><optgroup label=x><option>A<option>B<optgroup label=y><option>C</select>", ""),
+        ("<div><button>Go</div>", ""),
+        ("<div><button><div>Go</div> on</button></div>", ""),
+        ("<div><svg><g><path></div>", ""),
+        ("<object data=x>", ""),
+        ("<noscript>", ""),
+        ("<svg><path>", "<div><button>Go</button></div>"),
+        ("<head></head><datalist><option>A<option>B</datalist>", "<select><option>C<option>D</select>"),
+    ],
+)
+def test_html_with_omitted_end_tags(before, after):
+    story = "This is a story, told in a sentence of some length, so that nobody takes it for a menu; it goes on and on."
+    assert html.main_text(f"{before}<article><p>{story}</p><p>{story}</p></article>{after}") == f"{story}\n{story}"
+
+
 def test_substring_passages(spark):
     rng = random.Random(11)
     passage = babble(rng, 70)
