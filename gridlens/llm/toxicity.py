@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary
-windows, one on toxic windows. A window of a text is compressed with each; the
+Two zstandard dictionaries are made of labelled texts: one for ordinary windows,
+one for toxic ones. A window of a text is compressed with each; the
 fewer bytes it takes with the toxic dictionary than with the ordinary one, the
 closer it is to toxic text. The largest differences of a text pass through a
 calibrated logistic curve that was fitted on labelled texts kept out of the
@@ -9,8 +9,10 @@ dictionaries, so the score is a probability and 0.5 is the threshold.
 
 Both dictionaries share a base trained on ordinary windows and differ in a tail
 of equal size: more ordinary windows in one, toxic strings in the other. The
-toxic tail is trained on the strings that toxic texts hold and ordinary texts of
-the sample lack. A carrier that either dictionary holds goes before and after
+toxic tail is not trained by zstandard: it is a concatenation of the strings that
+toxic texts hold and ordinary texts of the sample lack, by their 6-byte grams.
+Words of 3 bytes or fewer, and toxic phrases of ordinary words (a window is one
+word), are not seen. A carrier that either dictionary holds goes before and after
 each window, so that even a window of one word is compressed and not stored, and
 differences are taken per byte of window.
 
