@@ -25,10 +25,15 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    """The folder all executors share, from `spark.checkpoint.dir`.
+
+    Where it is unset, a temporary folder serves a local session; a cluster has
+    no folder that all executors see, so that is an error there.
+    """
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridlens-"))
     return named or context.getCheckpointDir()
 
@@ -38,7 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, because what they led to is itself stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def among(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
