@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.session import stored
+from gridlens.session import forget, stored
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,22 @@ def _star(edges: DataFrame) -> DataFrame:
     return low.select("a", F.col("m").alias("b")).union(moved).distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, comp) of every node on an edge (a, b); comp is the least node it reaches.
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, comp) of every node on an edge (a, b), stored; comp is the least node it reaches.
 
     The steps end when no edge changes, after a number of rounds that grows with
     the logarithm of the longest path.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    before = None
-    for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
-        now = stored(_star(now), "stars")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    before, mark = None, _mark(now)
+    while mark != before:
+        last, now = now, stored(_star(now), "stars")
+        forget(last)
+        before, mark = mark, _mark(now)
+    found = stored(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(now.select(F.col("b").alias("node"), F.col("b").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp")), "components")
+    forget(now)
+    return found
+
+
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -12,11 +12,15 @@ representative of each class goes on. The join then runs in three steps:
    min-hash and size) are compared, and what links is joined into components.
    Groups of copies collapse here with work in proportion to their size.
 3. Signature trees. Sets of different components in a bucket are compared by
-   trees: a leaf holds a set's bitmap and size, a node the OR of the bitmaps
-   below and the range of sizes. Two nodes are entered together only if some
-   pair below could overlap enough; leaf pairs that stay are compared exactly.
-   A bucket with more sets than a block is cut into blocks, and every pair of
-   blocks is a group of its own, so no bucket is capped and none meets in a task.
+   trees: a leaf holds a set's bitmap and size, a node the OR and the AND of the
+   bitmaps below and the range of sizes. Bits that all sets of one node have and
+   no set of the other are members without partner, which bounds the overlap of
+   every pair below; nodes are entered together only if that could suffice, and
+   leaf pairs that stay are compared exactly. A bucket of up to LEAVES sets is one
+   node whose leaves are compared at once. A bucket with more sets than a block is
+   cut into blocks, and pairs of blocks are groups of their own, so no bucket is
+   capped and none meets in a task.
+   Blocks are cut by size: sets whose sizes cannot link share no block pair.
    The trees are walked twice: first each set is compared with its closest
    partner only and what links is joined, so that groups of copies become one
    component; then every pair that still lies in different components is.
@@ -25,9 +29,10 @@ No step is approximate: every pair of linked sets in different components
 reaches an exact comparison of the whole sets.
 
 Nulls and edge cases: null and empty texts have no shingles and link with
-nothing; fewer words than n are one shingle; rows without id take part under
-the null id and get no component; repeated ids form one document each row and
-share what they reach. Other columns are ignored.
+nothing; fewer words than n are one shingle; a row without id takes no part and
+gets no component (null). Rows that repeat an id are a set each; all sets of an id
+are linked with each other, so every row of an id gets the same component. Other
+columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,13 +46,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.llm import components, text
-from gridlens.session import among, stored
+from gridlens.session import among, forget, stored
 
 N = 5
 NUM, DEN = 4, 5
 LEAVES = 16
 #: node pairs that are looked at together: 8 MB of bitmaps a side.
 PAIRS = 16_384
+#: sizes that can link lie in one or in two neighbouring bands: the base is a little over DEN / NUM.
+BAND = 1.26
+FACTS = ["node", "comp", "n", "minhash", "bits"]
+KEY = ["n_shingles", "key_a", "key_b"]
+COLUMNS = ["key_a", "key_b", "minhash", "prefix", "hot_prefix", "bits"]
 SHAPE = "doc_id long, n_shingles long, key_a long, key_b long, minhash long, prefix array<long>, hot_prefix array<long>, bits binary"
 
 
@@ -121,18 +131,22 @@ def shapes(docs: DataFrame, last: np.ndarray, id_col: str, text_col: str) -> Dat
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, at = text.batch_words(batch["text"])
-            rows = []
-            for doc, i, j in zip(batch["id"], at, at[1:], strict=False):
+            rows, ids = [], text.exact(batch["id"])
+            for i, j in zip(at, at[1:], strict=False):
                 s = text.shingle_set(h[i:j], N)
-                n = len(s)
-                if not n:
-                    rows.append((doc, 0, 0, 0, 0, [], [], b""))
+                if not len(s):
+                    rows.append((0, 0, 0, 0, [], [], b""))
                     continue
-                m = text.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                rows.append((doc, n, int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64)), int(m.min().astype(np.int64)), *_prefix(s, last), bitmap(s).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key_a", "key_b", "minhash", "prefix", "hot_prefix", "bits"]).astype({"doc_id": "Int64"})
+                rows.append((len(s), *_keys(s), *_prefix(s, last), bitmap(s).tobytes()))
+            yield pd.DataFrame(rows, columns=["n_shingles", *COLUMNS]).assign(doc_id=text.longs(ids))[["doc_id", "n_shingles", *COLUMNS]]
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(shape, SHAPE)
+    return docs.select(text.as_key(F.col(id_col)).alias("id"), F.col(text_col).alias("text")).mapInPandas(shape, SHAPE)
+
+
+def _keys(s: np.ndarray) -> tuple[int, int, int]:
+    """Two keys of a whole set and its min-hash."""
+    m = text.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64)), int(m.min().astype(np.int64))
 
 
 def _prefix(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +159,18 @@ def _prefix(s: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the wanted documents, made anew from their texts."""
+    """(node, shingles) of the wanted nodes (node, doc_id and key columns), made anew from their texts."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, at = text.batch_words(batch["text"])
-            yield pd.DataFrame({"node": batch["id"], "shingles": [text.shingle_set(h[i:j], N).tobytes() for i, j in zip(at, at[1:], strict=False)]})
+            sets = [text.shingle_set(h[i:j], N) for i, j in zip(at, at[1:], strict=False)]
+            keys = [_keys(s) if len(s) else (0, 0, 0) for s in sets]
+            yield pd.DataFrame({"doc_id": batch["id"], "n_shingles": list(map(len, sets)), "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys], "shingles": [s.tobytes() for s in sets]})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return among(source, wanted.select(F.col("node").alias("id")), "id").mapInPandas(make, "node long, shingles binary").dropDuplicates(["node"])
+    made = among(source, wanted.select(F.col("doc_id").alias("id")).distinct(), "id").mapInPandas(make, "doc_id long, n_shingles long, key_a long, key_b long, shingles binary")
+    return among(made, wanted, ["doc_id", *KEY], "inner").select("node", "shingles").dropDuplicates(["node"])
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -167,24 +184,28 @@ def paired(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, shape: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets link. Pairs that the bitmaps rule out need no sets."""
-    facts = among(shape.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits"), stored(ends(pairs), f"{name}-ends"), "node").dropDuplicates(["node"])
+def verified(pairs: DataFrame, facts: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose whole sets link. Pairs that the bitmaps rule out need no sets."""
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [bound(x, y, n, m) >= 0 for x, y, n, m in zip(batch["bits_a"], batch["bits_b"], batch["n_a"], batch["n_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    likely = stored(paired(pairs, facts, ["n", "bits"]).filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).mapInPandas(sift, "a long, b long"), f"{name}-likely")
-    sets = sets_of(docs, stored(ends(likely), f"{name}-nodes"), id_col, text_col)
-
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
-    return stored(paired(likely, stored(sets, f"{name}-sets"), ["shingles"]).mapInPandas(check, "a long, b long"), f"{name}-links")
+    asked = stored(ends(pairs), f"{name}-ends")
+    likely = stored(
+        paired(pairs, among(facts, asked, "node"), ["n", "bits"]).filter(DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b")).mapInPandas(sift, "a long, b long"), f"{name}-likely"
+    )
+    nodes = stored(among(classes, stored(ends(likely), f"{name}-nodes"), "node").select("node", F.col("least").alias("doc_id"), *KEY), f"{name}-wanted")
+    sets = stored(sets_of(docs, nodes, id_col, text_col), f"{name}-sets")
+    links = stored(paired(likely, sets, ["shingles"]).mapInPandas(check, "a long, b long"), f"{name}-links")
+    forget(asked, likely, nodes, sets)
+    return links
 
 
 class Tree:
@@ -193,10 +214,11 @@ class Tree:
     def __init__(self, bits: np.ndarray, sizes: np.ndarray, order: np.ndarray):
         self.order, self.place = order, np.argsort(order)
         bits, sizes = bits[order], sizes[order]
-        self.bits, self.low, self.high = [bits], [sizes], [sizes]
+        self.bits, self.common, self.low, self.high = [bits], [bits], [sizes], [sizes]
         while len(self.bits[-1]) > 1:
             cuts = np.arange(0, len(self.bits[-1]), LEAVES)
             self.bits.append(np.bitwise_or.reduceat(self.bits[-1], cuts, axis=0))
+            self.common.append(np.bitwise_and.reduceat(self.common[-1], cuts, axis=0))
             self.low.append(np.minimum.reduceat(self.low[-1], cuts))
             self.high.append(np.maximum.reduceat(self.high[-1], cuts))
 
@@ -204,19 +226,15 @@ class Tree:
 def may_link(x: Tree, i: np.ndarray, lx: int, y: Tree, j: np.ndarray, ly: int) -> np.ndarray:
     """Of node pairs, those below which some pair can link.
 
-    A leaf's bits that a node lacks are members without partner there, so a pair's
-    overlap is at most size minus those. It has to reach NUM (a + b) / (NUM + DEN),
-    and sizes must be in reach of each other.
+    Bits that every set below one node has and no set below the other are members
+    without partner: a pair's overlap is at most its size minus those. It has to
+    reach NUM (a + b) / (NUM + DEN), and sizes must be in reach of each other.
     """
     fit = (DEN * x.high[lx][i] >= NUM * y.low[ly][j]) & (DEN * y.high[ly][j] >= NUM * x.low[lx][i])
-    bx, by = x.bits[lx][i], y.bits[ly][j]
-    if lx == 0:
-        lone = np.bitwise_count(bx & ~by).sum(1)
-        fit &= (NUM + DEN) * (x.high[0][i] - lone) >= NUM * (x.high[0][i] + y.low[ly][j])
-    if ly == 0:
-        lone = np.bitwise_count(by & ~bx).sum(1)
-        fit &= (NUM + DEN) * (y.high[0][j] - lone) >= NUM * (y.high[0][j] + x.low[lx][i])
-    return fit
+    lone = np.bitwise_count(x.common[lx][i] & ~y.bits[ly][j]).sum(1)
+    fit &= (NUM + DEN) * (x.high[lx][i] - lone) >= NUM * (x.high[lx][i] + y.low[ly][j])
+    lone = np.bitwise_count(y.common[ly][j] & ~x.bits[lx][i]).sum(1)
+    return fit & ((NUM + DEN) * (y.high[ly][j] - lone) >= NUM * (y.high[ly][j] + x.low[lx][i]))
 
 
 def dual_traversal(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +301,8 @@ def _room(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.nd
 
 def _tree(block: pd.DataFrame, width: int) -> Tree:
     bits = np.stack([_folded(np.frombuffer(x, np.uint8), width) for x in block["bits"]])
-    return Tree(bits, block["n"].to_numpy(np.int64), np.lexsort((block["minhash"].to_numpy(), block["n"].to_numpy())))
+    n = block["n"].to_numpy(np.int64)
+    return Tree(bits, n, np.lexsort((n, block["minhash"].to_numpy(), np.floor(np.log(n) / np.log(BAND)))))
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -335,16 +354,28 @@ def _closest(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs[~pairs.duplicated("a") | ~pairs.duplicated("b")]
 
 
+def dealt(buckets: DataFrame, block: int) -> DataFrame:
+    """Every set with the pairs of blocks (i, j) in which it is compared, and its own block s.
+
+    A bucket of up to `block` sets is one block. A larger one is cut by size band and,
+    within a band, by hash into blocks of about that size; a set meets the
+    blocks of its own band and of the two next to it, the only ones in its reach.
+    """
+    one = buckets.filter(F.col("m") <= block).select("token", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("s"), *FACTS)
+    large = buckets.filter(F.col("m") > block).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))))
+    bands = large.groupBy("token", "band").agg(F.ceil(F.count("*") / block).alias("g"))
+    maps = bands.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", "g"))).alias("gs"))
+    own = large.join(maps, "token").withColumn("s", F.col("band") * 1_000_000 + F.pmod(F.xxhash64("node"), F.col("gs")[F.col("band")]))
+    blocks_of = lambda b: F.when(F.col("gs")[b].isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("gs")[b] - 1), lambda t: b * 1_000_000 + t)).otherwise(F.array().cast("array<bigint>"))
+    met = own.withColumn("o", F.explode(F.concat(*[blocks_of(F.col("band") + d) for d in (-1, 0, 1)])))
+    return one.unionByName(met.select("token", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", *FACTS))
+
+
 def across(buckets: DataFrame, block: int, closest: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that a bucket's signature trees leave over.
 
-    Sets are dealt to blocks by hash. A bucket of g blocks gives g (g + 1) / 2
-    keys; a set goes to g of them. A task reads its keys in order and holds one.
+    A task reads the pairs of blocks it was dealt in order and holds one.
     """
-    salted = buckets.withColumn("g", F.ceil(F.col("m") / block).cast("int")).withColumn("s", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    routed = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "token", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "node", "comp", "n", "minhash", "bits"
-    )
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -358,7 +389,7 @@ def across(buckets: DataFrame, block: int, closest: bool = False) -> DataFrame:
         if held is not None:
             yield _blocks(held.reset_index(drop=True), closest)
 
-    return routed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInPandas(sweep, "a long, b long").distinct()
+    return dealt(buckets, block).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "node").mapInPandas(sweep, "a long, b long").distinct()
 
 
 def differing(buckets: DataFrame) -> DataFrame:
@@ -368,39 +399,55 @@ def differing(buckets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (its own id without links)."""
+    """One row per document: doc_id, n_shingles, component_id (its own id without links).
+
+    A node is one row of each class of equal sets, so that rows which repeat an id
+    stay apart; an id whose rows lie in several classes links them.
+    """
     last = frequent(docs, id_col, text_col)
-    shape = stored(shapes(docs, last, id_col, text_col), "shapes")
+    shape = stored(shapes(docs, last, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "shapes")
+    sizes = stored(shape.select("doc_id", *KEY), "sizes")
     some = shape.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")), "classes")
-    key = ["n_shingles", "key_a", "key_b"]
-    copies = stored(some.select("doc_id", *key).join(classes.filter("k > 1"), key).filter("doc_id <> rep").select("doc_id").distinct(), "copies")
-    single = among(some, copies, "doc_id", "left_anti")
-    plain = single.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
-    hot = single.select(F.explode("hot_prefix").alias("token"), F.col("doc_id").alias("node"))
+    classes = stored(some.groupBy(*KEY).agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("k")).select(*KEY, F.col("rep.doc_id").alias("least"), F.col("rep.row").alias("node"), "k"), "classes")
+    copies = stored(some.select("row", *KEY).join(classes.filter("k > 1").select("node", *KEY), KEY).filter("row <> node").select("row"), "copies")
+    single = among(some, copies, "row", "left_anti").withColumnRenamed("row", "node")
+    facts = stored(single.select("node", F.col("n_shingles").alias("n"), "minhash", "bits"), "facts")
+    plain = single.select(F.explode("prefix").alias("token"), "node")
     shared = plain.withColumn("k", F.count("*").over(Window.partitionBy("token"))).filter("k > 1").drop("k")
-    routed = stored(shared.unionByName(hot), "routed")
-    reps = stored(single.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "minhash").dropDuplicates(["node"]), "reps")
+    routed = stored(shared.unionByName(single.select(F.explode("hot_prefix").alias("token"), "node")), "routed")
+    forget(shape, copies)
     crowds = routed.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
-    buckets = stored(routed.join(crowds, "token").join(reps, "node"), "buckets")
+    buckets = stored(routed.join(crowds, "token").join(facts.drop("bits"), "node"), "buckets")
+    forget(routed)
     spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / 1000))
     order = Window.partitionBy("token", spread).orderBy("minhash", "n", "node")
     near = buckets.select("node", F.lag("node").over(order).alias("other"), "n", F.lag("n").over(order).alias("n2")).filter(
         F.col("other").isNotNull() & (DEN * F.least("n", "n2") >= NUM * F.greatest("n", "n2"))
     )
     pairs = stored(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).filter("a < b").distinct(), "near")
-    edges = verified(pairs, shape, docs, id_col, text_col, "near")
-    facts = some.select(F.col("doc_id").alias("node"), "bits")
+    edges = stored(verified(pairs, facts, classes, docs, id_col, text_col, "near").unionByName(same_id(sizes, classes)), "edges")
     for closest in (True, False):
-        comp = stored(components.connected(edges), "components")
+        comp = components.connected(edges)
         placed = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         todo = stored(placed.join(differing(placed), "token"), "todo")
-        bits = among(facts, stored(todo.select("node").distinct(), "todo-nodes"), "node").dropDuplicates(["node"])
+        bits = among(facts.select("node", "bits"), stored(todo.select("node").distinct(), "todo-nodes"), "node")
         more = stored(across(todo.join(bits, "node"), block, closest).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(verified(more, shape, docs, id_col, text_col, "far"))
+        edges = edges.union(verified(more, facts, classes, docs, id_col, text_col, "far"))
         pairs = pairs.union(more)
-    final = components.connected(edges)
-    rooted = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "key_a", "key_b", F.coalesce("comp", "rep").alias("component"))
-    return shape.join(rooted, ["n_shingles", "key_a", "key_b"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id")
-    )
+        forget(todo, comp)
+    comp = components.connected(edges)
+    forget(buckets, facts)
+    component = comp.join(classes, "node").groupBy("comp").agg(F.min("least").alias("component"))
+    rooted = stored(classes.join(comp.join(component, "comp"), "node", "left").select(*KEY, F.coalesce("component", "least").alias("component")), "rooted")
+    forget(comp, classes)
+    id_ = F.col("doc_id")
+    return sizes.join(rooted, KEY, "left").select("doc_id", "n_shingles", F.when(id_.isNull() | (F.col("n_shingles") == 0), id_).otherwise(F.col("component")).alias("component_id"))
+
+
+def same_id(sizes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that repeat an id."""
+    some = sizes.filter("n_shingles > 0 and doc_id is not null")
+    again = stored(some.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    nodes = among(some, again, "doc_id").join(classes, KEY).select("doc_id", "node").distinct()
+    first = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return nodes.join(first, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))

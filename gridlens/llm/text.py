@@ -8,6 +8,8 @@ a very long text costs a few bytes per word and never a Python object per word.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 
 SLAB = 1 << 19
 
@@ -80,6 +82,21 @@ def encode(text: str | None) -> bytes:
     return b"" if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")
 
 
+def as_key(id_col: Column) -> Column:
+    """An id on its way into a pandas frame, where a null would turn whole numbers into floats: as a string."""
+    return id_col.cast("long").cast("string")
+
+
+def exact(ids) -> list[int | None]:
+    """The ids that `as_key` made strings."""
+    return [None if x is None else int(x) for x in ids]
+
+
+def longs(ids: list[int | None]):
+    """Ids as a nullable column of whole numbers."""
+    return pd.array(ids, dtype="Int64")
+
+
 def batch_words(texts) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts on end, and where each text's words begin (one more entry than texts)."""
     hashes, bounds, held, size, sizes = [], [0], [], 0, []

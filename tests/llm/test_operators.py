@@ -190,6 +190,27 @@ def test_jaccard_components(spark, block):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp, strict=True))}
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    big = 2**53 + 1
+    a, b, c = (babble(rng, 60) for _ in range(3))
+    near = [*a[:30], "changed", *a[31:]]
+    rows = [(0, b), (1, a), (1, b), (5, near), (big, c), (None, c), (None, a), (7, c[:40]), (7, c[:40]), (9, ["x"] * 3), (9, [])]
+    want = {0: 0, 1: 0, 5: 0, big: big, 7: 7, 9: 9, None: None}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(3)
+    got = jaccard.join(table).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+    assert sorted(r["n_shingles"] for r in got if r["doc_id"] is None) == [56, 56]
+
+
+def test_jaccard_large_buckets_of_every_size(spark):
+    rng = random.Random(22)
+    shared = babble(rng, 80)
+    texts = [" ".join(shared + babble(rng, k)) for k in range(2, 200) if k % 3]
+    _, comp = brute_components(texts)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(spark, texts), block=4).collect()} == dict(enumerate(comp))
+
+
 def test_jaccard_empty(spark):
     assert jaccard.join(docs(spark, []).limit(0)).count() == 0
     assert [r["component_id"] for r in jaccard.join(docs(spark, [None, ""])).orderBy("doc_id").collect()] == [0, 1]
@@ -202,7 +223,7 @@ def test_signature_trees_lose_no_pair():
     import pandas as pd
 
     block = pd.DataFrame({"node": range(len(sets)), "comp": range(len(sets)), "n": [len(s) for s in sets], "minhash": [int(s[0] >> np.uint64(1)) for s in sets], "bits": [jaccard.bitmap(s).tobytes() for s in sets]})
-    found = {(min(a, b), max(a, b)) for i, j in jaccard.tree_pairs(block, None) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    found = {(a, b) for pairs in jaccard.tree_pairs(block, None) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)}
     linked = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if jaccard.linked(sets[a], sets[b])}
     assert linked and linked <= found and len(found) < 300
 
