@@ -13,13 +13,20 @@ around the seed that keeps `min_identity` counts, if it has `min_words` words.
 
 Seeds alone lose a repeat whose parts stand first in different documents. So
 every run of `min_words` words that holds a word outside the passages found, and
-whose seeds all repeat, is joined to its own first place in the corpus, and
-aligned from there. Every word of an exact repeat is in a passage.
+whose seeds all have an earlier place, is joined to its own first place in the
+corpus, and aligned from there. (A run with a seed that has no earlier place has
+none itself.) Every word of an exact repeat is in a passage.
+
+An alignment works on slices: the words of a chain and MARGIN words to both sides.
+If it comes to the end of a slice that is not the end of the text, that pair is
+aligned again on the whole texts, so the margin changes no result.
 
 Nulls and edge cases: null and empty texts and texts under k words have no
-seeds; a null id takes no part; rows that repeat an id count as one (the
-longest text); a passage that repeats within a document is found there. Other
-columns are ignored.
+seeds; a null id takes no part; of rows that repeat an id the longest text counts
+(ties: the greatest), the others are neither searched nor cut; a passage that
+repeats within a document is found there. Documents with equal texts repeat the one
+of least id. An empty table gives no rows. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -28,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm import text
-from gridlens.session import among, stored
+from gridlens.session import among, forget, stored
 
 K, WINDOW = 5, 4
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
@@ -41,6 +49,7 @@ MAX_GAP = 60
 WORTH = 32
 #: an edit costs so many matched words, and an end is given up that far under its best.
 EDIT, DROP = 2, 20
+MARGIN = 96
 BITS = 28
 PASSAGE = "doc_id long, start long, stop long, first_doc long, first_start long, first_stop long, matched long"
 _ODD = 0x9E3779B97F4A7C15
@@ -153,6 +162,9 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
     """
     order = np.lexsort((first, pos))
     pos, first = pos[order], first[order]
+    steps = np.diff(pos), np.diff(first)
+    if all((d > 0).all() and (d <= max_gap + k).all() for d in steps):
+        return [order]  # one ordered run: every match pays for its gap, so all belong to the best chain
     out, runs = [], [np.arange(len(pos))]
     for side in (pos, first, pos):
         runs = [np.sort(part) for run in runs for part in _apart(run, side, max_gap + k)]
@@ -186,8 +198,9 @@ def chains(pos: np.ndarray, first: np.ndarray, k: int = K, max_gap: int = MAX_GA
     return out
 
 
-def extend(a: list[int], b: list[int], low: int, high: int) -> list[tuple[int, int, int, int]]:
-    """Equal runs of an alignment of prefixes of a and b: (place in a, place in b, words, edits up to there).
+def extend(a: list[int], b: list[int], low: int, high: int) -> tuple[list[tuple[int, int, int, int]], bool, bool]:
+    """Equal runs of an alignment of prefixes of a and b: (place in a, place in b, words, edits up to there),
+    and whether the search came to the end of a, and of b.
 
     Point (e, d) is the furthest place in `a` that e edits reach on diagonal d (place in
     a less place in b, low <= d <= high). The alignment ends at the best score, EDIT an
@@ -195,6 +208,7 @@ def extend(a: list[int], b: list[int], low: int, high: int) -> list[tuple[int, i
     """
     n, m, waves, best = len(a), len(b), [], (0, 0, 0, 0)
     wave, top = {0: (0, 0)}, 0
+    end_a = end_b = False
     while wave:
         here = {}
         e = len(waves)
@@ -204,6 +218,8 @@ def extend(a: list[int], b: list[int], low: int, high: int) -> list[tuple[int, i
             while i < n and j < m and a[i] == b[j]:
                 i += 1
                 j += 1
+            end_a |= i >= n
+            end_b |= j >= m
             s = (i + j) // 2 - (EDIT + 1) * e
             if s >= top - DROP:
                 here[d] = (start, i, came)
@@ -221,16 +237,28 @@ def extend(a: list[int], b: list[int], low: int, high: int) -> list[tuple[int, i
         start, stop, came = waves[e][d]
         out.append((start, start - d, stop - start, e))
         d, e = came, e - 1
-    return [r for r in out[::-1] if r[2]]
+    return [r for r in out[::-1] if r[2]], end_a, end_b
+
+
+class Slice:
+    """Words [at, at + len(words)) of a text; `more`: whether the text goes on before and after them."""
 
+    def __init__(self, words: bytes, at: int = 0, before: bool = False, after: bool = False):
+        self.words, self.at, self.more = np.frombuffer(words, np.uint64).tolist(), at, (before, after)
 
-def around(a: list[int], b: list[int], p: int, f: int, own: bool, min_identity: float) -> tuple[int, int, int, int, int]:
+
+def around(a: Slice, b: Slice, p: int, f: int, own: bool, min_identity: float) -> tuple[int, int, int, int, int] | None:
     """(start, stop, first_start, first_stop, edits) of the longest alignment through word p of a
-    and word f of b that keeps min_identity. `own`: b is a, which must not be aligned with itself."""
-    far = len(a) + len(b)
-    shift = p - f
-    right = extend(a[p:], b[f:], 1 - shift if own else -far, far)
-    left = extend(a[:p][::-1], b[:f][::-1], -far, shift - 1 if own else far)
+    and word f of b that keeps min_identity, or None if a slice is too short to tell.
+    `own`: b is a, which must not be aligned with itself."""
+    far = len(a.words) + len(b.words)
+    shift, x, y = p - f, p - a.at, f - b.at
+    right, end_a, end_b = extend(a.words[x:], b.words[y:], 1 - shift if own else -far, far)
+    if end_a and a.more[1] or end_b and b.more[1]:
+        return None
+    left, end_a, end_b = extend(a.words[:x][::-1], b.words[:y][::-1], -far, shift - 1 if own else far)
+    if end_a and a.more[0] or end_b and b.more[0]:
+        return None
     rights = [(x + n, y + n, e) for x, y, n, e in right] or [(0, 0, 0)]
     lefts = [(0, 0, 0), *[(x + n, y + n, e) for x, y, n, e in left]]
     x, y = lefts[-1], rights[-1]
@@ -245,13 +273,16 @@ def around(a: list[int], b: list[int], p: int, f: int, own: bool, min_identity:
     return p - x[0], p + y[0], f - x[1], f + y[1], x[2] + y[2]
 
 
-def align(a: np.ndarray, b: np.ndarray, pos: np.ndarray, first: np.ndarray, own: bool, k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, first_start, first_stop, edits) of the passages through the matches of a pair."""
-    a, b, found, seen = a.tolist(), b.tolist(), [], []
-    for p, f in zip(pos.tolist(), first.tolist(), strict=True):
-        if a[p : p + k] != b[f : f + k] or p + k > len(a) or any(s <= p and p + k <= e and fs <= f and f + k <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
+def align(a: Slice, b: Slice, pos: list[int], first: list[int], own: bool, k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]] | None:
+    """(start, stop, first_start, first_stop, edits) of the passages through the matches of a pair; None as in `around`."""
+    found, seen = [], []
+    for p, f in zip(pos, first, strict=True):
+        x, y = p - a.at, f - b.at
+        if a.words[x : x + k] != b.words[y : y + k] or x + k > len(a.words) or any(s <= p and p + k <= e and fs <= f and f + k <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
             continue
         one = around(a, b, p, f, own, min_identity)
+        if one is None:
+            return None
         seen.append(one)
         s, e, _, _, edits = one
         if e - s >= min_words and e - s - edits >= min_identity * (e - s):
@@ -284,23 +315,36 @@ def _counts(flags: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(flags)]
 
 
-def exact_runs(source: DataFrame, found: DataFrame, seen, k: int, window: int, n: int) -> DataFrame:
+def _packed(positions: Column) -> Column:
+    """An array of places as one binary, four bytes each, highest first."""
+    return F.to_binary(F.array_join(F.transform(positions, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit("hex"))
+
+
+def exact_runs(source: DataFrame, found: DataFrame, met: DataFrame, seen, k: int, window: int, n: int) -> DataFrame:
     """(doc, pos, first_doc, first_pos): runs of n words that no passage of `found` holds whole, with their first place.
-    Runs with a seed that does not repeat (`seen`) cannot repeat."""
-    covered = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    Runs with a seed that does not repeat (`seen`), or has no earlier place (not in `met`), have none themselves."""
+    cuts = spans(found).groupBy(F.col("doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    hits = met.groupBy(F.col("doc").alias("doc_id")).agg(_packed(F.collect_set("pos")).alias("hits"))
+    marks = stored(hits.join(cuts, "doc_id", "left"), "marks")
 
     def runs(asked):
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 h, at = text.batch_words(batch["text"])
+                marked = zip(batch["cuts"], batch["hits"], strict=True) if asked is None else [(None, None)] * len(batch)
                 parts = []
-                for doc, cuts, i, j in zip(batch["doc_id"], batch["cuts"] if asked is None else [None] * len(batch), at, at[1:], strict=False):
+                for doc, (cuts, hits), i, j in zip(batch["doc_id"], marked, at, at[1:], strict=False):
                     if j - i < n:
                         continue
                     words = h[i:j]
                     g, p = sampled(words, k, window)
                     odd = np.zeros(len(words), bool)
-                    odd[p[~within(seen.value, g)]] = True
+                    if asked is None:
+                        odd[p] = True
+                        if hits is not None:
+                            odd[np.frombuffer(hits, ">u4")] = False
+                    else:
+                        odd[p[~within(seen.value, g)]] = True
                     odd = _counts(odd)
                     fits = odd[n - k + 1 : len(words) - k + 2] == odd[: len(words) - n + 1]
                     if asked is None:
@@ -322,79 +366,147 @@ def exact_runs(source: DataFrame, found: DataFrame, seen, k: int, window: int, n
         return find
 
     schema = "run long, doc long, pos long"
-    asked = stored(among(source, stored(covered, "covered"), "doc_id", "left", most=200_000).mapInPandas(runs(None), schema), "asked")
-    places = stored(source.mapInPandas(runs(bitmap(asked, "run")), schema), "places")
-    least = stored(places.groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    asked = stored(among(source, marks, "doc_id", "left", most=200_000).mapInPandas(runs(None), schema), "asked")
+    least = stored(source.mapInPandas(runs(bitmap(asked, "run")), schema).groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    forget(marks)
     return asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
 
-def aligned(source: DataFrame, links: DataFrame, pick, k: int, min_words: int, min_identity: float) -> DataFrame:
-    """Passages through the matches of each pair of documents that `pick` (of pos, first) leaves."""
+def chained(links: DataFrame, pick, least: int) -> DataFrame:
+    """(doc, first_doc, ps, fs): of each pair of documents with `least` matches or more the matches that `pick` (of pos, first) leaves."""
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def of(rows: pd.DataFrame) -> list[tuple]:
-            doc, first_doc = rows["doc"].to_numpy(), rows["first_doc"].to_numpy()
-            pos, first = rows["pos"].to_numpy(), rows["first_pos"].to_numpy()
-            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1])) + 1
-            found = []
-            for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(rows)], strict=True):
-                if y > x and len(c := pick(pos[x:y], first[x:y])):
+        columns = ["doc", "first_doc", "ps", "fs"]
+
+        def of(rows: list[np.ndarray]) -> pd.DataFrame:
+            doc, first_doc, pos, first = rows
+            cuts = np.r_[0, np.flatnonzero((doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1])) + 1, len(doc)]
+            long, found = np.flatnonzero(np.diff(cuts) >= least), []
+            for x, y in zip(cuts[long].tolist(), cuts[long + 1].tolist(), strict=True):
+                if len(c := pick(pos[x:y], first[x:y])):
                     found.append((doc[x], first_doc[x], pos[x:y][c].astype("<i8").tobytes(), first[x:y][c].astype("<i8").tobytes()))
-            return found
+            return pd.DataFrame(found, columns=columns).astype({"doc": "int64", "first_doc": "int64"})
 
-        held, columns = None, ["doc", "first_doc", "ps", "fs"]
+        held = None
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            open_ = ((rows["doc"] == rows["doc"].iloc[-1]) & (rows["first_doc"] == rows["first_doc"].iloc[-1])).to_numpy()
-            held = rows[open_]
-            yield pd.DataFrame(of(rows[~open_]), columns=columns)
-        if held is not None:
-            yield pd.DataFrame(of(held), columns=columns)
+            rows = [batch[c].to_numpy() for c in ("doc", "first_doc", "pos", "first_pos")]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            last = int(np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])[-1]) if len(rows[0]) else 0
+            held = [x[last:] for x in rows]
+            if last:
+                yield of([x[:last] for x in rows])
+        if held is not None and len(held[0]):
+            yield of(held)
+
+    return links.repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "pos").mapInPandas(chain, "doc long, first_doc long, ps binary, fs binary")
 
-    chained = stored(links.repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "pos").mapInPandas(chain, "doc long, first_doc long, ps binary, fs binary"), "chains")
-    ends = stored(chained.select("doc").union(chained.select("first_doc")).distinct(), "ends")
+
+def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """Passages through the matches of each pair of documents, stored."""
+    chains_ = stored(chained(links, pick, least), "chains")
+    firsts = stored(chains_.select(F.col("first_doc").alias("doc_id")).distinct(), "firsts")
 
     def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             h, at = text.batch_words(batch["text"])
-            yield pd.DataFrame({"doc": batch["doc_id"], "words": [h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]})
-
-    once = among(source, ends.withColumnRenamed("doc", "doc_id"), "doc_id").mapInPandas(sequences, "doc long, words binary")
-    words = stored(once.groupBy("doc").agg(F.max_by("words", F.length("words")).alias("words")), "words")
-    both = chained.join(words, "doc").withColumnRenamed("words", "a").join(words.select(F.col("doc").alias("first_doc"), F.col("words").alias("b")), "first_doc")
+            yield pd.DataFrame({"first_doc": batch["doc_id"], "words": [h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]})
+
+    words = stored(among(source, firsts, "doc_id", most=200_000).mapInPandas(sequences, "first_doc long, words binary"), "words")
+    done = stored(measured(source, chains_, words, MARGIN, k, min_words, min_identity), "measured")
+    again = stored(done.filter("start is null").select("doc_id", "first_doc").distinct(), "again")
+    result = done.filter("start is not null")
+    if again.count():
+        rest = chains_.join(again.withColumnRenamed("doc_id", "doc"), ["doc", "first_doc"], "left_semi")
+        result = result.union(stored(measured(source, rest, words, None, k, min_words, min_identity), "measured"))
+    forget(chains_, words)
+    return result
+
+
+def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: int | None, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """Passages of the chains, aligned on slices of `margin` words around them (None: on whole texts);
+    of a pair whose slices are too short one row with a null start."""
+    low = F.lit(0) if margin is None else F.greatest(F.lit(0), F.col("f_low") - margin)
+    high = F.col("n") if margin is None else F.least(F.col("n"), F.col("f_high") + k + margin)
+    asks = chains_.groupBy("doc").agg(F.collect_list(F.struct("first_doc", "ps", "fs")).alias("asks"))
+
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["doc", "first_doc", "ps", "fs", "f_low", "f_high", "at", "before", "after", "a"]
+        for batch in batches:
+            h, at = text.batch_words(batch["text"])
+            found = []
+            for doc, asks, i, j in zip(batch["doc_id"], batch["asks"], at, at[1:], strict=False):
+                for ask in asks:
+                    p, f = np.frombuffer(ask["ps"], "<i8"), np.frombuffer(ask["fs"], "<i8")
+                    x, y = (0, int(j - i)) if margin is None else (max(0, int(p.min()) - margin), min(int(j - i), int(p.max()) + k + margin))
+                    found.append((doc, ask["first_doc"], ask["ps"], ask["fs"], int(f.min()), int(f.max()), x, x > 0, y < j - i, h[i + x : i + y].tobytes()))
+                if len(found) >= 5_000:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            if found:
+                yield pd.DataFrame(found, columns=columns)
+
+    wide = among(source, stored(asks.withColumnRenamed("doc", "doc_id"), "asks"), "doc_id", "inner", most=200_000)
+    mine = wide.mapInPandas(slices, "doc long, first_doc long, ps binary, fs binary, f_low long, f_high long, at long, before boolean, after boolean, a binary")
+    both = mine.join(words, "first_doc").withColumn("n", (F.length("words") / 8).cast("long")).withColumn("low", low.cast("long")).withColumn("high", high.cast("long"))
+    pairs = both.select("doc", "first_doc", "ps", "fs", "at", "before", "after", "a", "low", "n", "high", F.expr("substring(words, cast(low * 8 + 1 as int), cast((high - low) * 8 as int))").alias("b"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for doc, first_doc, ps, fs, a, b in zip(batch["doc"], batch["first_doc"], batch["ps"], batch["fs"], batch["a"], batch["b"], strict=True):
-                for s, e, fs_, fe, edits in align(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), np.frombuffer(ps, "<i8"), np.frombuffer(fs, "<i8"), doc == first_doc, k, min_words, min_identity):
-                    found.append((doc, s, e, first_doc, fs_, fe, e - s - edits))
-            yield pd.DataFrame(found, columns=["doc_id", "start", "stop", "first_doc", "first_start", "first_stop", "matched"])
+            for doc, first_doc, ps, fs, at, before, after, a, low, n, high, b in batch.itertuples(index=False):
+                got = align(Slice(a, at, before, after), Slice(b, low, low > 0, high < n), np.frombuffer(ps, "<i8").tolist(), np.frombuffer(fs, "<i8").tolist(), doc == first_doc, k, min_words, min_identity)
+                if got is None:
+                    found.append((doc, None, None, first_doc, None, None, None))
+                else:
+                    found += [(doc, s, e, first_doc, x, y, e - s - edits) for s, e, x, y, edits in got]
+            yield pd.DataFrame(found, columns=["doc_id", "start", "stop", "first_doc", "first_start", "first_stop", "matched"]).astype(dict.fromkeys(["start", "stop", "first_start", "first_stop", "matched"], "Int64"))
+
+    return pairs.mapInPandas(measure, PASSAGE)
+
+
+def repeated_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id__, mark__): of ids on several rows the text that counts, the longest, by its hash."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("t")).filter("id__ is not null")
+    again = stored(ids.groupBy("id__").count().filter("count > 1").select("id__"), "again")
+    rows = among(ids, again, "id__", most=200_000)
+    return stored(rows.groupBy("id__").agg(F.max(F.struct(F.length("t").alias("n"), "t")).alias("top")).select("id__", F.xxhash64("top.t").alias("mark__")), "marks")
+
 
-    return both.mapInPandas(measure, PASSAGE)
+def counted(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text): one row for each id that is not null."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id__"), F.col(text_col).alias("text")).filter("id__ is not null")
+    if marks.count():
+        kept = among(rows, marks, "id__", "inner", most=200_000).filter(F.xxhash64("text") == F.col("mark__")).groupBy("id__").agg(F.max("text").alias("text"))
+        rows = among(rows, marks, "id__", "left_anti", most=200_000).unionByName(kept)
+    return rows.withColumnRenamed("id__", "doc_id")
 
 
 def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
     """Repeated passages: words [start, stop) of doc_id repeat [first_start, first_stop) of first_doc.
 
     Shuffles: seeds by hash (counted; those that repeat are then joined, and
-    a hot seed is split by the join), matches by document pair, word sequences of matched documents only,
+    a hot seed is split by the join), matches by document pair, slices around chains by first document,
     and long runs outside the passages of the seeds.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    source = counted(docs, repeated_ids(docs, id_col, text_col), id_col, text_col)
     found, seen = seeds(source, k, window)
     first = stored(repeated(found), "first")  # the join then shuffles plain rows, of which AQE splits a hot seed
+    met = stored(matches(found, first), "matches")
+    forget(found, first)
 
-    def chained(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int64), *[c for c in chains(pos, at, k) if len(c) > 1]]).astype(np.int64) if len(pos) > 1 else np.empty(0, np.int64)
+    def in_chains(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.int64), *[c for c in chains(pos, at, k) if len(c) > 1]]).astype(np.int64)
 
     def starts(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
         order = np.lexsort((pos, pos - at))
         p, d = pos[order], (pos - at)[order]
         return np.sort(order[np.r_[True, (np.diff(p) != 1) | (np.diff(d) != 0)]])
 
-    fuzzy = stored(aligned(source, matches(found, first), chained, k, min_words, min_identity), "fuzzy")
-    exact = aligned(source, exact_runs(source, fuzzy, seen, k, window, min_words), starts, k, min_words, min_identity)
+    fuzzy = aligned(source, met, in_chains, 2, k, min_words, min_identity)
+    runs = exact_runs(source, fuzzy, met, seen, k, window, min_words)
+    exact = aligned(source, runs, starts, 1, k, min_words, min_identity)
+    forget(met)
     return fuzzy.union(exact)
 
 
@@ -411,32 +523,28 @@ def spans(found: DataFrame) -> DataFrame:
 def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the repeated passages taken out of their texts; the first copy stays.
 
-    A document of which nothing is left goes; one that had no words stays.
+    A document of which nothing is left goes; one that had no words stays, and so do
+    rows of a repeated id whose text is not the one that counts.
     """
-    lists = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts__"))
-    keyed = docs.withColumn("id__", F.col(id_col).cast("long"))
-    joined = among(keyed, stored(lists.withColumnRenamed("doc_id", "id__"), "cuts"), "id__", "left", most=200_000).drop("id__")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    lists = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts__")).withColumnRenamed("doc_id", "id__")
+    cuts = stored(lists.join(repeated_ids(docs, id_col, text_col), "id__", "left"), "cuts")
+    joined = among(docs.withColumn("id__", F.col(id_col).cast("long")), cuts, "id__", "left", most=200_000).drop("id__")
+    ours = F.col("cuts__").isNotNull() & (F.col("mark__").isNull() | (F.col("mark__") == F.xxhash64(F.col(text_col))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = [], []
-            for t, cuts in zip(batch[text_col], batch["cuts__"], strict=True):
-                if cuts is None:
-                    texts.append(t)
-                    keep.append(True)
-                    continue
+            texts = []
+            for t, places in zip(batch.column(text_col).to_pylist(), batch.column("cuts__").to_pylist(), strict=True):
                 data = text.encode(t)
                 _, s, e = text.words_of(data)
                 out, at = [], 0
-                for c in cuts:
+                for c in places:
                     out.append(data[at : s[c["start"]]])
                     at = int(e[c["stop"] - 1])
                 texts.append((b"".join(out) + data[at:]).decode("utf-8", "replace"))
-                keep.append(bool(texts[-1].strip()))
-            batch = batch.drop(columns="cuts__")
-            batch[text_col] = texts
-            yield batch[keep]
+            names = [n for n in batch.schema.names if n != "cuts__"]
+            columns = [pa.array(texts, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
-    changed = joined.filter("cuts__ is not null").mapInPandas(run, schema)
-    return joined.filter("cuts__ is null").drop("cuts__").unionByName(changed)
+    changed = joined.filter(ours).drop("mark__").mapInArrow(run, docs.schema)
+    return joined.filter(~ours).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)

@@ -410,6 +410,20 @@ def test_substring_passages_whose_parts_stand_first_elsewhere(spark):
     assert {i for i, _ in asked} == {3, 6, 7} and asked <= found and {i for i, _ in found} == {3, 6, 7}
 
 
+def test_substring_passages_of_long_texts_and_repeated_ids(spark):
+    rng = random.Random(14)
+    long = babble(rng, 900)
+    a, b = babble(rng, 70), babble(rng, 30)
+    rows = [(0, long), (1, babble(rng, 20) + long + babble(rng, 20)), (2, a), (3, babble(rng, 5) + a), (3, a + a + b), (3, None), (None, a), (4, [*long[:450], "odd", *long[450:]])]
+    table = spark.createDataFrame([(i, " ".join(w) if w else None, 2**53 + 1 if n else None) for n, (i, w) in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
+    found = substrings.passages(table)
+    spans = {r["doc_id"]: (r["start"], r["stop"]) for r in substrings.spans(found).collect()}
+    assert spans == {1: (20, 920), 3: (0, 140), 4: (0, 901)}
+    left = sorted((str(r["doc_id"]), r["text"] or "", r["n_chars"] or 0) for r in substrings.cut(table, found).collect())
+    assert [x[0] for x in left] == ["0", "1", "2", "3", "3", "3", "None"] and sorted(x[1].split() for x in left if x[0] == "3") == sorted([[], rows[3][1], b])
+    assert {x[2] for x in left} == {0, 2**53 + 1}
+
+
 def test_chains_are_collinear_and_cost_gaps():
     pos, first = np.array([0, 10, 20, 21, 30]), np.array([100, 110, 500, 121, 130])
     best = substrings.chains(pos, first)[0]
