@@ -57,6 +57,7 @@ PAIRS = 16_384
 BAND = 1.26
 FACTS = ["node", "comp", "n", "minhash", "bits"]
 KEY = ["n_shingles", "key_a", "key_b"]
+SETS = "doc_id long, n_shingles long, key_a long, key_b long, shingles binary"
 COLUMNS = ["key_a", "key_b", "minhash", "prefix", "hot_prefix", "bits"]
 SHAPE = "doc_id long, n_shingles long, key_a long, key_b long, minhash long, prefix array<long>, hot_prefix array<long>, bits binary"
 
@@ -114,7 +115,7 @@ def frequent(docs: DataFrame, id_col: str, text_col: str, least: int = 4, most:
             keep = total >= least
             yield pd.DataFrame({"h": values[keep].view(np.int64), "n": total[keep]})
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(text.in_slices(count, "h long, n long"), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()
     return np.sort(rows["h"].to_numpy(np.int64).view(np.uint64))
 
@@ -140,7 +141,7 @@ def shapes(docs: DataFrame, last: np.ndarray, id_col: str, text_col: str) -> Dat
                 rows.append((len(s), *_keys(s), *_prefix(s, last), bitmap(s).tobytes()))
             yield pd.DataFrame(rows, columns=["n_shingles", *COLUMNS]).assign(doc_id=text.longs(ids))[["doc_id", "n_shingles", *COLUMNS]]
 
-    return docs.select(text.as_key(F.col(id_col)).alias("id"), F.col(text_col).alias("text")).mapInPandas(shape, SHAPE)
+    return docs.select(text.as_key(F.col(id_col)).alias("id"), F.col(text_col).alias("text")).mapInArrow(text.in_slices(shape, SHAPE), SHAPE)
 
 
 def _keys(s: np.ndarray) -> tuple[int, int, int]:
@@ -169,7 +170,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
             yield pd.DataFrame({"doc_id": batch["id"], "n_shingles": list(map(len, sets)), "key_a": [k[0] for k in keys], "key_b": [k[1] for k in keys], "shingles": [s.tobytes() for s in sets]})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    made = among(source, wanted.select(F.col("doc_id").alias("id")).distinct(), "id").mapInPandas(make, "doc_id long, n_shingles long, key_a long, key_b long, shingles binary")
+    made = among(source, wanted.select(F.col("doc_id").alias("id")).distinct(), "id").mapInArrow(text.in_slices(make, SETS), SETS)
     return among(made, wanted, ["doc_id", *KEY], "inner").select("node", "shingles").dropDuplicates(["node"])
 
 

@@ -52,6 +52,7 @@ EDIT, DROP = 2, 20
 MARGIN = 96
 BITS = 28
 PASSAGE = "doc_id long, start long, stop long, first_doc long, first_start long, first_stop long, matched long"
+SLICES = "doc long, first_doc long, ps binary, fs binary, f_low long, f_high long, at long, before boolean, after boolean, a binary"
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -94,9 +95,9 @@ def seeds(docs: DataFrame, k: int, window: int) -> tuple[DataFrame, object]:
 
         return run
 
-    twice = docs.mapInPandas(find(None), "seed long").groupBy("seed").count().filter("count > 1")
+    twice = docs.mapInArrow(text.in_slices(find(None), "seed long"), "seed long").groupBy("seed").count().filter("count > 1")
     bits = bitmap(twice, "seed")
-    return stored(docs.mapInPandas(find(bits), "seed long, doc long, pos long, before long"), "seeds"), bits
+    return stored(docs.mapInArrow(text.in_slices(find(bits), "seed long, doc long, pos long, before long"), "seed long, doc long, pos long, before long"), "seeds"), bits
 
 
 def before(h: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -273,10 +274,13 @@ def around(a: Slice, b: Slice, p: int, f: int, own: bool, min_identity: float) -
     return p - x[0], p + y[0], f - x[1], f + y[1], x[2] + y[2]
 
 
-def align(a: Slice, b: Slice, pos: list[int], first: list[int], own: bool, k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> list[tuple[int, int, int, int, int]] | None:
-    """(start, stop, first_start, first_stop, edits) of the passages through the matches of a pair; None as in `around`."""
-    found, seen = [], []
+def align(a: Slice, b: Slice, pos: list[int], first: list[int], own: bool, k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, run: int | None = None) -> list[tuple[int, int, int, int, int]] | None:
+    """(start, stop, first_start, first_stop, edits) of the passages through the matches of a pair; None as in `around`.
+    `run`: matches are runs of so many words, and those wholly within the passages found so far are done."""
+    found, seen, done = [], [], bytearray(len(a.words))
     for p, f in zip(pos, first, strict=True):
+        if run and 0 not in done[p - a.at : p - a.at + run]:
+            continue
         x, y = p - a.at, f - b.at
         if a.words[x : x + k] != b.words[y : y + k] or x + k > len(a.words) or any(s <= p and p + k <= e and fs <= f and f + k <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
             continue
@@ -287,6 +291,7 @@ def align(a: Slice, b: Slice, pos: list[int], first: list[int], own: bool, k: in
         s, e, _, _, edits = one
         if e - s >= min_words and e - s - edits >= min_identity * (e - s):
             found.append(one)
+            done[s - a.at : e - a.at] = bytes([1]) * (e - s)
     return found
 
 
@@ -366,8 +371,8 @@ def exact_runs(source: DataFrame, found: DataFrame, met: DataFrame, seen, k: int
         return find
 
     schema = "run long, doc long, pos long"
-    asked = stored(among(source, marks, "doc_id", "left", most=200_000).mapInPandas(runs(None), schema), "asked")
-    least = stored(source.mapInPandas(runs(bitmap(asked, "run")), schema).groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
+    asked = stored(among(source, marks, "doc_id", "left", most=200_000).mapInArrow(text.in_slices(runs(None), schema), schema), "asked")
+    least = stored(source.mapInArrow(text.in_slices(runs(bitmap(asked, "run")), schema), schema).groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
     forget(marks)
     return asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
 
@@ -402,7 +407,7 @@ def chained(links: DataFrame, pick, least: int) -> DataFrame:
     return links.repartition("doc", "first_doc").sortWithinPartitions("doc", "first_doc", "pos").mapInPandas(chain, "doc long, first_doc long, ps binary, fs binary")
 
 
-def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_words: int, min_identity: float) -> DataFrame:
+def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_words: int, min_identity: float, run: int | None = None) -> DataFrame:
     """Passages through the matches of each pair of documents, stored."""
     chains_ = stored(chained(links, pick, least), "chains")
     firsts = stored(chains_.select(F.col("first_doc").alias("doc_id")).distinct(), "firsts")
@@ -412,18 +417,18 @@ def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_w
             h, at = text.batch_words(batch["text"])
             yield pd.DataFrame({"first_doc": batch["doc_id"], "words": [h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]})
 
-    words = stored(among(source, firsts, "doc_id", most=200_000).mapInPandas(sequences, "first_doc long, words binary"), "words")
-    done = stored(measured(source, chains_, words, MARGIN, k, min_words, min_identity), "measured")
+    words = stored(among(source, firsts, "doc_id", most=200_000).mapInArrow(text.in_slices(sequences, "first_doc long, words binary"), "first_doc long, words binary"), "words")
+    done = stored(measured(source, chains_, words, MARGIN, k, min_words, min_identity, run), "measured")
     again = stored(done.filter("start is null").select("doc_id", "first_doc").distinct(), "again")
     result = done.filter("start is not null")
     if again.count():
         rest = chains_.join(again.withColumnRenamed("doc_id", "doc"), ["doc", "first_doc"], "left_semi")
-        result = result.union(stored(measured(source, rest, words, None, k, min_words, min_identity), "measured"))
+        result = result.union(stored(measured(source, rest, words, None, k, min_words, min_identity, run), "measured"))
     forget(chains_, words)
     return result
 
 
-def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: int | None, k: int, min_words: int, min_identity: float) -> DataFrame:
+def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: int | None, k: int, min_words: int, min_identity: float, run: int | None) -> DataFrame:
     """Passages of the chains, aligned on slices of `margin` words around them (None: on whole texts);
     of a pair whose slices are too short one row with a null start."""
     low = F.lit(0) if margin is None else F.greatest(F.lit(0), F.col("f_low") - margin)
@@ -447,7 +452,7 @@ def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: in
                 yield pd.DataFrame(found, columns=columns)
 
     wide = among(source, stored(asks.withColumnRenamed("doc", "doc_id"), "asks"), "doc_id", "inner", most=200_000)
-    mine = wide.mapInPandas(slices, "doc long, first_doc long, ps binary, fs binary, f_low long, f_high long, at long, before boolean, after boolean, a binary")
+    mine = wide.mapInArrow(text.in_slices(slices, SLICES), SLICES)
     both = mine.join(words, "first_doc").withColumn("n", (F.length("words") / 8).cast("long")).withColumn("low", low.cast("long")).withColumn("high", high.cast("long"))
     pairs = both.select("doc", "first_doc", "ps", "fs", "at", "before", "after", "a", "low", "n", "high", F.expr("substring(words, cast(low * 8 + 1 as int), cast((high - low) * 8 as int))").alias("b"))
 
@@ -455,7 +460,7 @@ def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: in
         for batch in batches:
             found = []
             for doc, first_doc, ps, fs, at, before, after, a, low, n, high, b in batch.itertuples(index=False):
-                got = align(Slice(a, at, before, after), Slice(b, low, low > 0, high < n), np.frombuffer(ps, "<i8").tolist(), np.frombuffer(fs, "<i8").tolist(), doc == first_doc, k, min_words, min_identity)
+                got = align(Slice(a, at, before, after), Slice(b, low, low > 0, high < n), np.frombuffer(ps, "<i8").tolist(), np.frombuffer(fs, "<i8").tolist(), doc == first_doc, k, min_words, min_identity, run)
                 if got is None:
                     found.append((doc, None, None, first_doc, None, None, None))
                 else:
@@ -498,14 +503,12 @@ def passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def in_chains(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.concatenate([np.empty(0, np.int64), *[c for c in chains(pos, at, k) if len(c) > 1]]).astype(np.int64)
 
-    def starts(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
-        order = np.lexsort((pos, pos - at))
-        p, d = pos[order], (pos - at)[order]
-        return np.sort(order[np.r_[True, (np.diff(p) != 1) | (np.diff(d) != 0)]])
+    def all_(pos: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.arange(len(pos))
 
     fuzzy = aligned(source, met, in_chains, 2, k, min_words, min_identity)
     runs = exact_runs(source, fuzzy, met, seen, k, window, min_words)
-    exact = aligned(source, runs, starts, 1, k, min_words, min_identity)
+    exact = aligned(source, runs, all_, 1, k, min_words, min_identity, min_words)
     forget(met)
     return fuzzy.union(exact)
 

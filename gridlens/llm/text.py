@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SLAB = 1 << 19
 
@@ -21,7 +24,7 @@ _BYTE = np.random.default_rng(20240601).integers(1, 2**63, 256, np.uint64)[_FOLD
 _BYTE[_SEP] = 0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LANES = np.random.default_rng(77).integers(1, 2**63, 64, np.uint64) | np.uint64(1)
-_POWERS = np.ones(1, np.uint64)
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,11 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1, at least, of the base and of its inverse."""
     global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 64) * 2, _BASE, np.uint64)], dtype=np.uint64)
-    return _POWERS[:n]
+    if len(_POWERS[0]) < n:
+        _POWERS = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)], dtype=np.uint64) for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64)))
+    return _POWERS
 
 
 def _slab_end(data: bytes, at: int, n: int) -> int:
@@ -61,14 +65,13 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stop = _slab_end(data, at, n)
         raw = np.frombuffer(data, np.uint8, stop - at, at)
         word = ~_SEP[raw]
-        edge = np.diff(np.concatenate(([0], word.view(np.int8), [0])).astype(np.int8))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(s):
-            first = np.zeros(len(raw), np.int64)
-            first[s] = s
-            pos = np.where(word, np.arange(len(raw)) - np.maximum.accumulate(first), 0)
-            value = _BYTE[raw] * _powers(int((e - s).max()))[pos]
-            hashes.append(mix(np.add.reduceat(value, s) + (e - s).astype(np.uint64)))
+        s = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+        e = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+        s, e = (np.r_[0, s] if word[0] else s), (np.r_[e, len(raw)] if word[-1] else e)
+        if len(s):  # a byte weighs its place in the slab; taking back the weight of the word's start leaves the place in the word
+            up, down = _powers(len(raw))
+            sums = np.add.reduceat(_BYTE[raw] * up[: len(raw)], s) * down[s]
+            hashes.append(mix(sums + (e - s).astype(np.uint64)))
             starts.append(s + at)
             ends.append(e + at)
         at = stop
@@ -97,6 +100,26 @@ def longs(ids: list[int | None]):
     return pd.array(ids, dtype="Int64")
 
 
+def in_slices(run, schema: str, rows: int = 512):
+    """A function of pandas frames as one of Arrow batches, for mapInArrow with the same schema.
+
+    Only `rows` rows at a time become Python objects, so that a worker holds a batch of
+    texts once (as Arrow) and not as strings and word arrays too.
+    """
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows).to_pandas()
+
+    def over(batches):
+        for frame in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema=target, preserve_index=False)
+
+    return over
+
+
 def batch_words(texts) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts on end, and where each text's words begin (one more entry than texts)."""
     hashes, bounds, held, size, sizes = [], [0], [], 0, []
