@@ -7,19 +7,27 @@ closer it is to toxic text. The largest differences of a text pass through a
 calibrated logistic curve that was fitted on labelled texts kept out of the
 dictionaries, so the score is a probability and 0.5 is the threshold.
 
-Both dictionaries share a base trained on ordinary windows and differ in a tail
-of equal size: more ordinary windows in one, toxic strings in the other. The
-toxic tail is not trained by zstandard: it is a concatenation of the strings that
-toxic texts hold and ordinary texts of the sample lack, by their 6-byte grams.
-Words of 3 bytes or fewer, and toxic phrases of ordinary words (a window is one
-word), are not seen. A carrier that either dictionary holds goes before and after
-each window, so that even a window of one word is compressed and not stored, and
-differences are taken per byte of window.
+Both dictionaries are trained by zstandard, each on texts of its own class. They
+share a base trained on ordinary windows, so that common words cost the same with
+either, and end in a part of equal size: trained on further ordinary windows in
+one, and in the other, with a search over the trainer's parameters, on the telling
+words of toxic texts (those with a 6-byte gram that toxic texts hold and ordinary
+texts of the sample hardly do; trained on all windows of toxic texts, a dictionary
+fills with ordinary words and separates nothing). Windows are single words and
+runs of two. A carrier that either dictionary holds goes before and after each
+window, so that even a short window is compressed and not stored, and differences
+are taken per byte of window.
+
+What it cannot see: toxic phrases all of whose words are ordinary, and words of 3
+bytes or fewer, unless they are telling together with their spaces.
 
 Only `text` is an input of a score. Null and empty texts have no windows and get
-the curve's value for no difference. Repeated ids are scored row by row. Without
-labels of both kinds the score is 0. Null labels are left out, and a document
-labelled both ways counts as toxic.
+the curve's value for no difference; texts of any length are scored whole, window
+by window. Repeated ids are scored row by row, equal texts get equal scores. Without
+labels of both kinds the score is 0. Null labels are left out, a document
+labelled both ways counts as toxic, and of an id on several rows the greatest text
+is learned from. An empty table gives no rows; columns named score or window_diff are
+replaced, all others are carried along as they are.
 """
 
 from __future__ import annotations
@@ -30,16 +38,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 LEVEL = 3
 #: a difference is counted in bytes saved per so many bytes of window.
 SHARE = 20
 STEPS = range(5, 18)
 GRAM = 6
+#: fixed value: the last bytes of a trained dictionary's head (its three repeat offsets), after which the content begins.
+HEAD_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 CARRIER = bytes(range(1, 32))
 WORD = re.compile(r"\w+")
 _cache: dict = {}
@@ -57,11 +68,17 @@ class Model:
 
 
 def windows(text: str | None, width: int) -> list[str]:
-    """Different windows of `width` words, in lower case."""
+    """The different words of a text and its different runs of `width` words, in lower case."""
     words = WORD.findall(text.lower()) if isinstance(text, str) else []
     if width == 1:
         return list(dict.fromkeys(words))
-    return list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(0, len(words), width)))
+    return list(dict.fromkeys([*words, *map(" ".join, zip(*(words[i:] for i in range(width)), strict=False))]))
+
+
+def chunks(text: str, width: int = 8) -> list[str]:
+    """A text cut into runs of `width` words."""
+    words = WORD.findall(text.lower())
+    return [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -71,18 +88,19 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=params, dict_data=data)
 
 
-def trained(samples: list[bytes], size: int, segment: int = 32) -> bytes:
-    """Content of a dictionary trained on the samples; too few samples are taken as they are."""
+def trained(samples: list[bytes], size: int, **search) -> bytes:
+    """Content of a dictionary that zstandard trains on the samples; too few samples are taken as they are."""
     try:
-        return zstandard.train_dictionary(size + 1024, samples, k=segment, d=6).as_bytes()[-size:]
+        made = zstandard.train_dictionary(size + 1024, samples, d=6, **(search or {"k": 32})).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
+    return made[made.rfind(HEAD_END) + len(HEAD_END) :][-size:]
 
 
 class Distance:
     """Byte differences (ordinary minus toxic) of windows, remembered up to a bound."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
         self.width, self.most, self.known = model.width, most, {}
 
@@ -112,23 +130,14 @@ def _grams(words) -> set[bytes]:
     return {b[i : i + GRAM] for w in words for b in [f" {w} ".encode("utf-8", "surrogatepass")] for i in range(len(b) - GRAM + 1)}
 
 
-def toxic_strings(toxic: list[str], ordinary: list[str], ratio: float = 20.0, least: int = 3) -> list[bytes]:
-    """Runs of bytes in toxic texts made of grams that ordinary texts lack, one for each text and run."""
+def telling(toxic: list[str], ordinary: list[str], ratio: float = 20.0) -> list[bytes]:
+    """The words of toxic texts with a gram that these favour, once for each text that holds them."""
+    least = max(3, -(-3 * len(toxic) // 100))
     sets = [list(dict.fromkeys(WORD.findall(t.lower()))) for t in toxic]
     there = Counter(g for ws in sets for g in _grams(ws))
     here = Counter(g for t in ordinary for g in _grams(WORD.findall(t.lower())) if there[g] >= least)
-    telling = {g for g, n in there.items() if n >= least and n * len(ordinary) >= ratio * max(1, here[g]) * len(toxic)}
-    runs = []
-    for words in sets:
-        for w in words:
-            b, first = f" {w} ".encode("utf-8", "surrogatepass"), None
-            for i in range(len(b) - GRAM + 2):
-                if b[i : i + GRAM] in telling and i + GRAM <= len(b):
-                    first = i if first is None else first
-                elif first is not None:
-                    runs.append(b[first : i - 1 + GRAM])
-                    first = None
-    return runs
+    favoured = {g for g, n in there.items() if n >= least and n * len(ordinary) >= ratio * max(1, here[g]) * len(toxic)}
+    return [f" {w} ".encode("utf-8", "surrogatepass") for words in sets for w in words if not favoured.isdisjoint(_grams([w]))]
 
 
 def _design(features: np.ndarray) -> np.ndarray:
@@ -159,7 +168,7 @@ def fit_curve(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> t
     return tuple(float(v) for v in w)
 
 
-def train(rows: list[tuple[int, str]], *, width: int = 1, base_size: int = 8192, tail_size: int = 16384) -> Model | None:
+def train(rows: list[tuple[int, str]], *, width: int = 2, base_size: int = 8192, tail_size: int = 2048) -> Model | None:
     """A model of (label, text) rows. Three of four rows make the dictionaries, the fourth the curve."""
     rows = [(y, t or "") for y, t in rows]
     toxic, ordinary = ([t for y, t in rows if y == v] for v in (1, 0))
@@ -167,13 +176,12 @@ def train(rows: list[tuple[int, str]], *, width: int = 1, base_size: int = 8192,
         return None
     part = lambda ts: ([t for i, t in enumerate(ts) if i % 4], ts[::4]) if len(ts) > 3 else (ts, ts)
     (tox, tox_out), (plain, plain_out) = part(toxic), part(ordinary)
-    spread = lambda ts: [f" {w} ".encode("utf-8", "surrogatepass") for t in ts for w in windows(t, 8)]
+    spread = lambda ts: [f" {w} ".encode("utf-8", "surrogatepass") for t in ts for w in chunks(t)]
     half = len(plain) // 2
-    base = trained(spread(plain[:half])[:100_000], base_size)
-    common = [s for s, _ in Counter(toxic_strings(tox, plain)).most_common()]
-    tail = b"".join(reversed(common))[-tail_size:]
-    fill = trained(spread(plain[half:])[:100_000], max(len(tail), 2048))[-max(len(tail), 1) :]
-    blank = Model(hash((base, tail)), base + fill, base + tail, width, ())
+    base = trained(spread(plain[:half]), base_size)
+    tail = trained(telling(tox, plain), tail_size, steps=40)
+    fill = trained(spread(plain[half:]), max(len(tail), 512))[-len(tail) :] if tail else b""
+    blank = Model(hash((base, fill, tail)), base + fill, base + tail, width, ())
     far = Distance(blank)
     x = np.array([far.features(t) for t in tox_out + plain_out])
     y = np.r_[np.ones(len(tox_out)), np.zeros(len(plain_out))]
@@ -184,17 +192,17 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 4000, chars: int = 20_000) -> list[tuple[int, str]]:
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = 4000) -> list[tuple[int, str]]:
     """At most `per_label` labelled texts of each label, by hash of the id, none of the held-out fold.
 
-    This is the bound of the fit: 2 x per_label texts of at most `chars`
-    characters reach the driver, however large the tables are.
+    This is the bound of the fit: 2 x per_label whole texts reach the driver, one for
+    each id, however large the tables are.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     picked = known.filter(F.col("y") == 1).orderBy(F.xxhash64("id"), "id").limit(per_label).unionByName(known.filter(F.col("y") == 0).orderBy(F.xxhash64("id"), "id").limit(per_label))
-    texts = docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, chars).alias("t"))
-    found = texts.join(F.broadcast(picked), "id").select("id", "y", "t").collect()
-    return [(r["y"], r["t"]) for r in sorted(found, key=lambda r: (r["id"], r["t"] or ""))]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("t").alias("t")).collect()
+    return [(r["y"], r["t"]) for r in sorted(found, key=lambda r: r["id"])]
 
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,16 +211,16 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     if model is None:
         return docs.select(*added, F.lit(0.0).alias("score"), F.lit(0).alias("window_diff"))
     kept = docs.select(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double, window_diff int"
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("window_diff", IntegerType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far = _cache.get(model.key)
         if far is None:
             _cache.clear()
             far = _cache[model.key] = Distance(model)
         for batch in batches:
-            x = np.array([far.features(t) for t in batch[text_col]]).reshape(-1, 3)
+            x = np.array([far.features(t.as_py()) for t in batch.column(text_col)]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(_design(x) @ np.array(model.weights), -30, 30)))
-            yield batch.assign(score=p, window_diff=x[:, 0].astype("int32"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(x[:, 0].astype(np.int32))], names=schema.names)
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
