@@ -6,8 +6,9 @@ taken at every word. The CGK random walk embeds a word sequence: at each step it
 puts out the word it stands on and moves on if a random bit of (step, word) says
 so, which turns edits into few differing places. Each of `repeats` walks samples
 a few places of the embedding into a bucket key; windows and items that share a
-key are compared by exact edit distance. The repeats are set so that even pairs
-at the full distance are found with probability 0.99 or more (measured in tests).
+key are compared by exact edit distance. The samples and repeats are set for each item
+length so that simulated pairs at the full distance are found with probability
+`recall` or more (held against planted passages in tests).
 
 Before windows are embedded, the q-gram count bound drops those that cannot
 match: d edits leave at least n - q + 1 - qd of an item's n - q + 1 runs of q
@@ -19,8 +20,10 @@ each block against all documents, so what a task holds is bounded however large
 the benchmark is. Documents are read in one narrow pass a block, no shuffle.
 
 Nulls and edge cases: null and empty texts match nothing; items under
-`min_item_words` words cannot be told from chance and match nothing; repeated
-items and documents give a row each; null ids are carried along.
+`min_item_words` words cannot be told from chance and match nothing; an
+item in a script without spaces is few words. Texts of any length are searched whole.
+Repeated items and documents give a row each; null ids are carried along; an empty table
+gives no rows; of windows at the same distance the first counts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlens.llm import text
+from gridlens.session import stored
 
 RATE = 0.2
-SAMPLES, REPEATS = 3, 64
+RECALL = 0.99
+#: places a repeat samples, most first: fewer are taken where a length would need over MANY repeats.
+SAMPLES, MANY = (3, 2, 1), 128
+#: simulated pairs and walks of each by which the repeats of a length are set.
+PAIRS, TRIALS = 48, 128
 FOUND = "doc_id long, item_id long, start long, words long, edits long"
 _OTHER = re.compile(r"\W+")
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -49,29 +57,71 @@ def plain(t: str | None) -> str:
 
 
 class Walks:
-    """The random walks and the places each repeat samples, made from a seed."""
+    """The random walks and the places each repeat samples, made from a seed for each item length."""
 
-    def __init__(self, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = 4):
-        self.repeats, self.samples, self.seed = repeats, samples, seed
-        self.lanes = np.random.default_rng(seed).integers(1, 2**63, samples, np.uint64) | np.uint64(1)
+    def __init__(self, rate: float = RATE, recall: float = RECALL, seed: int = 4):
+        self.rate, self.recall, self.seed = rate, recall, seed
+        self.lanes = np.random.default_rng(seed).integers(1, 2**63, max(SAMPLES), np.uint64) | np.uint64(1)
+        self.plans: dict[int, tuple[int, int]] = {}
 
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """(repeats, m) bucket keys of m word sequences of one length."""
+    def plan(self, n: int) -> tuple[int, int]:
+        """(samples, repeats) with which items of n words at the full distance reach the recall.
+
+        Measured on PAIRS simulated pairs: of each, how often a walk agrees in a place of
+        the embedding, which gives the chance of a repeat to put both in one bucket.
+        """
+        if n not in self.plans:
+            rng = np.random.default_rng([self.seed, n, 1])
+            items, near = zip(*(self._pair(n, rng) for _ in range(PAIRS)), strict=True)
+            both = np.concatenate([np.stack(items), np.stack(near)])
+            same = np.zeros((TRIALS, PAIRS))
+            for word in self._walked(both, rng.integers(0, 2**63, (2 * n, TRIALS, 1), np.uint64)):
+                same += (word[:, :PAIRS] == word[:, PAIRS:]) & (word[:, :PAIRS] > 0)
+            share = same / (2 * n)
+            for samples in SAMPLES:
+                chance, repeats = (share**samples).mean(0), 1
+                while ((1 - chance) ** repeats).mean() > 1 - self.recall:
+                    repeats += 1
+                if repeats <= MANY or samples == SAMPLES[-1]:
+                    break
+            self.plans[n] = samples, repeats
+        return self.plans[n]
+
+    def _pair(self, n: int, rng) -> tuple[np.ndarray, np.ndarray]:
+        item = rng.integers(1, 2**63, n, np.uint64)
+        words = item.tolist()
+        for _ in range(int(self.rate * n)):
+            at, kind = int(rng.integers(len(words))), int(rng.integers(3))
+            words[at : at + 1] = [[], [int(rng.integers(1, 2**63))], [words[at], int(rng.integers(1, 2**63))]][kind]
+        words += rng.integers(1, 2**63, n, np.uint64).tolist()
+        return item, np.array(words[:n], np.uint64)
+
+    def _walked(self, windows: np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
+        """For each step the words that the walks stand on; 0 past the end."""
         m, n = windows.shape
-        rng = np.random.default_rng([self.seed, n])
-        steps = 2 * n
-        bits = rng.integers(0, 2**63, (steps, self.repeats, 1), np.uint64)
-        places = np.sort(rng.integers(0, steps, (self.repeats, self.samples)), axis=1)
         padded = np.concatenate([windows, np.zeros((m, 1), np.uint64)], axis=1)
-        at, total, row = np.zeros((self.repeats, m), np.int64), np.zeros((self.repeats, m), np.uint64), np.arange(m)
-        for j in range(int(places.max()) + 1 if places.size else 0):
+        at, row = np.zeros((bits.shape[1], m), np.int64), np.arange(m)
+        for turn in bits:
             word = padded[row, at]
-            for k in range(self.samples):
+            yield word
+            at = np.minimum(at + ((word ^ turn) * _ODD >> np.uint64(63)).astype(np.int64), n)
+
+    def keys(self, windows: np.ndarray, side: int) -> np.ndarray:
+        """(repeats, m) bucket keys of m word sequences of one length. A place past the end of a
+        sequence agrees with none of the other side (0: items, 1: windows)."""
+        m, n = windows.shape
+        samples, repeats = self.plan(n)
+        rng = np.random.default_rng([self.seed, n])
+        bits = rng.integers(0, 2**63, (2 * n, repeats, 1), np.uint64)
+        places = np.sort(rng.integers(0, 2 * n, (repeats, samples)), axis=1)
+        total = np.zeros((repeats, m), np.uint64)
+        for j, word in enumerate(self._walked(windows, bits[: int(places.max()) + 1])):
+            for k in range(samples):
                 hit = np.flatnonzero(places[:, k] == j)
                 if len(hit):
-                    total[hit] += text.mix(word[hit]) * self.lanes[k]
-            at = np.minimum(at + ((word ^ bits[j]) * _ODD >> np.uint64(63)).astype(np.int64), n)
-        return text.mix(total + (np.arange(self.repeats, dtype=np.uint64) * _ODD)[:, None])
+                    here = word[hit]
+                    total[hit] += text.mix(np.where(here > 0, here, np.uint64(side))) * self.lanes[k]
+        return text.mix(total + (np.arange(repeats, dtype=np.uint64) * _ODD)[:, None])
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -102,7 +152,7 @@ class Index:
         self.keys: dict[int, dict[int, list[int]]] = {}
         for n, group in self.items.items():
             known = self.keys[n] = {}
-            for row in walks.keys(np.stack([w for _, w in group])):
+            for row in walks.keys(np.stack([w for _, w in group]), 0):
                 for k, key in enumerate(row.tolist()):
                     known.setdefault(key, []).append(k)
 
@@ -182,7 +232,7 @@ class Index:
         windows = np.where(inside, h[np.minimum(place, len(h) - 1)], np.uint64(0))
         candidates = set()
         known = self.keys[n]
-        for row in self.walks.keys(windows):
+        for row in self.walks.keys(windows, 1):
             for w, key in enumerate(row.tolist()):
                 for k in known.get(key, ()):
                     candidates.add((w, k))
@@ -199,23 +249,27 @@ class Index:
                     best[where, item] = found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_item_words: int = 5, block: int = 20_000, repeats: int = REPEATS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_item_words: int = 5, block: int = 20_000, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, start (word), words, edits of every item that a document holds."""
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     blocks = max(1, -(-items.count() // block))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(text.as_key(F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text"))
+
+    walks = Walks(rate, recall)
 
     def against(part: int) -> DataFrame:
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == part).collect()
-        index = Index([(r["i"], r["t"]) for r in rows], rate, min_item_words, Walks(repeats))
+        index = Index([(r["i"], r["t"]) for r in rows], rate, min_item_words, walks)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 h, at = text.batch_words([plain(t) for t in batch["text"]])
-                ids = batch["doc_id"].tolist()
-                found = [(ids[k], item, start, words, edits) for k, item, start, words, edits in index.search(h, at)]
-                yield pd.DataFrame(found, columns=["doc_id", "item_id", "start", "words", "edits"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                ids = text.exact(batch["doc_id"])
+                found = [(k, item, start, words, edits) for k, item, start, words, edits in index.search(h, at)]
+                yield pd.DataFrame([x[2:] for x in found], columns=["start", "words", "edits"]).assign(doc_id=text.longs([ids[x[0]] for x in found]), item_id=text.longs([x[1] for x in found]))
 
         return source.mapInPandas(run, FOUND)
 
-    return reduce(DataFrame.unionByName, [against(b) for b in range(blocks)])
+    if blocks == 1:
+        return against(0)
+    return reduce(DataFrame.unionByName, [stored(against(b), "found") for b in range(blocks)])  # one after the other
