@@ -13,7 +13,10 @@ character after it (its double for itself).
 
 Ties and repeated rows: turns sort by turn, then role, then text; a null turn
 comes first; repeated rows stay as turns. Null role is `user`, null text is
-empty. A conversation of no rows does not appear.
+empty. Turns with a null conversation id form one conversation of that id. A
+conversation of no rows does not appear, so an empty table gives no rows. A
+conversation is formatted in one row and has to fit a task, however long. Columns
+other than the four named are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlens.llm.text import as_key, exact, longs
+
 #: fixed values: strings that chat templates in public use treat as control.
 CONTROLS = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
 _BREAK = re.compile("(?=" + "|".join(map(re.escape, CONTROLS)) + ")(.)", re.S)
@@ -114,13 +119,14 @@ def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: st
 
     def form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for conv, items in zip(batch["conv_id"], batch["rows"], strict=True):
+            found, convs = [], []
+            for conv, items in zip(exact(batch["conv_id"]), batch["rows"], strict=True):
                 text, spans, visitor = render([{"role": r["role"], "parts": r["parts"]} for r in items])
-                found.append((None if pd.isna(conv) else int(conv), text, spans, visitor.attachments, visitor.tokens))
-            yield pd.DataFrame(found, columns=["conv_id", "formatted", "loss_spans", "attachments", "expanded_tokens"]).astype({"conv_id": "Int64"})
+                found.append((text, spans, visitor.attachments, visitor.tokens))
+                convs.append(conv)
+            yield pd.DataFrame(found, columns=["formatted", "loss_spans", "attachments", "expanded_tokens"]).assign(conv_id=longs(convs))
 
-    return gathered.mapInPandas(form, FORMATTED)
+    return gathered.withColumn("conv_id", as_key(F.col("conv_id"))).mapInPandas(form, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -133,11 +139,12 @@ def digests(formatted: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            found = []
-            for conv, text, spans in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], strict=True):
+            found, convs = [], []
+            for conv, text, spans in zip(exact(batch["conv_id"]), batch["formatted"], batch["loss_spans"], strict=True):
                 turns = read_back(text)
                 loss = "".join(unescape(text[s["begin"] : s["stop"]]) for s in spans)
-                found.append((None if pd.isna(conv) else int(conv), len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(found, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                convs.append(conv)
+                found.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+            yield pd.DataFrame(found, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).assign(conv_id=longs(convs))
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(read, DIGEST)
+    return formatted.select(as_key(F.col("conv_id")).alias("conv_id"), "formatted", "loss_spans").mapInPandas(read, DIGEST)

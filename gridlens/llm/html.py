@@ -27,6 +27,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from gridlens.llm.text import as_key, exact, longs
+
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset("script style template noscript head title svg math iframe object select textarea button option datalist canvas audio video".split())
@@ -34,7 +36,9 @@ HEAD_ITEMS = frozenset("base basefont bgsound link meta noframes noscript script
 #: the end of these is the end of the page if their end tag is missing.
 RAW = frozenset("script style".split())
 OPTIONS = frozenset("option optgroup".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: an element of these holds list items, cells and options of its own.
+SCOPES = frozenset("table ul ol dl menu select".split())
 BOILER_TAGS = frozenset("nav footer aside form header menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 #: fixed values: parts of class names, ids and roles.
@@ -72,6 +76,7 @@ class Blocks(HTMLParser):
         self.unclosed, self.starts = unclosed, 0
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int, int, int]] = []  # tag, node number, boiler marks, content marks
+        self.open_p = 0
         self.nodes, self.linked, self.heads, self.words, self.in_links = 0, 0, 0, [], 0
 
     def _flush(self) -> None:
@@ -106,6 +111,7 @@ class Blocks(HTMLParser):
             boiler, content = boiler + less, content + more
         self.stack.append((tag, self.nodes, boiler, content))
         self.linked += tag == "a"
+        self.open_p += tag == "p"
         self.heads += tag in HEADINGS
 
     def _skip_ends(self, tag: str) -> None:
@@ -123,20 +129,20 @@ class Blocks(HTMLParser):
 
     def _close_implied(self, tag: str) -> None:
         """A block element ends an open paragraph; list items, cells and rows end their like."""
-        near = [x[0] for x in self.stack[-8:]]
-        if "p" in near:
+        if self.open_p:
             self._pop("p")
         elif tag in CLOSED_BY:
-            self._pop_nearest(near[-3:], CLOSED_BY[tag])
-
-    def _pop_nearest(self, near: list[str], tags: set[str]) -> None:
-        if found := next((x for x in reversed(near) if x in tags), None):
-            self._pop(found)
+            for name, *_ in reversed(self.stack):
+                if name in CLOSED_BY[tag]:
+                    return self._pop(name)
+                if name in SCOPES:
+                    return None
 
     def _pop(self, tag: str) -> None:
         while self.stack:
             name = self.stack.pop()[0]
             self.linked -= name == "a"
+            self.open_p -= name == "p"
             self.heads -= name in HEADINGS
             if name == tag:
                 return
@@ -282,6 +288,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": [main_text(h) for h in batch["html"]]})
+            yield pd.DataFrame({"page_id": longs(exact(batch["page_id"])), "url": batch["url"], "text": [main_text(h) for h in batch["html"]]})
 
-    return pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).mapInPandas(run, "page_id long, url string, text string")
+    return pages.select(as_key(pages[id_col]).alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html")).mapInPandas(run, "page_id long, url string, text string")

@@ -14,7 +14,8 @@ and a sequence never leaves its task. Sequence ids hold the partition's number
 in their upper half. Recomputing a lost partition gives the same sequences.
 
 Null and empty texts are the end id alone. Repeated rows and ids are packed as
-separate documents. Empty tables give no rows. Other columns are ignored.
+separate documents; equal lengths are taken last come first. A very long text is cut
+into full windows as it comes. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from gridlens.llm.text import as_key, exact, longs
+
 CAPACITY = 4096
 END_ID = 2
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -210,15 +213,17 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
 
         def rows() -> pd.DataFrame:
             found, packer.out = packer.out, []
-            return pd.DataFrame(found, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame([x[1:] for x in found], columns=["start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            frame.insert(0, "doc_id", longs([x[0] for x in found]))
+            return frame
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                packer.add(None if pd.isna(doc) else int(doc), encode(text))
+            for doc, text in zip(exact(batch["doc_id"]), batch["text"], strict=True):
+                packer.add(doc, encode(text))
                 if len(packer.out) >= 4000:
                     yield rows()
         packer.drain(last=True)
         if packer.out:
             yield rows()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, PIECES)
+    return docs.select(as_key(docs[id_col]).alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, PIECES)

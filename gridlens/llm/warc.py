@@ -11,7 +11,10 @@ building again gives the same records.
 Nulls and edge cases: a null block is empty; a block without a blank line has
 headers only; a missing record id is derived from URI, date and block; repeated
 responses give repeated records; text that is not HTML or text is not converted
-(its conversion is empty). Bytes that do not decode are replaced.
+(its conversion is empty). Bytes that do not decode are replaced. A response is
+converted whole, however long; an empty table gives no rows; a page with the url of
+another is a response of its own, and one that equals it gets the same ids. Columns of
+pages that are named like a field of a response make way for it.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlens.llm.text import as_key, exact, longs
+
 RESPONSE = "record_id string, target_uri string, warc_date string, warc_headers map<string,string>, block binary"
 RECORD = "key long, record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, block_digest string, payload_digest string, http_status int, source_headers string, content_length long, content binary"
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
@@ -123,32 +128,36 @@ def derive_one(record_id: str | None, uri: str | None, date: str | None, headers
 
 def derive(responses: DataFrame, key: str | Column | None = None) -> DataFrame:
     """Two derived records per response (columns RECORD); `key` (long) is carried along."""
-    carried = (F.col(key) if isinstance(key, str) else key if key is not None else F.lit(None)).cast("long").alias("key")
+    carried = (F.col(key) if isinstance(key, str) else key if key is not None else F.lit(None))
+    carried = as_key(carried).alias("key")
     order = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [{"key": None if pd.isna(k) else int(k)} | rec for k, *row in zip(batch["key"], *(batch[c] for c in ("record_id", "target_uri", "warc_date", "warc_headers", "block")), strict=True) for rec in derive_one(*row)]
-            yield pd.DataFrame(found, columns=order).astype({"key": "Int64", "http_status": "Int32"})
+            keys, rows = exact(batch["key"]), zip( *(batch[c] for c in ("record_id", "target_uri", "warc_date", "warc_headers", "block")), strict=True)
+            found = [derive_one(*row) for row in rows]
+            keys = [k for k, recs in zip(keys, found, strict=True) for _ in recs]
+            yield pd.DataFrame([rec for recs in found for rec in recs], columns=order[1:]).assign(key=longs(keys)).astype({"http_status": "Int32"})
 
     return responses.select(carried, "record_id", "target_uri", "warc_date", "warc_headers", "block").mapInPandas(run, RECORD)
 
 
 def as_responses(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Response records of pages that were kept without their HTTP envelope; other columns stay."""
+    """Response records of pages that were kept without their HTTP envelope; other columns stay, but for those named like a record's."""
     body = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     head = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")), "UTF-8")
     block = F.concat(head, body)
     hexa = F.md5(F.concat(F.encode(F.coalesce(F.col(url_col), F.lit("")), "UTF-8"), F.lit(b"\x00"), block))
     parts = [F.substring(hexa, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return pages.select(
-        "*",
+    made = [
         F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">")).alias("record_id"),
         F.col(url_col).alias("target_uri"),
         F.lit(date).alias("warc_date"),
         F.create_map(F.lit("WARC-Type"), F.lit("response")).alias("warc_headers"),
         block.alias("block"),
-    )
+    ]
+    names = [x.split()[0] for x in RESPONSE.split(", ")]
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in names], *made)
 
 
 def member(record: dict) -> bytes:

@@ -249,6 +249,7 @@ def test_toxicity_on_held_out_rows(spark):
     held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     scored = [r["score"] for r in toxicity.score(docs(spark, [t for t, _ in held] + ODD), model).orderBy("doc_id").collect()]
     right = sum((s >= 0.5) == (y == 1) for s, (_, y) in zip(scored, held, strict=False))
+    assert toxicity.windows("A b, c", 2) == ["a", "b", "c", "a b", "b c"] and toxicity.windows(None, 2) == []
     assert right / len(held) > 0.95 and all(0 <= s <= 1 for s in scored) and len(scored) == len(held) + len(ODD)
     assert all(s < 0.5 for s in scored[len(held) :])
     assert toxicity.train(toxicity.sample(table, labels.filter("toxic = 0"))) is None
@@ -306,6 +307,57 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.contaminated(docs(spark, texts).limit(0), bench).count() == 0 and decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_recall_at_the_full_distance(spark):
+    rng = random.Random(31)
+    for n in (5, 20, 80, 400):
+        items = [babble(rng, n) for _ in range(12)]
+        texts, planted = [], set()
+        for k in range(48):
+            w = list(items[k % 12])
+            for _ in range(int(0.2 * n)):
+                p = rng.randrange(len(w))
+                w[p : p + 1] = rng.choice([[], ["zz" + str(rng.randrange(10**9))], [w[p], "zz" + str(rng.randrange(10**9))]])
+            texts.append(" ".join(babble(rng, 20) + w + babble(rng, 20)))
+            planted.add((k, k % 12))
+        index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)], decontam.RATE, 5, decontam.Walks())
+        found = {(k, item) for k, item, *_ in index.search(*text.batch_words([decontam.plain(t) for t in texts]))}
+        assert len(planted & found) >= 0.97 * len(planted), n
+
+
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = 2**53 + 1
+    words = "one two three four five six seven eight nine ten " * 3
+    rows = [(big, None, words, 0, "user", big), (None, "u", words, 1, "assistant", None)]
+    table = spark.createDataFrame(rows, "doc_id long, url string, text string, turn long, role string, n_chars long").coalesce(1)
+    ids = lambda df, c: {r[c] for r in df.collect()}
+    both = {big, None}
+    assert ids(packing.pack(table, queries.tokenizer_path()), "doc_id") == both
+    assert ids(html.extract(table, id_col="doc_id", html_col="text"), "page_id") == both
+    assert ids(warc.derive(warc.as_responses(table, html_col="text"), "doc_id"), "key") == both
+    formatted = chat.format_conversations(table.withColumn("parts", chat.text_parts(F.col("text"))), "doc_id")
+    assert ids(formatted, "conv_id") == both and ids(chat.digests(formatted), "conv_id") == both
+    bench = spark.createDataFrame([(big, words), (None, words)], "item_id long, text string").coalesce(1)
+    found = decontam.contaminated(table, bench)
+    assert ids(found, "doc_id") == both and ids(found, "item_id") == both
+    model = toxicity.train([(1, "bad " + words), (0, words)] * 8)
+    scored = toxicity.score(table, model)
+    assert ids(scored, "doc_id") == both and ids(scored, "n_chars") == both
+    assert ids(jaccard.join(table), "doc_id") == both
+
+
+def test_warc_pages_with_clashing_columns(spark):
+    names = ["block", "record_id", "target_uri", "warc_date", "Warc_Headers", "key"]
+    pages = spark.createDataFrame([("u", "<p>x", *["clash"] * 6)], ["url", "html", *names])
+    assert [bytes(r["content"]) for r in warc.derive(warc.as_responses(pages)).filter("record_type = 'conversion'").collect()] == [b"x"]
+
+
+def test_html_nesting_and_cells():
+    story = "This is a story, told in a sentence of some length, so that nobody takes it for a menu; it goes on and on."
+    assert html.main_text("<article>" + "<div>" * 3000 + f"<p>{story}<p>{story}") == f"{story}\n{story}"
+    table = f"<article><p>{story}<table><tr><td>{story}<td>{story}<tr><td><ul><li>{story}<li>{story}</ul></table>"
+    assert html.main_text(table) == "\n".join([story] * 5)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(10)
     for _ in range(300):
