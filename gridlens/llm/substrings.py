@@ -118,7 +118,7 @@ def matches(found: DataFrame, first: DataFrame) -> DataFrame:
     """(doc, pos, first_doc, first_pos): every seed with its first place in an earlier
     document, and with the place before it in its own (so that a short period is one
     long passage, a period behind itself)."""
-    other = found.join(first.filter("first.doc < hi").drop("hi"), "seed").filter("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    other = found.join(first.filter("first.doc < hi").drop("hi").hint("merge"), "seed").filter("doc <> first.doc").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     own = found.filter("before >= 0").select("doc", "pos", F.col("doc").alias("first_doc"), F.col("before").alias("first_pos"))
     return other.union(own)
 
@@ -371,7 +371,7 @@ def exact_runs(source: DataFrame, found: DataFrame, met: DataFrame, seen, k: int
         return find
 
     schema = "run long, doc long, pos long"
-    asked = stored(among(source, marks, "doc_id", "left", most=200_000).mapInArrow(text.in_slices(runs(None), schema), schema), "asked")
+    asked = stored(source.join(marks.hint("merge"), "doc_id", "left").mapInArrow(text.in_slices(runs(None), schema), schema), "asked")
     least = stored(source.mapInArrow(text.in_slices(runs(bitmap(asked, "run")), schema), schema).groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
     forget(marks)
     return asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
@@ -417,7 +417,7 @@ def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_w
             h, at = text.batch_words(batch["text"])
             yield pd.DataFrame({"first_doc": batch["doc_id"], "words": [h[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]})
 
-    words = stored(among(source, firsts, "doc_id", most=200_000).mapInArrow(text.in_slices(sequences, "first_doc long, words binary"), "first_doc long, words binary"), "words")
+    words = stored(among(source, firsts, "doc_id").mapInArrow(text.in_slices(sequences, "first_doc long, words binary"), "first_doc long, words binary"), "words")
     done = stored(measured(source, chains_, words, MARGIN, k, min_words, min_identity, run), "measured")
     again = stored(done.filter("start is null").select("doc_id", "first_doc").distinct(), "again")
     result = done.filter("start is not null")
@@ -430,7 +430,8 @@ def aligned(source: DataFrame, links: DataFrame, pick, least: int, k: int, min_w
 
 def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: int | None, k: int, min_words: int, min_identity: float, run: int | None) -> DataFrame:
     """Passages of the chains, aligned on slices of `margin` words around them (None: on whole texts);
-    of a pair whose slices are too short one row with a null start."""
+    of a pair whose slices are too short one row with a null start. Joins with texts and
+    words are merges at every size, as both sides grow with the corpus."""
     low = F.lit(0) if margin is None else F.greatest(F.lit(0), F.col("f_low") - margin)
     high = F.col("n") if margin is None else F.least(F.col("n"), F.col("f_high") + k + margin)
     asks = chains_.groupBy("doc").agg(F.collect_list(F.struct("first_doc", "ps", "fs")).alias("asks"))
@@ -451,9 +452,9 @@ def measured(source: DataFrame, chains_: DataFrame, words: DataFrame, margin: in
             if found:
                 yield pd.DataFrame(found, columns=columns)
 
-    wide = among(source, stored(asks.withColumnRenamed("doc", "doc_id"), "asks"), "doc_id", "inner", most=200_000)
+    wide = source.join(asks.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id")
     mine = wide.mapInArrow(text.in_slices(slices, SLICES), SLICES)
-    both = mine.join(words, "first_doc").withColumn("n", (F.length("words") / 8).cast("long")).withColumn("low", low.cast("long")).withColumn("high", high.cast("long"))
+    both = mine.join(words.hint("merge"), "first_doc").withColumn("n", (F.length("words") / 8).cast("long")).withColumn("low", low.cast("long")).withColumn("high", high.cast("long"))
     pairs = both.select("doc", "first_doc", "ps", "fs", "at", "before", "after", "a", "low", "n", "high", F.expr("substring(words, cast(low * 8 + 1 as int), cast((high - low) * 8 as int))").alias("b"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
