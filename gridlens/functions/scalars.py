@@ -24,7 +24,8 @@ CIVIL = r"^\s*(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\
 def timestamp_ms(c: Column, offset_minutes: int = 0) -> Column:
     """Epoch milliseconds of a civil or zoned time; fields over their range roll on.
 
-    A time without zone is taken at `offset_minutes` east of UTC. Digits of a
+    A time without zone is taken at `offset_minutes` east of UTC, a day alone with
+    hyphens at UTC. Digits of a
     fraction beyond the third are cut. Anything else is null.
     """
     part = lambda k: F.regexp_extract(c, CIVIL, k)
@@ -33,7 +34,8 @@ def timestamp_ms(c: Column, offset_minutes: int = 0) -> Column:
     seconds = days.cast("long") * 86400 + whole(4) * 3600 + whole(5) * 60 + whole(6)
     zone = part(8)
     digits = F.regexp_replace(zone, "[^0-9]", "")
-    shift = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))).when(zone != "", F.lit(0)).otherwise(F.lit(offset_minutes))
+    day_alone = (part(4) == "") & c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$")
+    shift = F.when(day_alone, F.lit(0)).when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))).when(zone != "", F.lit(0)).otherwise(F.lit(offset_minutes))
     millis = F.coalesce(F.rpad(F.substring(part(7), 1, 3), 3, "0").try_cast("int"), F.lit(0))
     return F.when(c.rlike(CIVIL), (seconds - shift * 60) * 1000 + millis)
 
@@ -44,7 +46,7 @@ def epoch_ms(n: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / 1048576))
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1048576, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.2f MB", n / 1048576))
 
 
 def signed32(n: Column) -> Column:
@@ -58,13 +60,14 @@ def cell_label(c: Column) -> Column:
     return F.when(n != "", F.concat(F.lit("Cell "), n.cast("int").cast("string")))
 
 
-DATES = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+#: fixed values: how days are written.
+DATES = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{4}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일"
 
 
 def days_in(text: Column) -> Column:
     """Distinct valid civil days named in a text, as dates in order."""
     found = F.regexp_extract_all(text, F.lit(DATES), 0)
-    parts = F.transform(found, lambda s: F.split(s, "[-/]"))
+    parts = F.transform(found, lambda s: F.split(s, "[^0-9]+"))
     days = F.transform(parts, lambda p: F.try_make_date(p[0].cast("int"), p[1].cast("int"), p[2].cast("int")) if hasattr(F, "try_make_date") else F.concat_ws("-", p[0], F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0")).try_cast("date"))
     return F.array_sort(F.array_distinct(F.array_compact(days)))
 
@@ -75,28 +78,55 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+#: fixed values: the named references that are decoded.
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def html_references(c: Column) -> Column:
+    """Named and numeric character references decoded in one pass; unknown ones stay."""
+    pieces = F.split(c, r"(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[a-zA-Z])[0-9a-zA-Z]*;)|(?<=&[#0-9a-zA-Z]{1,16};)")
+
+    def one(x: Column) -> Column:
+        name = F.regexp_extract(x, r"^&([a-zA-Z]+);$", 1)
+        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(x, r"^&#([0-9]{1,7});$", 1), F.lit(""))).cast("long")
+        numeric = F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        named = F.create_map(*[F.lit(v) for kv in REFERENCES.items() for v in kv])[name]
+        return F.coalesce(named, numeric, x)
+
+    return F.array_join(F.transform(pieces, one), "")
+
+
 def html_text(c: Column) -> Column:
-    """Visible text: scripts and styles go, tags become spaces, the six named references are decoded, spaces collapse."""
-    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]+>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"[ \t\n\r\x0b\f]+", " "))
+    """Visible text: scripts and styles go, tags become spaces, references are decoded; white space
+    within a line becomes one space, empty lines go, single line breaks stay."""
+    t = F.regexp_replace(F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " "), r"<[^>]+>", " ")
+    t = F.regexp_replace(F.regexp_replace(html_references(t), r"[ \t\f\x0b]+", " "), r"\n\s*\n+", "\n")
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"01[016789]-?[0-9]{3,4}-?[0-9]{4}"
+#: fixed values: what counts as personal data.
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONE = r"\b0\d{1,2}-?\d{3,4}-?\d{4}\b"
+LABEL = r"(?:고객사|고객명|사이트명|담당자)\s*[:：]"
+ADDRESS = r"[가-힣]+(?:특별시|광역시|자치시|도)\s?[가-힣]+(?:시|군|구)\s?[가-힣0-9]+(?:읍|면|동|로|길)"
+#: fixed values: extensions of logs, and the words that speak for a log.
+LOG_EXTENSIONS = ["csv", "txt", "log", "tsv", "dat"]
+LOG_NAMES = "bms|ess|pcs|ems|cell|alarm|fault|log"
+TIME_HEADERS = "time|timestamp|date"
+SIGNAL_HEADERS = "volt|voltage|current|temp|soc|soh|alarm|fault|status"
 
 
 def pii(text: Column, pattern: str, most: int = 3) -> Column:
     """The first different matches of a pattern; what is shown is bounded, the test is not."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), 1, most)
 
 
 def source_score(name: Column, header: Column) -> Column:
-    """How likely a file is a telemetry log, from its name and first line."""
+    """How likely a file is a telemetry log, from its name and first line (null or empty: no header)."""
+    lower, head = F.lower(name), F.lower(F.coalesce(header, F.lit("")))
     return (
-        F.when(F.lower(name).rlike("log|data|bess|battery|telemetry"), 2).otherwise(0)
-        + F.when(F.lower(header).rlike("time|date"), 3).otherwise(0)
-        + F.when(F.lower(header).rlike("volt|curr|temp|soc|mw|alarm|fault"), 2).otherwise(0)
-        - F.when(F.lower(name).rlike(r"\.(md|html?|pptx|pdf)$"), 5).otherwise(0)
+        F.when(lower.rlike(LOG_NAMES), 2).otherwise(0)
+        + F.when(head.rlike(TIME_HEADERS), 3).otherwise(0)
+        + F.when(head.rlike(SIGNAL_HEADERS), 2).otherwise(0)
+        - F.when(F.element_at(F.split(lower, r"\."), -1).isin(LOG_EXTENSIONS), 0).otherwise(5)
     )

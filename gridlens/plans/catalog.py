@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.operators import evidence, forensics, islands, rolling, sampling, series, stats
-from gridlens.plans import inline
+from gridlens.plans import inline, literals
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 QUERIES: dict = {}
@@ -403,6 +403,7 @@ def largest_gap(spark, sf_dir):
 
 
 inline.register(query, table)
+literals.register(query)
 
 
 def queries() -> dict:

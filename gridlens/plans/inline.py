@@ -14,7 +14,7 @@ from gridlens.streaming import live
 
 
 def register(query, table) -> None:
-    @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\x0b\f]+', ' ', 'g')) AS text FROM pages""")
+    @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '[ \t\x0b\f]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages""")
     def html_text(spark, sf_dir):
         return table(spark, sf_dir, "pages").select("page_id", scalars.html_text(F.col("html")).alias("text"))
 
@@ -30,17 +30,21 @@ def register(query, table) -> None:
         b = evidence.budget(d, ["source"], ["doc_id"], F.col("size"), 20_000, 60_000)
         return b.select("source", "doc_id", F.col("take").cast("long").alias("take"), "cut")
 
-    @query("""SELECT page_id, CAST(CASE WHEN regexp_matches(lower(url), 'log|data|bess|battery|telemetry') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(html), 'time|date') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(html), 'volt|curr|temp|soc|mw|alarm|fault') THEN 2 ELSE 0 END
-    - CASE WHEN regexp_matches(lower(url), '\\.(md|html?|pptx|pdf)$') THEN 5 ELSE 0 END AS INT) AS score FROM pages""")
+    @query("""SELECT page_id, CAST(CASE WHEN regexp_matches(lower(url), 'bms|ess|pcs|ems|cell|alarm|fault|log') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(split_part(html, chr(10), 1)), 'time|timestamp|date') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(split_part(html, chr(10), 1)), 'volt|voltage|current|temp|soc|soh|alarm|fault|status') THEN 2 ELSE 0 END
+    - CASE WHEN string_split(lower(url), '.')[-1] IN ('csv', 'txt', 'log', 'tsv', 'dat') THEN 0 ELSE 5 END AS INT) AS score FROM pages""")
     def source_score(spark, sf_dir):
-        return table(spark, sf_dir, "pages").select("page_id", scalars.source_score(F.col("url"), F.col("html")).alias("score"))
+        first = F.split_part("html", F.lit("\n"), F.lit(1))
+        return table(spark, sf_dir, "pages").select("page_id", scalars.source_score(F.col("url"), first).alias("score"))
 
-    @query(r"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d{4}[-/]\d{1,2}[-/]\d{1,2}')) AS s FROM documents), p AS (SELECT doc_id, try_cast(split_part(replace(s, '/', '-'), '-', 1) || '-' || lpad(split_part(replace(s, '/', '-'), '-', 2), 2, '0') || '-' || lpad(split_part(replace(s, '/', '-'), '-', 3), 2, '0') AS DATE) AS d FROM h)
-    SELECT doc_id, strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day, count(DISTINCT d) AS days FROM p WHERE d IS NOT NULL GROUP BY 1""")
+    @query("""WITH h AS (SELECT l_orderkey, unnest([CAST(l_shipdate AS DATE), CAST(l_shipdate AS DATE) + 1, CAST(l_shipdate AS DATE) + 2]) AS d FROM lineitem)
+    SELECT l_orderkey, strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day, count(DISTINCT d) AS days FROM h GROUP BY 1""")
     def date_scope(spark, sf_dir):
-        d = table(spark, sf_dir, "documents").select("doc_id", scalars.days_in(F.col("text")).alias("d")).filter(F.size("d") > 0)
+        """The hull of all days that an order's lines name in text."""
+        day = F.col("l_shipdate").cast("date")
+        told = F.format_string("shipped %s, expected %s, received %s", F.date_format(day, "yyyy-MM-dd"), F.date_format(F.date_add(day, 1), "yyyy/M/d"), F.date_format(F.date_add(day, 2), "yyyy년 M월 d일"))
+        d = table(spark, sf_dir, "lineitem").select("l_orderkey", F.explode(scalars.days_in(told)).alias("d"))
         text = lambda c: F.date_format(c, "yyyy-MM-dd")
-        return d.select("doc_id", text(F.array_min("d")).alias("first_day"), text(F.array_max("d")).alias("last_day"), F.size("d").cast("long").alias("days"))
+        return d.groupBy("l_orderkey").agg(text(F.min("d")).alias("first_day"), text(F.max("d")).alias("last_day"), F.count_distinct("d").alias("days"))
 
     lines = ['a,"x, y",3', 'b,"he said ""hi""", 4 ', 'c,"open', "d,,"]
 

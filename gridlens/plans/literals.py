@@ -1,0 +1,43 @@
+"""Queries of the scalar functions on literal rows; the expected values are those of the rules' own definitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridlens.functions import scalars
+from gridlens.sources import logs
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else repr(value)
+
+
+def register(query) -> None:
+    def literal(name: str, cases: list[tuple], column, kind: str = "string") -> None:
+        """A query `name` of (seq, result) over cases of (text, expected)."""
+        expected = ", ".join(f"({i}, {_sql(want)})" for i, (_, want) in enumerate(cases))
+
+        def run(spark, sf_dir):
+            rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "seq int, value string")
+            return rows.select("seq", column(F.col("value")).alias("result"))
+
+        run.__name__ = name
+        query(f"SELECT seq, CAST(result AS {kind}) AS result FROM (VALUES {expected}) t(seq, result)")(run)
+
+    literal("status_alarms", [("Charging", False), ("Fault", True), ("0", False), ("online", True), (" idle ", False), ("", False), ("discharging", False), ("TRIP", True)], logs.status_alarm, "boolean")
+    literal("code_alarms", [("0", False), ("OV001", True), ("ok", False), ("Normal", False), (" ", False), ("1", True)], logs.code_alarm, "boolean")
+    literal("quality_alarms", [("1", False), ("0", True), ("2", True), ("", False), (" 1 ", False)], logs.quality_alarm, "boolean")
+    literal("html_references", [("a &lt;b&gt; &amp;lt; c", "a <b> &lt; c"), ("&#65;&#x42;&apos;&quot;", "AB'\""), ("&nbsp;x&unknown;", " x&unknown;"), ("&#54620;&#x1F642;", "한\U0001f642"), ("R&D; 1 & 2", "R&D; 1 & 2"), ("", "")], scalars.html_references)
+    literal("html_lines", [("<p>a</p>\n\n <p>b  c</p>", "a \n b c"), ("x\ny", "x\ny"), ("<script>no()</script>t<style>p{}</style>", "t"), ("  ", "")], scalars.html_text)
+    literal("date_days", [("2025-08-19 and 2025/8/20", "2025-08-19,2025-08-20"), ("2025년 8월 3일 10시", "2025-08-03"), ("2025-02-30", ""), ("2025-08-19 2025-08-19", "2025-08-19"), ("none", "")], lambda c: F.array_join(F.transform(scalars.days_in(c), lambda d: F.date_format(d, "yyyy-MM-dd")), ","))
+    literal("zoned_timestamps", [("2025-08-19", 1755561600000), ("2025/08/19", 1755525600000), ("2025-08-19T10:00:00+10", 1755561600000), ("2025-08-19 10:00", 1755561600000), ("2025-08-19 00:00:00 UTC", 1755561600000)], lambda c: scalars.timestamp_ms(c, 600), "bigint")
+    literal("file_scores", [("BESS_log.csv|timestamp,voltage_V", 7), ("notes.pdf|", -5), ("data.dat|", 0), ("cell.tsv|soc", 4), ("readme|date", -2), ("x.CSV|temp,time", 5)], lambda c: scalars.source_score(F.split_part(c, F.lit("|"), F.lit(1)), F.split_part(c, F.lit("|"), F.lit(2))), "int")
+    literal("byte_sizes", [("0", "0 B"), ("1023", "1023 B"), ("1024", "1.0 KB"), ("1536", "1.5 KB"), ("1048576", "1.00 MB"), ("1668409464", "1591.12 MB")], lambda c: scalars.byte_size(c.cast("long")))
+    literal("signed_sizes", [("-1", 4294967295), ("0", 0), ("7", 7), ("-2147483648", 2147483648)], lambda c: scalars.signed32(c.cast("long")), "bigint")
+    literal("cell_labels", [("8", "Cell 8"), ("cell8", "Cell 8"), ("Cell 08", "Cell 8"), ("cell_3", "Cell 3"), ("pack 1", None)], scalars.cell_label)
+    literal("escaped_html", [("<a href=\"x\">'&'</a>", "&lt;a href=&quot;x&quot;&gt;&#39;&amp;&#39;&lt;/a&gt;"), ("", "")], scalars.html_escape)
+    literal("prefix_numbers", [("12abc", 12.0), ("-1.5e3x", -1500.0), (".5", 0.5), ("abc", None), ("", None), ("+7.", 7.0)], scalars.number, "double")
+    literal("epochs_ms", [("1700000000", 1700000000000), ("1700000000123", 1700000000123)], lambda c: scalars.epoch_ms(c.cast("double")), "bigint")
+    literal("personal_data", [("a@b.co x@y.org a@b.co", "a@b.co,x@y.org"), ("nobody", ""), ("1@x.io 2@x.io 3@x.io 4@x.io", "1@x.io,2@x.io,3@x.io")], lambda c: F.array_join(scalars.pii(c, scalars.EMAIL), ","))
+    literal("phone_numbers", [("02-123-4567", "02-123-4567"), ("call 010-1234-5678.", "010-1234-5678"), ("x0101234567890123", ""), ("0311234567", "0311234567")], lambda c: F.array_join(scalars.pii(c, scalars.PHONE), ","))
+    literal("labels_and_addresses", [("담당자: Kim", "담당자:"), ("서울특별시 강남구 역삼동", "서울특별시 강남구 역삼동"), ("plain", "")], lambda c: F.array_join(F.concat(scalars.pii(c, scalars.LABEL), scalars.pii(c, scalars.ADDRESS)), ","))

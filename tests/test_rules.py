@@ -141,3 +141,31 @@ def test_record_rows_follow_the_last_header(spark):
 def test_budget_and_violations(spark):
     df = spark.createDataFrame([("g", 1, 30), ("g", 2, 30), ("g", 3, 30)], "g string, i int, n int")
     assert [(r["take"], r["cut"]) for r in evidence.budget(df, ["g"], ["i"], F.col("n"), 25, 60).orderBy("i").collect()] == [(25, True), (25, True), (10, True)]
+
+
+def test_plain_files_are_split_and_headed(spark, tmp_path):
+    from gridlens.sources import logs
+
+    for name, count in (("a.csv", 3000), ("b.csv", 2)):
+        (tmp_path / name).write_text("﻿timestamp,voltage_V,alarm_code\n" + "".join(f"2024-06-03 10:{i // 60 % 60:02d}:{i % 60:02d},{i},{'OV001' if i % 3 == 0 else '0'}\n" for i in range(count)) + 'x,"open,1\n', encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = logs.text_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 2 and lines.filter("at is null").count() == 0
+        rows = logs.headed_rows(lines, ["timestamp", "voltage_V", "alarm_code"]).collect()
+        assert len(rows) == 3004 and sum(r["malformed"] for r in rows) == 2
+        big = [r for r in rows if r["path"].endswith("a.csv") and not r["malformed"]]
+        assert [int(r["voltage_V"]) for r in sorted(big, key=lambda r: (r["block"], r["at"]))] == list(range(3000))
+        first = [r["value"] for r in lines.collect() if r["block"] == 0 and r["value"].startswith("timestamp")]
+        assert len(first) == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_record_keeps_all_its_columns(spark):
+    from gridlens.sources import logs
+
+    names, values = [f"c{i}" for i in range(1500)], [str(i) for i in range(1500)]
+    rows = [("z", "f", 0, "I,A,B,1," + ",".join(names)), ("z", "f", 1, "D,A,B,1," + ",".join(values))]
+    got = logs.record_rows(spark.createDataFrame(rows, "archive string, path string, seq long, value string")).first()["row"]
+    assert got == dict(zip(names, values, strict=True))
