@@ -13,8 +13,9 @@ either, and end in a part of equal size: trained on further ordinary windows in
 one, and in the other, with a search over the trainer's parameters, on the telling
 words of toxic texts (those with a 6-byte gram that toxic texts hold and ordinary
 texts of the sample hardly do; trained on all windows of toxic texts, a dictionary
-fills with ordinary words and separates nothing). Windows are single words and
-runs of two. A carrier that either dictionary holds goes before and after each
+fills with ordinary words and separates nothing). Windows are single words, and
+runs of two of which one word shares a piece with the toxic dictionary's own
+part: no other run takes fewer bytes with it, and only such differences count. A carrier that either dictionary holds goes before and after each
 window, so that even a short window is compressed and not stored, and differences
 are taken per byte of window.
 
@@ -32,6 +33,7 @@ replaced, all others are carried along as they are.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -49,6 +51,8 @@ LEVEL = 3
 SHARE = 20
 STEPS = range(5, 18)
 GRAM = 6
+#: the shortest match that is looked for in the toxic dictionary's own part, in bytes.
+MATCH = 4
 #: fixed value: the last bytes of a trained dictionary's head (its three repeat offsets), after which the content begins.
 HEAD_END = bytes([1, 0, 0, 0, 4, 0, 0, 0, 8, 0, 0, 0])
 CARRIER = bytes(range(1, 32))
@@ -67,12 +71,14 @@ class Model:
     weights: tuple[float, ...]
 
 
-def windows(text: str | None, width: int) -> list[str]:
-    """The different words of a text and its different runs of `width` words, in lower case."""
+def windows(text: str | None, width: int, near=lambda word: True) -> list[str]:
+    """The different words of a text and its different runs of `width` words of which one is `near`, in lower case."""
     words = WORD.findall(text.lower()) if isinstance(text, str) else []
     if width == 1:
         return list(dict.fromkeys(words))
-    return list(dict.fromkeys([*words, *map(" ".join, zip(*(words[i:] for i in range(width)), strict=False))]))
+    here = [near(w) for w in words]
+    starts = sorted({i for p, x in enumerate(here) if x for i in range(max(0, p - width + 1), min(p, len(words) - width) + 1)}) if True in here else ()
+    return list(dict.fromkeys([*words, *(" ".join(words[i : i + width]) for i in starts)]))
 
 
 def chunks(text: str, width: int = 8) -> list[str]:
@@ -102,7 +108,19 @@ class Distance:
 
     def __init__(self, model: Model, most: int = 300_000):
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
-        self.width, self.most, self.known = model.width, most, {}
+        self.width, self.most, self.known, self.held = model.width, most, {}, {}
+        shared = len(os.path.commonprefix([model.ordinary, model.toxic]))
+        self.own = {model.toxic[i : i + MATCH] for i in range(max(0, shared - MATCH + 1), len(model.toxic) - MATCH + 1)}
+
+    def near(self, word: str) -> bool:
+        """Whether the toxic dictionary's own part holds a piece of the word that could be a match."""
+        found = self.held.get(word)
+        if found is None:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            b = f" {word} ".encode("utf-8", "surrogatepass")
+            found = self.held[word] = any(b[i : i + MATCH] in self.own for i in range(len(b) - MATCH + 1))
+        return found
 
     def __call__(self, window: str) -> int:
         found = self.known.get(window)
@@ -117,7 +135,7 @@ class Distance:
     def features(self, text: str | None) -> list[int]:
         """The three largest differences, at least 0, largest first."""
         known, best = self.known, [0, 0, 0]
-        for w in windows(text, self.width):
+        for w in windows(text, self.width, self.near):
             d = known.get(w)
             if d is None:
                 d = self(w)
