@@ -13,6 +13,7 @@ from gridlens.operators import evidence, forensics, islands, rolling, sampling,
 from gridlens.plans import inline, literals
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
+WEEK = "t_ms div 604800000"  # a week of an entity is a task of the rolling rules
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 EVENTS = "WITH e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS t_ms FROM events)"
@@ -51,7 +52,7 @@ a AS (SELECT *, coalesce(base_n >= 8 AND abs(value - base_median) >= 5 AND (z_ro
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.alarms(rolling.scores(rolling.baseline(events(spark, sf_dir), "value", ENTITY, ORDER), "value"), "value")
+    return rolling.alarms(rolling.scores(rolling.baseline(events(spark, sf_dir), "value", ENTITY, ORDER, chunk=F.expr(WEEK)), "value"), "value")
 
 
 @query(f"{SCORED} SELECT event_id, event_type, base_n, round(base_mean, 6) AS base_mean, round(base_std, 6) AS base_std, round(base_median, 6) AS base_median, round(base_mad, 6) AS base_mad, round(z_robust, 6) AS z_robust, round(z_std, 6) AS z_std FROM a")
@@ -76,7 +77,7 @@ def onset_residual(spark, sf_dir):
     e = events(spark, sf_dir)
     mid = e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("mid"))
     d = e.join(mid, "event_type").withColumn("dev", F.col("value") - F.col("mid"))
-    return rolling.onset(d, "dev", ENTITY, ORDER).select("event_id", "dev_n", *r6("onset_score"), "onset_alarm")
+    return rolling.onset(d, "dev", ENTITY, ORDER, chunk=F.expr(WEEK)).select("event_id", "dev_n", *r6("onset_score"), "onset_alarm")
 
 
 RUNS = f"""{EVENTS}, d AS (SELECT *, value - 250 AS dev, event_id % 10 = 0 AS bad FROM e WHERE value IS NOT NULL),

@@ -169,3 +169,15 @@ def test_a_record_keeps_all_its_columns(spark):
     rows = [("z", "f", 0, "I,A,B,1," + ",".join(names)), ("z", "f", 1, "D,A,B,1," + ",".join(values))]
     got = logs.record_rows(spark.createDataFrame(rows, "archive string, path string, seq long, value string")).first()["row"]
     assert got == dict(zip(names, values, strict=True))
+
+
+def test_chunks_change_nothing(spark):
+    data = [(e, i, None if i % 7 == 3 else float((i * 37) % 23 - (i % 11 == 0) * 90)) for e in ("a", None) for i in range(90)]
+    rows = spark.createDataFrame(data, "e string, seq long, v double")
+    for at in ("seq div 3", "seq div 40", "seq div 1000", "if(seq < 50, 0, seq)"):
+        whole = rolling.baseline(rows, "v", ["e"], ["seq"])
+        cut = rolling.baseline(rows, "v", ["e"], ["seq"], chunk=F.expr(at))
+        assert cut.columns == whole.columns
+        assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+        late, cut = rolling.onset(rows, "v", ["e"], ["seq"]), rolling.onset(rows, "v", ["e"], ["seq"], chunk=F.expr(at))
+        assert sorted(map(str, cut.collect())) == sorted(map(str, late.collect()))
