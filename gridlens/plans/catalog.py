@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.operators import evidence, forensics, islands, rolling, sampling, series, stats
-from gridlens.plans import inline, literals
+from gridlens.plans import bounds, inline, literals
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 WEEK = "t_ms div 604800000"  # a week of an entity is a task of the rolling rules
@@ -403,6 +403,7 @@ def largest_gap(spark, sf_dir):
     return g.groupBy("event_type").agg(F.max("gap").alias("gap"), F.round(F.max("gap") / (F.max("t_ms") - F.min("t_ms")), 6).alias("share"))
 
 
+bounds.register(query, table, events, EVENTS)
 inline.register(query, table)
 literals.register(query)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens.functions import scalars
-from gridlens.operators import evidence, forensics, islands, rolling, sampling, series
+from gridlens.operators import bounded, evidence, forensics, islands, rolling, sampling, series
 from gridlens.sources import logs
 
 
@@ -181,3 +181,39 @@ def test_chunks_change_nothing(spark):
         assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
         late, cut = rolling.onset(rows, "v", ["e"], ["seq"]), rolling.onset(rows, "v", ["e"], ["seq"], chunk=F.expr(at))
         assert sorted(map(str, cut.collect())) == sorted(map(str, late.collect()))
+
+
+@pytest.mark.parametrize("rows", [1, 6, 7, 10, 11, 53])
+def test_adaptive_bins_are_those_of_an_online_merge(spark, rows):
+    times = [i // 2 if i < 8 else i for i in range(rows)]
+    bins = []
+    for t in times:
+        if bins and bins[-1][-1] == t:
+            bins[-1].append(t)
+        else:
+            bins.append([t])
+        if len(bins) > 6:
+            bins = [[x for b in bins[i : i + 2] for x in b] for i in range(0, len(bins), 2)]
+    df = spark.createDataFrame([("u", i, t, 1.0) for i, t in enumerate(times)], "e string, seq long, t long, v double")
+    found = bounded.adaptive_bins(df, ["e"], ["t", "seq"], "t", "v", cap=6).orderBy("bin").collect()
+    assert [(r["bin"], r["bin_ms"], r["n"]) for r in found] == [(i, b[0], len(b)) for i, b in enumerate(bins)]
+
+
+def test_retained_events(spark):
+    day = 86_400_000
+    times = [None, *[i * day // 4 for i in range(500)], 0, 0]
+    df = spark.createDataFrame([(e, i, t) for e in ("u", None) for i, t in enumerate(times)] + [("few", 0, 5), ("few", 0, 5)], "e string, seq long, t long")
+    kept = bounded.retained(df, ["e"], ["seq"], "t", cap=100, first=20, bins=8, quota=4).collect()
+    for e, seen in (("u", 503), (None, 503), ("few", 2)):
+        mine = [r for r in kept if r["e"] == e]
+        assert len(mine) <= 100 and {len(mine) + r["dropped"] for r in mine} == {seen}
+    late = {r["seq"] for r in kept if r["e"] == "u"}
+    assert set(range(20)) <= late and 500 in late
+    assert bounded.retained(df.filter("false"), ["e"], ["seq"], "t").count() == 0
+
+
+def test_flag_at(spark):
+    samples = spark.createDataFrame([("u", 0, "first"), ("u", 50_000, "second"), ("u", 500_000, "far"), ("v", 0, "other")], "e string, t long, q string")
+    asks = spark.createDataFrame([("u", 55_000), ("u", 60_000), ("u", 240_000), ("u", 300_000), ("w", 0), ("u", 275_000)], "e string, at long")
+    found = {(r["e"], r["at"]): r["q"] for r in bounded.flag_at(asks, samples, ["e"], "at", "t", "q").collect()}
+    assert found == {("u", 55_000): "first", ("u", 60_000): "second", ("u", 240_000): "second", ("u", 300_000): "far", ("w", 0): None, ("u", 275_000): "second"}
