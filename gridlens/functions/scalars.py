@@ -130,3 +130,38 @@ def source_score(name: Column, header: Column) -> Column:
         + F.when(head.rlike(SIGNAL_HEADERS), 2).otherwise(0)
         - F.when(F.element_at(F.split(lower, r"\."), -1).isin(LOG_EXTENSIONS), 0).otherwise(5)
     )
+
+
+def day_start_ms(ms: Column, offset_minutes: int = 0) -> Column:
+    """Start of the civil day that holds a time, `offset_minutes` east of UTC; the day ends 86,400,000 ms later."""
+    shift, day = offset_minutes * 60_000, 86_400_000
+    local = ms.cast("long") + shift
+    return local - F.pmod(local, F.lit(day)) - shift
+
+
+def day_label(ms: Column, offset_minutes: int = 0) -> Column:
+    """The civil day that holds a time, as yyyy-MM-dd."""
+    local = F.floor((ms.cast("long") + offset_minutes * 60_000) / 86_400_000).cast("int")
+    return F.date_format(F.date_from_unix_date(local), "yyyy-MM-dd")
+
+
+#: fixed values: texts that stand for none, and the least size of a case description.
+PLACEHOLDERS = r"(?i)^(test|todo|placeholder|n\/a|na|xxx|tbd|lorem ipsum|foo|bar|example|sample|없음|미상)$"
+LEAST_TEXT = 30
+
+
+def substantive(c: Column, most: int) -> Column:
+    """A text of 1 to `most` characters that is no placeholder; null is none."""
+    return F.coalesce(F.length(c).between(1, most) & ~F.trim(c).rlike(PLACEHOLDERS), F.lit(False))
+
+
+def reviewed(name: Column, severity: Column, reason: Column) -> Column:
+    """A review is complete: name and reason are not blank, and a severity is set."""
+    said = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return said(name) & F.coalesce(severity != "", F.lit(False)) & said(reason)
+
+
+def admitted(text: Column, confirmed: Column, has_time: Column) -> Column:
+    """A case may go on: confirmed, long enough, with a time column and without personal data."""
+    private = text.rlike("|".join(f"(?:{p})" for p in (EMAIL, PHONE, LABEL, ADDRESS)))
+    return F.coalesce(confirmed & has_time & (F.length(F.trim(text)) >= LEAST_TEXT) & ~private, F.lit(False))

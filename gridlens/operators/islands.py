@@ -41,3 +41,9 @@ def capped(found: DataFrame, entity: list[str], kept: int = KEPT) -> DataFrame:
     w = Window.partitionBy(*entity).orderBy("start", "island")
     whole = Window.partitionBy(*entity)
     return found.withColumn("rn", F.row_number().over(w)).withColumn("dropped", F.greatest(F.count("*").over(whole) - kept, F.lit(0))).filter(F.col("rn") <= kept)
+
+
+def rollup(kept: DataFrame, entity: list[str]) -> DataFrame:
+    """Over all entities: those with windows, windows kept, windows dropped, and fires within kept ones."""
+    each = kept.groupBy(*entity).agg(F.count("*").alias("kept"), F.first("dropped").alias("dropped"), F.sum("fires").alias("fires"))
+    return each.agg(F.count("*").alias("entities"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"), F.coalesce(F.sum("fires"), F.lit(0)).alias("fires"))

@@ -142,3 +142,17 @@ def cell_alarm(residuals: Column, least: float = 0.03, factor: float = 3.0, floo
     centred = F.transform(residuals, lambda r: F.abs(r - mid))
     spread = F.greatest(F.lit(MAD_SCALE) * median_of(centred), F.lit(floor))
     return F.array_max(centred) >= F.greatest(F.lit(least), F.lit(factor) * spread)
+
+
+def cell_spread(cells: Column) -> Column:
+    """Population standard deviation over the cells of a row; null cells are left out, null without any."""
+    told = F.filter(cells, lambda v: v.isNotNull())
+    n = F.size(told)
+    mean = F.aggregate(told, F.lit(0.0), lambda a, v: a + v) / n
+    return F.when(n > 0, F.sqrt(F.aggregate(told, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n))
+
+
+def hottest(temperatures: Column) -> Column:
+    """How far the largest temperature of a row lies over their median; null without any."""
+    told = F.filter(temperatures, lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.array_max(told) - median_of(told)

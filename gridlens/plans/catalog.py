@@ -403,6 +403,24 @@ def largest_gap(spark, sf_dir):
     return g.groupBy("event_type").agg(F.max("gap").alias("gap"), F.round(F.max("gap") / (F.max("t_ms") - F.min("t_ms")), 6).alias("share"))
 
 
+@query(f"{CELLS} SELECT vec_id, round(stddev_pop(v), 6) AS spread, round(max(v) - median(v), 6) AS hottest FROM c GROUP BY 1")
+def cell_spread(spark, sf_dir):
+    c = cells(spark, sf_dir)
+    return c.select("vec_id", F.round(rolling.cell_spread(F.col("c")), 6).alias("spread"), F.round(rolling.hottest(F.col("c")), 6).alias("hottest"))
+
+
+@query(f"{RUNS}, c AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY start, island) AS rn, greatest(count(*) OVER (PARTITION BY event_type) - 20, 0) AS dropped FROM w), k AS (SELECT event_type, count(*) AS kept, max(dropped) AS dropped, sum(fires) AS fires FROM c WHERE rn <= 20 GROUP BY 1) SELECT count(*) AS entities, coalesce(sum(kept), 0)::BIGINT AS kept, coalesce(sum(dropped), 0)::BIGINT AS dropped, coalesce(sum(fires), 0)::BIGINT AS fires FROM k")
+def sustained_rollup(spark, sf_dir):
+    return islands.rollup(islands.capped(sustained(spark, sf_dir), ENTITY, 20), ENTITY)
+
+
+@query(f"{EVENTS}, g AS (SELECT user_id % 7 AS file, event_type, min(t_ms) AS lo, max(t_ms) AS hi, count(*) AS n, count_if(value IS NULL) AS untold FROM e GROUP BY 1, 2) SELECT file, count(*) AS groups, min(lo) AS lo, max(hi) AS hi, sum(n)::BIGINT AS n, sum(untold)::BIGINT AS untold FROM g GROUP BY 1")
+def file_rollup(spark, sf_dir):
+    """Times and counts of the groups of a file, then of the file."""
+    groups = events(spark, sf_dir).groupBy((F.col("user_id") % 7).alias("file"), "event_type").agg(F.min("t_ms").alias("lo"), F.max("t_ms").alias("hi"), F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("untold"))
+    return groups.groupBy("file").agg(F.count("*").alias("groups"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("untold").alias("untold"))
+
+
 bounds.register(query, table, events, EVENTS)
 inline.register(query, table)
 literals.register(query)

@@ -82,3 +82,13 @@ def register(query, table) -> None:
         run = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
         live.rolling_stream(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.parquet(f"{run}/out").select("event_id", "event_type", "base_n", F.round("z_robust", 6).alias("z_robust"), F.round("z_std", 6).alias("z_std"), "stat_alarm")
+
+    @query("""WITH e AS (SELECT event_type, value, epoch_us(ts) // 1000 AS t_ms FROM events), w AS (SELECT max(t_ms) - 86400000 AS mark FROM e)
+    SELECT event_type, t_ms // 86400000 * 86400000 AS day_ms, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 6) AS mean FROM e, w GROUP BY 1, 2, mark HAVING day_ms + 86400000 <= mark""")
+    def stream_day_windows(spark, sf_dir):
+        """The days that the watermark has closed once the stream has read all events."""
+        schema = table(spark, sf_dir, "events").schema
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+        run = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
+        live.day_windows(stream).writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{run}/out").select("event_type", "day_ms", "n", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean")])

@@ -41,3 +41,8 @@ def register(query) -> None:
     literal("personal_data", [("a@b.co x@y.org a@b.co", "a@b.co,x@y.org"), ("nobody", ""), ("1@x.io 2@x.io 3@x.io 4@x.io", "1@x.io,2@x.io,3@x.io")], lambda c: F.array_join(scalars.pii(c, scalars.EMAIL), ","))
     literal("phone_numbers", [("02-123-4567", "02-123-4567"), ("call 010-1234-5678.", "010-1234-5678"), ("x0101234567890123", ""), ("0311234567", "0311234567")], lambda c: F.array_join(scalars.pii(c, scalars.PHONE), ","))
     literal("labels_and_addresses", [("담당자: Kim", "담당자:"), ("서울특별시 강남구 역삼동", "서울특별시 강남구 역삼동"), ("plain", "")], lambda c: F.array_join(F.concat(scalars.pii(c, scalars.LABEL), scalars.pii(c, scalars.ADDRESS)), ","))
+    literal("civil_day_starts", [("1755561600000", 1755525600000), ("1755525600000", 1755525600000), ("1755525599999", 1755439200000), ("0", -36000000), ("-1", -36000000)], lambda c: scalars.day_start_ms(c, 600), "bigint")
+    literal("civil_day_labels", [("1755561600000", "2025-08-19"), ("1755525599999", "2025-08-18"), ("1755525600000", "2025-08-19"), ("-86400000", "1969-12-31"), ("0", "1970-01-01")], lambda c: scalars.day_label(c, 600))
+    literal("placeholder_texts", [("Test", False), (" n/a ", False), ("없음", False), ("testing", True), ("", False), ("lorem ipsum", False), ("a cell rose", True), ("far too long a text", False)], lambda c: scalars.substantive(c, 12), "boolean")
+    literal("review_gate", [("a|high|b", True), (" |high|b", False), ("a||b", False), ("a|high|  ", False), ("a|high|", False)], lambda c: scalars.reviewed(*[F.split_part(c, F.lit("|"), F.lit(i)) for i in (1, 2, 3)]), "boolean")
+    literal("intake_gate", [("the second rack tripped twice at noon", True), ("too short", False), ("the second rack tripped, call 010-1234-5678", False), ("write to someone@example.com about the second rack", False)], lambda c: scalars.admitted(c, F.lit(True), F.lit(True)), "boolean")

@@ -12,6 +12,7 @@ from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gridlens.operators.rolling import BASELINE, DEVIATION, FLOOR, LEAST, MAD_SCALE, Z_ALARM
@@ -51,3 +52,14 @@ class RollingProcessor(StatefulProcessor):
 def rolling_stream(stream: DataFrame) -> DataFrame:
     """`stream` has event_id, event_type, value and t_ms."""
     return stream.groupBy("event_type").transformWithStateInPandas(statefulProcessor=RollingProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
+
+
+def day_windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Rows, smallest, largest and mean value of an entity for each tumbling UTC day. `stream` has event_type, value and ts.
+
+    A day is held until the watermark, `late` behind the latest time seen, has passed its end;
+    rows later than that are left out, as their day is closed.
+    """
+    days = stream.withWatermark("ts", late).groupBy("event_type", F.window("ts", "1 day").alias("day"))
+    found = days.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
+    return found.select("event_type", F.unix_millis("day.start").alias("day_ms"), "n", "lo", "hi", "mean")
