@@ -53,9 +53,9 @@ SELECT event_type, CAST(p >> merges AS BIGINT) AS bin, min(h) AS bin_ms, count(*
         u = events(spark, sf_dir).groupBy(name.alias("name")).agg(F.min("event_id").alias("first"), F.max("value").alias("top"))
         return bounded.attached(u, "name", "first", F.col("top") > 495).select("name")
 
-    @query(f"""{common}, a AS (SELECT event_type, event_id, t_ms FROM e WHERE value > 480), s AS (SELECT event_type, t_ms AS t, max(event_id) AS flag FROM e WHERE value < 400 GROUP BY 1, 2),
+    @query(f"""{common}, a AS (SELECT event_type, event_id, t_ms FROM e WHERE value > 200), s AS (SELECT event_type, t_ms AS t, max(event_id) AS flag FROM e WHERE value < 20 GROUP BY 1, 2),
 n AS (SELECT a.event_id, s.flag, row_number() OVER (PARTITION BY a.event_id ORDER BY CASE WHEN abs(s.t - a.t_ms) < 60000 THEN 0 ELSE 1 END, CASE WHEN abs(s.t - a.t_ms) < 60000 THEN s.t ELSE abs(s.t - a.t_ms) END, s.t) AS rn FROM a JOIN s USING (event_type)) SELECT event_id, flag FROM n WHERE rn = 1""")
     def quality_at_event(spark, sf_dir):
         e = events(spark, sf_dir)
-        samples = e.filter("value < 400").groupBy("event_type", "t_ms").agg(F.max("event_id").alias("flag"))
-        return bounded.flag_at(e.filter("value > 480").select("event_type", "event_id", "t_ms"), samples, entity, "t_ms", "t_ms", "flag").select("event_id", "flag")
+        samples = e.filter("value < 20").groupBy("event_type", "t_ms").agg(F.max("event_id").alias("flag"))
+        return bounded.flag_at(e.filter("value > 200").select("event_type", "event_id", "t_ms"), samples, entity, "t_ms", "t_ms", "flag").select("event_id", "flag")
