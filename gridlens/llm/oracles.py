@@ -138,5 +138,49 @@ SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r
 FROM texts LEFT JOIN sizes USING (r)"""
 
 
+WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def hard_negatives() -> str:
+    return rf"""
+WITH e AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v, count(*) AS n
+  FROM embeddings WHERE label IS NOT NULL AND {WHOLE} GROUP BY ALL),
+copies AS (SELECT e.* EXCLUDE n, unnest(range(n)) AS copy FROM e),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS kind, a.v, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN copies b ON a.vec_id IS DISTINCT FROM b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id, kind, v ORDER BY score DESC, other NULLS LAST) AS place
+  FROM s WHERE same QUALIFY place <= 5),
+n AS (
+  SELECT p.anchor_id, p.other AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.kind, p.v, place ORDER BY s.score DESC, s.other NULLS LAST) AS rank,
+         s.other AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.kind = p.kind AND s.v = p.v AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    near = lambda k: f"""
+a{k} AS (
+  SELECT x.r, x.p, min((list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, b.c) + list_inner_product(b.c, b.c)) * {entries} + b.e)::BIGINT AS best
+  FROM cut x JOIN b{k} b USING (p) GROUP BY ALL)"""
+    step = lambda k: f"""
+b{k + 1} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT p, e, list(floor(total / n) ORDER BY j) AS c FROM (
+      SELECT p, best % {entries} AS e, j, sum(cut.x[j]) AS total, count(*) AS n FROM a{k} JOIN cut USING (r, p), range(1, (SELECT max(len(v)) FROM kept) // {parts} + 1) t(j) GROUP BY ALL)
+    GROUP BY ALL) m USING (p, e))"""
+    loop = ",".join(near(k) + "," + step(k) for k in range(rounds))
+    return rf"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings WHERE {WHOLE}),
+cut AS (SELECT r, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST, v) - 1 AS e, x AS c FROM cut JOIN (SELECT r, v FROM kept) USING (r) QUALIFY e < {entries}),
+{loop},{near(rounds)},
+coded AS (SELECT r, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(list_aggregate(list_transform(c, lambda x: x::BIGINT::VARCHAR), 'string_agg', ','), ',' ORDER BY p, e)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded JOIN kept USING (r), books"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules(), "op2_chat_formatting": chat_formatting(), "op4_license_scans": license_scans(), "op5_ngram_jaccard_join": jaccard_join()}
+    return {"op12_hard_negatives": hard_negatives(), "op13_vector_codes": vector_codes(), "op1_quality_rules": quality_rules(), "op2_chat_formatting": chat_formatting(), "op4_license_scans": license_scans(), "op5_ngram_jaccard_join": jaccard_join()}
