@@ -138,6 +138,22 @@ SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r
 FROM texts LEFT JOIN sizes USING (r)"""
 
 
+def suffix_dedup(length: int = 100) -> str:
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, doc_id, b, i, b[i + 1:i + {length}] AS s FROM (SELECT *, unnest(range(octet_length(b) - {length - 1})) AS i FROM t)),
+again AS (SELECT r, i FROM w QUALIFY rank() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, b, i) > 1),
+turns AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {length} THEN 0 ELSE 1 END AS turn FROM again),
+runs AS (SELECT r, min(i) AS start, max(i) + {length} AS stop FROM (SELECT *, sum(turn) OVER (PARTITION BY r ORDER BY i) AS run FROM turns) GROUP BY r, run),
+edges AS (
+  SELECT r, coalesce(lag(stop) OVER (PARTITION BY r ORDER BY start), 0) AS a, start AS z FROM runs
+  UNION ALL SELECT r, max(stop), NULL FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(hex(b[a + 1:coalesce(z, octet_length(b))]), '' ORDER BY a) AS h FROM edges JOIN t USING (r) GROUP BY r),
+cut AS (SELECT r, sum(stop - start) AS n, count(*) AS k FROM runs GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256
+FROM t LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)"""
+
+
 WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
 
@@ -183,4 +199,4 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": hard_negatives(), "op13_vector_codes": vector_codes(), "op1_quality_rules": quality_rules(), "op2_chat_formatting": chat_formatting(), "op4_license_scans": license_scans(), "op5_ngram_jaccard_join": jaccard_join()}
+    return {"op11_suffix_array_dedup": suffix_dedup(), "op12_hard_negatives": hard_negatives(), "op13_vector_codes": vector_codes(), "op1_quality_rules": quality_rules(), "op2_chat_formatting": chat_formatting(), "op4_license_scans": license_scans(), "op5_ngram_jaccard_join": jaccard_join()}
