@@ -6,8 +6,11 @@ within it, the one of least hash (the first on ties), so equal windows name equa
 seeds at equal places. Neighbouring windows with the same seed occurrence are one
 context. The steps, none of which moves text that has no seed twice:
 
-1. Seed hashes are counted over all texts; those met twice fall into a bitmap of fixed size.
-2. Contexts with such a seed are stored. Equal contexts (by a 128-bit BLAKE2 digest)
+1. Texts are cut into units of some hundred bytes where their content says so. Of units with equal
+   bytes (by a 128-bit BLAKE2 digest) the first place goes into a bitmap of fixed size. A unit that is not in it is a later
+   copy: it goes whole, and no window of it is looked at again. A later copy that falls into the bitmap by chance
+   is left to the next steps.
+2. Seed hashes of the other windows are counted; those met twice fall into another bitmap. Contexts with such a seed are stored. Equal contexts (by a 128-bit BLAKE2 digest)
    become one row with their first place before anything is sent by seed, so a
    passage in a third of all documents is one row a task.
 3. The different contexts of a seed are sorted as suffixes from the seed to the right,
@@ -43,11 +46,12 @@ from gridlens.llm.text import mix
 from gridlens.session import forget, stored
 
 LENGTH, SEED, MOST = 100, 32, 20_000
-SLAB, ROWS = 1 << 20, 1 << 14
+SLAB, ROWS, UNIT = 1 << 20, 1 << 14, 768
 FEW_SPANS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240711).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
-CONTEXT = "c binary, h long, ctx binary, a int, doc long, th long, at long"
+CONTEXT = "c binary, h long, ctx binary, a int, size long, doc long, th long, at long"
+HELD = ["c", "h", "ctx", "a", "size", "doc", "th", "at"]
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -101,8 +105,12 @@ def slabs(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarra
         row = stop
 
 
-def contexts(column: pa.Array, k: int, length: int, wanted=None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each slab: its data, and of each context seed hash, begin, end, seed place, row and the begin in its text."""
+def windows(column: pa.Array, k: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each slab: its data, grams, the seed of every window, whether it lies in one text, its unit, and of each unit begin, end, row and place.
+
+    A unit is a stretch of some `UNIT` windows of a text, cut where a gram's hash says so, so that copies of a passage are
+    cut alike; its bytes are those of all its windows.
+    """
     for data, row, begin, end, place in slabs(column, length):
         if len(data) < length:
             continue
@@ -112,6 +120,31 @@ def contexts(column: pa.Array, k: int, length: int, wanted=None) -> Iterator[tup
         np.add.at(edge, begin[long], 1)
         np.add.at(edge, end[long] - length + 1, -1)
         inside = np.cumsum(edge)[: len(pick)] > 0
+        opens = inside & ((h[: len(pick)] % np.uint64(UNIT) == 0) | np.r_[True, ~inside[:-1]])
+        first = np.flatnonzero(opens)
+        last = np.flatnonzero(inside & np.r_[opens[1:] | ~inside[1:], True])
+        piece = np.searchsorted(begin, first, "right") - 1
+        yield data, h, pick, inside, np.cumsum(opens) - 1, first, last + length, row[piece], first - begin[piece] + place[piece]
+
+
+def unit_places(batch: pa.RecordBatch, data: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """128-bit digest of the bytes of each unit, and a 64-bit one of these and the unit's document and place."""
+    held = memoryview(np.ascontiguousarray(data))
+    doc, th = batch.column("doc").take(pa.array(row)).to_pylist(), batch.column("th").take(pa.array(row)).to_pylist()
+    digests = [blake2b(held[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+    own = [blake2b(d + f"{x} {y} {z}".encode(), digest_size=8).digest() for d, x, y, z in zip(digests, doc, th, at.tolist(), strict=True)]
+    return digests, np.frombuffer(b"".join(own), np.uint64)
+
+
+def contexts(batch: pa.RecordBatch, k: int, length: int, firsts, wanted=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each slab: its data, of each context seed hash, begin, end, seed place, row and the begin in its text, and of each later unit begin, end, row and place.
+
+    Windows of later units, those not among `firsts`, are in no context.
+    """
+    for data, h, pick, inside, unit, begin, end, row, at in windows(batch.column("t"), k, length):
+        again = ~firsts(unit_places(batch, data, begin, end, row, at)[1])
+        if again.any():
+            inside = inside & ~again[np.maximum(unit, 0)]
         turn = np.r_[True, (pick[1:] != pick[:-1]) | ~inside[:-1]]
         first = np.flatnonzero(inside & turn)
         last = np.flatnonzero(inside & np.r_[turn[1:] | ~inside[1:], True])
@@ -119,8 +152,8 @@ def contexts(column: pa.Array, k: int, length: int, wanted=None) -> Iterator[tup
         if wanted is not None:
             some = wanted(found)
             first, last, found = first[some], last[some], found[some]
-        piece = np.searchsorted(begin, first, "right") - 1
-        yield data, found, first, last + length, pick[first], row[piece], first - begin[piece] + place[piece]
+        own = unit[first]
+        yield data, found, first, last + length, pick[first], row[own], first - begin[own] + at[own], begin[again], end[again], row[again], at[again]
 
 
 def binaries(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -135,28 +168,48 @@ def sought(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("t"))
 
 
-def met_twice(texts: DataFrame, k: int, length: int):
+def first_units(texts: DataFrame, k: int, length: int):
+    """The bitmap of the first place of every different unit. A unit that is not in it is a later copy of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, _, _, _, _, begin, end, row, at in windows(batch.column("t"), k, length):
+                digests, own = unit_places(batch, data, begin, end, row, at)
+                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(own.view(np.int64)), batch.column("doc").take(pa.array(row)), batch.column("th").take(pa.array(row)), pa.array(at)], names=["d", "p", "doc", "th", "at"])
+
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "p")).alias("f")
+    return bitmap(texts.mapInArrow(run, "d binary, p long, doc long, th long, at long").groupBy("d").agg(least).select("f.p"), "p")
+
+
+def met_twice(texts: DataFrame, firsts, k: int, length: int):
     """The bitmap of seeds that contexts name more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in contexts(batch.column("t"), k, length):
+            for found in contexts(batch, k, length, lambda p: within(firsts.value, p)):
                 yield pa.record_batch({"h": found[1].view(np.int64)})
 
-    return bitmap(texts.select("t").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
+    return bitmap(texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
 
 
-def repeated_contexts(texts: DataFrame, bits, k: int, length: int) -> DataFrame:
-    """Contexts whose seed may be there twice: digest, seed hash, bytes, place of the seed in them, document and place in it."""
+def repeated_contexts(texts: DataFrame, firsts, bits, k: int, length: int) -> DataFrame:
+    """Contexts whose seed may be there twice: digest, seed hash, bytes, place of the seed in them, document and place in it.
+
+    Later units are rows without digest; `size` is the number of bytes of both.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column("doc"), batch.column("th")
-            for data, h, begin, end, seed, row, at in contexts(batch.column("t"), k, length, lambda h: within(bits.value, h)):
+            for data, h, begin, end, seed, row, at, *again in contexts(batch, k, length, lambda p: within(firsts.value, p), lambda h: within(bits.value, h)):
                 if len(h):
                     held = memoryview(np.ascontiguousarray(data))
                     digests = [blake2b(held[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(h.view(np.int64)), binaries(data, begin, end), pa.array((seed - begin).astype(np.int32)), doc.take(pa.array(row)), th.take(pa.array(row)), pa.array(at)], names=["c", "h", "ctx", "a", "doc", "th", "at"])
+                    yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(h.view(np.int64)), binaries(data, begin, end), pa.array((seed - begin).astype(np.int32)), pa.array(end - begin), doc.take(pa.array(row)), th.take(pa.array(row)), pa.array(at)], names=HELD)
+                begin, end, row, at = again
+                if len(begin):
+                    n = len(begin)
+                    yield pa.record_batch([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(end - begin), doc.take(pa.array(row)), th.take(pa.array(row)), pa.array(at)], names=HELD)
 
     return texts.mapInArrow(run, CONTEXT)
 
@@ -346,17 +399,20 @@ def same_window(rows: DataFrame, length: int) -> DataFrame:
 
 def spans(texts: DataFrame, k: int = SEED, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): stretches of texts (doc, th, t) that earlier strings cover; they may overlap."""
-    held = stored(repeated_contexts(texts, met_twice(texts, k, length), k, length), "contexts")
+    firsts = first_units(texts, k, length)
+    held = stored(repeated_contexts(texts, firsts, met_twice(texts, firsts, k, length), k, length), "contexts")
+    there = held.filter("c is not null")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "h", "a", "ctx")
-    firsts = stored(held.groupBy("c").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("c", "n", "f.*"), "firsts")
-    told = compared(firsts, k, length, most)
-    marks = firsts.select("c", "n", *[F.col(x).alias(f"first_{x}") for x in ("doc", "th", "at")]).join(told, "c", "left").filter("n > 1 or least is not null")
-    own = held.select("c", "doc", "th", "at", "a", F.length("ctx").alias("size")).join(marks, "c")
+    distinct = stored(there.groupBy("c").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("c", "n", "f.*"), "firsts")
+    told = compared(distinct, k, length, most)
+    marks = distinct.select("c", "n", *[F.col(x).alias(f"first_{x}") for x in ("doc", "th", "at")]).join(told, "c", "left").filter("n > 1 or least is not null")
+    own = there.select("c", "doc", "th", "at", "a", "size").join(marks, "c")
     first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("th") == F.col("first_th")) & (F.col("at") == F.col("first_at"))
     start = F.when(first, F.col("at") + F.col("a") - F.col("most")).otherwise(F.col("at"))
     stop = F.when(first, F.col("at") + F.col("a") + length - F.col("least")).otherwise(F.col("at") + F.col("size"))
-    found = stored(own.select("doc", "th", start.alias("start"), stop.alias("stop")).filter("start is not null"), "spans")
-    forget(held, firsts, told)
+    copies = held.filter("c is null").select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
+    found = stored(own.select("doc", "th", start.alias("start"), stop.alias("stop")).filter("start is not null").unionByName(copies), "spans")
+    forget(held, distinct, told)
     return found
 
 

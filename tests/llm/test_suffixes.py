@@ -77,7 +77,15 @@ def test_every_window_is_in_one_context(monkeypatch, slab):
     monkeypatch.setattr(suffixes, "SLAB", slab)
     texts = [(t or "").encode() for _, t in mixed(3)]
     seen = {}
-    for data, h, begin, end, seed, row, at in suffixes.contexts(pa.array(texts, pa.binary()).slice(2), 6, 20):
+    batch = pa.record_batch({"doc": pa.array(range(len(texts) - 2), pa.int64()), "th": pa.array([0] * (len(texts) - 2), pa.int64()), "t": pa.array(texts, pa.binary()).slice(2)})
+    monkeypatch.setattr(suffixes, "UNIT", 30)
+    drops = set()
+    for data, h, begin, end, seed, row, at, *later in suffixes.contexts(batch, 6, 20, lambda p: p % np.uint64(3) > 0):
+        for b, e, r, x in zip(*later, strict=True):
+            assert data[b:e].tobytes() == texts[r + 2][x : x + e - b]
+            for i in range(e - b - 19):
+                seen["at", r, x + i] = seen.get(("at", r, x + i), 0) + 1
+                drops.add((r, x + i))
         for x in zip(h, begin, end, seed, row, at, strict=True):
             assert data[x[1] : x[2]].tobytes() == texts[x[4] + 2][x[5] : x[5] + x[2] - x[1]]
             for i in range(x[2] - x[1] - 19):
@@ -85,6 +93,7 @@ def test_every_window_is_in_one_context(monkeypatch, slab):
                 assert seen.setdefault(window, (x[0], x[3] - x[1] - i)) == (x[0], x[3] - x[1] - i)  # equal windows name equal seeds
                 seen.setdefault(("at", x[4], x[5] + i), 0)
                 seen["at", x[4], x[5] + i] += 1
+    assert drops
     assert {k: v for k, v in seen.items() if k[0] == "at"} == {("at", r, i): 1 for r, t in enumerate(texts[2:]) for i in range(len(t) - 19)}
 
 
