@@ -11,8 +11,8 @@ context. The steps, none of which moves text that has no seed twice:
    copy: it goes whole, and no window of it is looked at again. A later copy that falls into the bitmap by chance
    is left to the next steps.
 2. Seed hashes of the other windows are counted; those met twice fall into another bitmap. Contexts with such a seed are stored. Equal contexts (by a 128-bit BLAKE2 digest)
-   become one row with their first place before anything is sent by seed, so a
-   passage in a third of all documents is one row a task.
+   are counted with their first place before anything is sent by seed, so a passage in a third of all documents is one
+   row a task; later ones are told from first ones by a bitmap of places, as units are, and leave without a join.
 3. The different contexts of a seed are sorted as suffixes from the seed to the right,
    and from the seed to the left, by merge sort: prefix polynomial hashes and binary
    search give the common extension of two suffixes in a logarithmic number of
@@ -52,6 +52,7 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240711).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 CONTEXT = "c binary, h long, ctx binary, a int, size long, doc long, th long, at long"
 HELD = ["c", "h", "ctx", "a", "size", "doc", "th", "at"]
+PLACE = ["c", "doc", "th", "at"]
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -301,7 +302,7 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: n
 def earlier_windows(data: np.ndarray, bounds: np.ndarray, a: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(least, most) bytes before the seed of those windows of each context that an earlier context of its group has too; least > most without any.
 
-    Context i is data[bounds[i] : bounds[i + 1]] with its seed at a[i]; `rank` orders contexts by their seeds' places.
+    Context i is data[bounds[i] : bounds[i + 1]] with its seed at a[i]; `rank` orders contexts by their seeds' places; equal ranks are one context.
     """
     n, mid = len(a), bounds[:-1] + a
     right, left = bounds[1:] - mid, a
@@ -322,16 +323,14 @@ def earlier_windows(data: np.ndarray, bounds: np.ndarray, a: np.ndarray, lo: np.
             part = np.empty(n, np.int64)
             part[order] = np.cumsum(new)
             key = key * (n + 1) + part
-        _, first = np.unique(key[rows], return_index=True)
-        again = np.ones(len(rows), bool)
-        again[first] = False
-        again = rows[again]
+        _, first, kind = np.unique(key[rows], return_index=True, return_inverse=True)
+        again = rows[rank[rows] > rank[rows[first[kind]]]]
         least[again], most[again] = np.minimum(least[again], before), np.maximum(most[again], before)
     return least, most
 
 
 def verdicts(rows: DataFrame, length: int) -> DataFrame:
-    """(c, least, most) of contexts dealt by `key`, whole groups at a time."""
+    """(c, doc, th, at, least, most) of contexts dealt by `key`, whole groups at a time."""
 
     def judged(t: pa.Table) -> pa.RecordBatch:
         ctx = t["ctx"].combine_chunks()
@@ -340,11 +339,14 @@ def verdicts(rows: DataFrame, length: int) -> DataFrame:
         data = np.frombuffer(ctx.buffers()[2], np.uint8)[at : at + bounds[-1]]
         part = {c: t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "a", "lo", "hi", "th", "at")}
         doc, none = t["doc"].combine_chunks().fill_null(0).to_numpy(), t["doc"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        rank = np.empty(len(none), np.int64)
-        rank[np.lexsort((part["at"] + part["a"], part["th"], doc, none))] = np.arange(len(none))
+        by = [none, doc, part["th"], part["at"] + part["a"]]
+        order = np.lexsort(by[::-1])
+        rank = np.empty(len(none), np.int64)  # rows of one place, from repeated rows of the table, are one
+        rank[order] = np.cumsum(np.r_[0, np.any([x[order][1:] != x[order][:-1] for x in by], axis=0)])
         least, most = earlier_windows(data, bounds, part["a"].astype(np.int64), part["lo"], part["hi"], np.unique(part["key"], return_inverse=True)[1], rank, length)
         some = np.flatnonzero(least <= most)
-        return pa.record_batch([t["c"].combine_chunks().take(pa.array(some)), pa.array(least[some].astype(np.int32)), pa.array(most[some].astype(np.int32))], names=["c", "least", "most"])
+        told = [t[c].combine_chunks().take(pa.array(some)) for c in PLACE]
+        return pa.record_batch([*told, pa.array(least[some].astype(np.int32)), pa.array(most[some].astype(np.int32))], names=[*PLACE, "least", "most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -362,57 +364,107 @@ def verdicts(rows: DataFrame, length: int) -> DataFrame:
             yield judged(pa.Table.from_batches(held))
 
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "lo", "hi", "c", "ctx", "a", "doc", "th", "at").mapInArrow(run, "c binary, least int, most int")
+    return dealt.select("key", "lo", "hi", "c", "ctx", "a", "doc", "th", "at").mapInArrow(run, "c binary, doc long, th long, at long, least int, most int")
 
 
-def compared(firsts: DataFrame, k: int, length: int, most: int) -> DataFrame:
-    """verdicts of all first contexts by seed; groups of more than `most` are split by longer shared strings."""
+def compared(work: DataFrame, sizes: DataFrame, length: int, most: int) -> DataFrame:
+    """verdicts of contexts dealt by `key`, where `sizes` (key, n, wide) has the keys of two or more.
+
+    A key of more than `most` is split by longer shared strings; there are at most rows / most of them.
+    """
     kept = ["key", "lo", "hi", "c", "ctx", "a", "doc", "th", "at"]
-    work = firsts.select(F.col("h").alias("key"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), *kept[3:])
     found, spent = [], []
     while True:
-        sizes = stored(work.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") > F.col("lo")).alias("wide")).filter("n > 1"), "sizes")
-        spent.append(sizes)
-        one = lambda rule: work.join(sizes.filter(rule).select("key"), "key", "left_semi")  # noqa: E731, B023
-        found.append(stored(verdicts(one(F.col("n") <= most), length), "verdicts"))
-        if sizes.filter(F.col("n") > most).isEmpty():
+        large = sizes.filter(F.col("n") > most)
+        among = lambda rule, how="left_semi": work.join(F.broadcast(large.filter(rule).select("key")), "key", how)  # noqa: E731, B023
+        found.append(stored(verdicts(among(F.lit(True), "left_anti"), length), "verdicts"))
+        if large.isEmpty():
             break
-        found.append(stored(same_window(one((F.col("n") > most) & ~F.col("wide")), length), "verdicts"))
+        found.append(stored(same_window(among(~F.col("wide")), length), "verdicts"))
         # The windows with lo to hi bytes before the seed share the string from lo bytes before it to length - hi after it.
         halves = F.expr("array(struct(lo, (lo + hi) div 2 as hi), struct((lo + hi) div 2 + 1 as lo, hi))")
-        cut = one((F.col("n") > most) & F.col("wide")).withColumn("p", F.explode(halves)).withColumns({"lo": F.col("p.lo").cast("int"), "hi": F.col("p.hi").cast("int")})
+        cut = among(F.col("wide")).withColumn("p", F.explode(halves)).withColumns({"lo": F.col("p.lo").cast("int"), "hi": F.col("p.hi").cast("int")})
         holds = cut.filter(F.greatest("lo", F.lit(length) - F.length("ctx") + F.col("a")) <= F.least("hi", "a"))
         key = F.xxhash64("key", "lo", "hi", F.expr(f"substring(ctx, a - lo + 1, lo + {length} - hi)"))
         work = stored(holds.withColumn("key", key).select(kept), "split")
-        spent.append(work)
-    out = stored(reduce(DataFrame.unionByName, found).groupBy("c").agg(F.min("least").alias("least"), F.max("most").alias("most")), "verdict")
+        sizes = stored(work.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") > F.col("lo")).alias("wide")).filter("n > 1"), "sizes")
+        spent += [work, sizes]
+    out = stored(reduce(DataFrame.unionByName, found).groupBy(*PLACE).agg(F.min("least").alias("least"), F.max("most").alias("most")), "verdict")
     forget(*found, *spent)
     return out
 
 
 def same_window(rows: DataFrame, length: int) -> DataFrame:
-    """(c, least, most) where one window of each context is left: all but the earliest context with its bytes."""
+    """verdicts where one window of each context is left: all but the earliest context with its bytes."""
     windows = rows.withColumn("w", F.expr(f"substring(ctx, a - lo + 1, {length})")).withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "th", F.col("at") + F.col("a")))
     first = windows.groupBy("w").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return windows.join(first, "w").filter(F.col("place") > F.col("first")).select("c", F.col("lo").alias("least"), F.col("lo").alias("most"))
+    return windows.join(first, "w").filter(F.col("place") > F.col("first")).select(*PLACE, F.col("lo").alias("least"), F.col("lo").alias("most"))
+
+
+def may_repeat(there: DataFrame, keys, places, k: int, length: int) -> DataFrame:
+    """Of the stored contexts, first ones (and some later ones, by chance) whose seed has several contexts, by `key`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, p = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "p"))
+            yield batch.filter(pa.array(within(keys.value, h) & within(places.value, p))).drop_columns(["p"])
+
+    rows = there.select(F.col("h").alias("key"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), "c", "ctx", "a", "doc", "th", "at", F.xxhash64(*PLACE).alias("p"))
+    return rows.mapInArrow(run, "key long, lo int, hi int, c binary, ctx binary, a int, doc long, th long, at long")
+
+
+def later(held: DataFrame, places) -> DataFrame:
+    """(c, doc, th, at, a, size): of contexts that are no first ones and of later units their stretches, joined where they overlap,
+    as rows without c; the other contexts as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("c").is_valid().to_numpy(zero_copy_only=False)
+            maybe = own & within(places.value, batch.column("p").to_numpy().view(np.uint64))
+            kept = batch.filter(pa.array(maybe)).drop_columns(["p"])
+            yield kept
+            gone = batch.filter(pa.array(~maybe))
+            if not gone.num_rows:
+                continue
+            doc = gone.column("doc").fill_null(0).to_numpy()
+            none, th, at, size = (gone.column(c).to_numpy(zero_copy_only=False) for c in ("none", "th", "at", "size"))
+            order = np.lexsort((at, th, doc, none))
+            doc, none, th, at, size = doc[order], none[order], th[order], at[order], size[order]
+            turn = np.r_[True, (doc[1:] != doc[:-1]) | (none[1:] != none[:-1]) | (th[1:] != th[:-1])]
+            shift = np.cumsum(turn) * (1 << 40)  # texts one after another, so that a running end serves all
+            end = np.maximum.accumulate(at + size + shift)
+            opens = turn | np.r_[True, (at + shift)[1:] > end[:-1]]
+            first = np.flatnonzero(opens)
+            last = np.r_[first[1:], len(at)] - 1
+            n = len(first)
+            yield pa.record_batch([pa.nulls(n, pa.binary()), gone.column("doc").take(pa.array(order[first])), pa.array(th[first]), pa.array(at[first]), pa.nulls(n, pa.int32()), pa.array(end[last] - shift[last] - at[first]), pa.array(none[first])], schema=kept.schema)
+
+    rows = held.select("c", "doc", "th", "at", "a", "size", F.col("doc").isNull().alias("none"), F.xxhash64(*PLACE).alias("p"))
+    return rows.mapInArrow(run, "c binary, doc long, th long, at long, a int, size long, none boolean")
 
 
 def spans(texts: DataFrame, k: int = SEED, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): stretches of texts (doc, th, t) that earlier strings cover; they may overlap."""
-    firsts = first_units(texts, k, length)
-    held = stored(repeated_contexts(texts, firsts, met_twice(texts, firsts, k, length), k, length), "contexts")
+    units = first_units(texts, k, length)
+    held = stored(repeated_contexts(texts, units, met_twice(texts, units, k, length), k, length), "contexts")
     there = held.filter("c is not null")
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "h", "a", "ctx")
-    distinct = stored(there.groupBy("c").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("c", "n", "f.*"), "firsts")
-    told = compared(distinct, k, length, most)
-    marks = distinct.select("c", "n", *[F.col(x).alias(f"first_{x}") for x in ("doc", "th", "at")]).join(told, "c", "left").filter("n > 1 or least is not null")
-    own = there.select("c", "doc", "th", "at", "a", "size").join(marks, "c")
-    first = F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("th") == F.col("first_th")) & (F.col("at") == F.col("first_at"))
-    start = F.when(first, F.col("at") + F.col("a") - F.col("most")).otherwise(F.col("at"))
-    stop = F.when(first, F.col("at") + F.col("a") + length - F.col("least")).otherwise(F.col("at") + F.col("size"))
-    copies = held.filter("c is null").select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
-    found = stored(own.select("doc", "th", start.alias("start"), stop.alias("stop")).filter("start is not null").unionByName(copies), "spans")
-    forget(held, distinct, told)
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "h")
+    firsts = stored(there.groupBy("c").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("c", "n", "f.*"), "firsts")
+    sizes = stored(firsts.groupBy(F.col("h").alias("key")).agg(F.count("*").alias("n"), F.lit(length > k).alias("wide")).filter("n > 1"), "sizes")
+    places = bitmap(firsts.select(F.xxhash64(*PLACE).alias("p")), "p")
+    work = stored(may_repeat(there, bitmap(sizes, "key"), places, k, length), "asked")
+    told = compared(work, sizes, length, most)
+    forget(work, sizes)
+    same = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("th") == F.col("of_th")) & (F.col("at") == F.col("of_at"))
+    of = firsts.select(F.col("c").alias("of_c"), "n", *[F.col(x).alias(f"of_{x}") for x in PLACE[1:]])
+    marks = stored(of.join(told, (F.col("c") == F.col("of_c")) & same, "left").filter("n > 1 or least is not null").select("of_c", "of_doc", "of_th", "of_at", "least", "most"), "marks")
+    rest = stored(later(held, places), "later")
+    own = rest.filter("c is not null").join(marks, F.col("c") == F.col("of_c"))
+    start = F.when(same, F.col("at") + F.col("a") - F.col("most")).otherwise(F.col("at"))
+    stop = F.when(same, F.col("at") + F.col("a") + length - F.col("least")).otherwise(F.col("at") + F.col("size"))
+    whole = rest.filter("c is null").select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
+    found = stored(own.select("doc", "th", start.alias("start"), stop.alias("stop")).filter("start is not null").unionByName(whole), "spans")
+    forget(held, firsts, told, marks, rest)
     return found
 
 
