@@ -54,10 +54,14 @@ def signed32(n: Column) -> Column:
     return F.when(n < 0, n + F.lit(4294967296)).otherwise(n)
 
 
+#: fixed values: how a cell is named.
+CELL, CELL_ALONE = r"(?i)cell\s*(\d+)", r"^\s*(\d+)\s*$"
+
+
 def cell_label(c: Column) -> Column:
-    """`8`, `cell8` and `Cell 8` are `Cell 8`."""
-    n = F.regexp_extract(F.lower(F.trim(c)), r"^(?:cell[\s_-]*)?(\d+)$", 1)
-    return F.when(n != "", F.concat(F.lit("Cell "), n.cast("int").cast("string")))
+    """`8`, `cell8` and `pack cell 8` are `Cell 8`; null without a number above 0, or with one of more than 18 digits."""
+    n = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in (CELL, CELL_ALONE)]).try_cast("long")
+    return F.when(n > 0, F.concat(F.lit("Cell "), n.cast("string")))
 
 
 #: fixed values: how days are written.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlens.operators import segments
 from gridlens.operators.series import DAY_MS
 
 # Retained events, those of the first part, bins after it and the least quota of a bin.
@@ -14,29 +15,37 @@ EVENTS, FIRST, BINS, QUOTA = 4000, 288, 64, 58
 SERIES, KEYS, VALUES, METRICS, ATTACHED, ALWAYS = 2000, 20, 20, 50, 32, "(?i)bess|battery"
 
 
-def retained(df: DataFrame, entity: list[str], order: list[str], t_ms: str, cap: int = EVENTS, first: int = FIRST, bins: int = BINS, quota: int = QUOTA) -> DataFrame:
+def of_entity(rows: DataFrame, told: DataFrame, entity: list[str]) -> DataFrame:
+    """`rows` with the columns of `told`, one row an entity; null entities meet."""
+    own = told.select(*[F.col(c).alias(f"{c}__of") for c in entity], *[c for c in told.columns if c not in entity])
+    return rows.join(own, [F.col(c).eqNullSafe(F.col(f"{c}__of")) for c in entity]).drop(*[f"{c}__of" for c in entity])
+
+
+def retained(df: DataFrame, entity: list[str], order: list[str], t_ms: str, cap: int = EVENTS, first: int = FIRST, bins: int = BINS, quota: int = QUOTA, chunk: Column | None = None) -> DataFrame:
     """The events that stay of an entity, with the number of those dropped.
 
     Up to `cap` all stay. Beyond, the first `first` in order stay, and of the rest each of
     at most `bins` equal bins (a day doubled until the span fits) keeps its share of the
     room left, at least `quota`, at even distances in time with both ends. A row
     without time is in bin 0. The batch form of an online rule: the bins are those of the whole span.
+    An entity is as many tasks as it has bins; `chunk`, which rises with `order`, cuts the numbering of its rows into tasks too.
     """
-    whole = Window.partitionBy(*entity)
-    ranked = df.withColumns({"rank__": F.row_number().over(whole.orderBy(*order)), "seen__": F.count("*").over(whole), "lo__": F.min(t_ms).over(whole), "hi__": F.max(t_ms).over(whole)})
+    ranked = segments.running(df, entity, order, F.lit(0) if chunk is None else chunk, rank__=F.lit(1))
+    whole = of_entity(ranked, df.groupBy(*entity).agg(F.count("*").alias("seen__"), F.min(t_ms).alias("lo__"), F.max(t_ms).alias("hi__")), entity)
     days = F.floor((F.col("hi__") - F.col("lo__")) / DAY_MS) + 1
     width = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(days / F.lit(float(bins)))))) * DAY_MS
     later = F.col("rank__") > first
-    binned = ranked.withColumn("bin__", F.when(later, F.coalesce(F.floor((F.col(t_ms) - F.col("lo__")) / width), F.lit(0))).otherwise(-1))
+    binned = whole.withColumn("bin__", F.when(later, F.coalesce(F.floor((F.col(t_ms) - F.col("lo__")) / width), F.lit(0))).otherwise(-1))
     inner = Window.partitionBy(*entity, "bin__")
     placed = binned.withColumns({"i__": F.row_number().over(inner.orderBy(F.col(t_ms).asc_nulls_last(), *order)) - 1, "n__": F.count("*").over(inner)})
-    occupied = F.size(F.collect_set(F.when(F.col("bin__") >= 0, F.col("bin__"))).over(whole))
-    shared = placed.withColumn("k__", F.greatest(F.lit(quota), F.floor(F.lit(cap - first) / occupied)))
+    occupied = binned.groupBy(*entity).agg(F.count_distinct(F.when(F.col("bin__") >= 0, F.col("bin__"))).alias("bins__"))
+    shared = of_entity(placed, occupied, entity).withColumn("k__", F.greatest(F.lit(quota), F.floor(F.lit(cap - first) / F.greatest("bins__", F.lit(1)))))
     # Row i is place j of k for the least j with j * (n - 1) >= i * (k - 1), if j * (n - 1) div (k - 1) is i.
-    at = shared.withColumn("j__", F.expr("(i__ * (k__ - 1) + n__ - 2) div (n__ - 1)"))
-    stays = (F.col("seen__") <= cap) | ~later | (F.col("n__") <= F.col("k__")) | F.expr("(j__ * (n__ - 1)) div (k__ - 1) = i__")
-    left = at.filter(stays).withColumn("dropped", F.col("seen__") - F.count("*").over(whole))
-    return left.drop("rank__", "seen__", "lo__", "hi__", "bin__", "i__", "n__", "k__", "j__")
+    at = shared.withColumn("j__", F.expr("(i__ * (k__ - 1) + n__ - 2) div greatest(n__ - 1, 1)"))
+    stays = (F.col("seen__") <= cap) | ~later | (F.col("n__") <= F.col("k__")) | F.expr("(j__ * (n__ - 1)) div greatest(k__ - 1, 1) = i__")
+    left = at.filter(stays)
+    dropped = left.groupBy(*entity).agg((F.first("seen__") - F.count("*")).alias("dropped"))
+    return of_entity(left.drop("rank__", "seen__", "lo__", "hi__", "bin__", "i__", "n__", "k__", "j__", "bins__"), dropped, entity)
 
 
 def retention_summary(kept: DataFrame, entity: list[str], t_ms: str) -> DataFrame:
@@ -47,17 +56,19 @@ def retention_summary(kept: DataFrame, entity: list[str], t_ms: str) -> DataFram
     return kept.groupBy(year).agg(F.count("*").alias("of_year")).crossJoin(F.broadcast(sums)).withColumn("seen", F.col("kept") + F.col("dropped"))
 
 
-def adaptive_bins(df: DataFrame, entity: list[str], order: list[str], t_ms: str, value: str, cap: int = SERIES) -> DataFrame:
+def adaptive_bins(df: DataFrame, entity: list[str], order: list[str], t_ms: str, value: str, cap: int = SERIES, chunk: Column | None = None) -> DataFrame:
     """At most `cap` (an even number) bins of an entity: n, lo, hi, mean and the time of the first row.
 
     Rows of one time in a row share a bin. Online, a bin beyond `cap` makes neighbours
     merge in pairs with the last one carried on, so that early bins are wider. A bin that is
     the r-th to begin halves its place with every merge from then on, which gives its final place directly.
+    `chunk`, which rises with `order`, cuts an entity into tasks.
     """
-    line = Window.partitionBy(*entity).orderBy(*order)
-    begins = F.coalesce(F.col(t_ms) != F.lag(t_ms).over(line), F.lit(True)).cast("int")
-    runs = df.filter(F.col(t_ms).isNotNull()).withColumn("new__", begins).withColumn("r__", F.sum("new__").over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    last = runs.withColumn("last__", F.max("r__").over(Window.partitionBy(*entity)))
+    at = F.lit(0) if chunk is None else chunk
+    steps = segments.previous(df.filter(F.col(t_ms).isNotNull()), entity, order, at, before__=F.col(t_ms))
+    begins = F.coalesce(F.col(t_ms) != F.col("before__"), F.lit(True)).cast("int")
+    runs = segments.running(steps, entity, order, at, r__=begins).withColumn("r__", F.col("r__") - 1)
+    last = of_entity(runs, runs.groupBy(*entity).agg(F.max("r__").alias("last__")), entity)
     half = cap // 2
     merges = lambda r: f"if({r} < {cap}, 0L, ({r} - {cap}) div {half} + 1)"  # noqa: E731  merges once r + 1 bins have begun
     begun = F.expr(f"if(r__ <= {cap}, r__, {half + 1} + (r__ - {cap + 1}) % {half})")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlens.operators import segments
+
 
 def step_anchor(bins: DataFrame, entity: list[str], t: str = "bin_ms", y: str = "mean") -> DataFrame:
     """The largest step between neighbouring bins of an entity; the earliest on ties."""
@@ -58,18 +60,19 @@ def event_states(spans: DataFrame, before_ms: int = 600_000, after_ms: int = 600
     return spans.withColumn("s", F.explode(states)).select(*[c for c in spans.columns if c not in ("lo", "hi", "t")], "s.*")
 
 
-def nearest(grid: DataFrame, samples: DataFrame, by: list[str], t: str, y: str) -> DataFrame:
+def nearest(grid: DataFrame, samples: DataFrame, by: list[str], t: str, y: str, chunk: str | None = None) -> DataFrame:
     """For every grid time the sample of the same key nearest in time; the earlier one on ties.
 
     Both sides are laid on one time line for each key; the last sample at or before
-    and the first at or after come from two window frames, so no pairs are made.
+    and the first at or after are carried along it in both directions, so no pairs are made. `chunk`, an
+    expression of the time `t` that rises with it, cuts the line of a key into tasks.
     """
     line = grid.select(*by, F.col(t).alias("t"), F.lit(None).cast("long").alias("st"), F.lit(None).cast("double").alias("sy"), F.lit(1).alias("g"))
     line = line.unionByName(samples.groupBy(*by, F.col(t).alias("t")).agg(F.min_by(y, F.col(y)).cast("double").alias("sy")).select(*by, "t", F.col("t").alias("st"), "sy", F.lit(0).alias("g")))
-    back = Window.partitionBy(*by).orderBy("t", "g").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*by).orderBy(F.desc("t"), "g").rowsBetween(Window.unboundedPreceding, 0)
     pair = F.when(F.col("st").isNotNull(), F.struct("st", "sy"))
-    both = line.withColumn("p", F.last(pair, ignorenulls=True).over(back)).withColumn("q", F.last(pair, ignorenulls=True).over(on)).filter("g = 1")
+    at = F.lit(0) if chunk is None else F.expr(chunk)
+    both = segments.latest(line, by, ["t", "g"], at, p=pair).withColumn("back__", -F.col("t"))
+    both = segments.latest(both, by, ["back__", "g"], -at, q=pair).filter("g = 1")
     first = F.col("q").isNull() | (F.col("p").isNotNull() & (F.col("t") - F.col("p.st") <= F.col("q.st") - F.col("t")))
     near = F.when(first, F.col("p")).otherwise(F.col("q"))
     return both.select(*by, F.col("t").alias(t), near["st"].alias("near_ms"), F.coalesce(near["sy"], F.lit(0.0)).alias("near_y"))
@@ -83,10 +86,17 @@ def common_mode(peers: DataFrame) -> DataFrame:
     return row.withColumn("mode", mode)
 
 
-def transitions(df: DataFrame, entity: list[str], order: list[str], i: str, v: str, step: float = 5.0, idle: float = 2.0) -> DataFrame:
-    """Rows where the current moves by `step` or more and is not idle on both sides, with the resistance -dV/dI."""
-    w = Window.partitionBy(*entity).orderBy(*order)
-    moved = df.withColumn("di", F.col(i) - F.lag(i).over(w)).withColumn("dv", F.col(v) - F.lag(v).over(w)).withColumn("i0", F.lag(i).over(w))
+def transitions(df: DataFrame, entity: list[str], order: list[str], i: str, v: str, step: float = 5.0, idle: float = 2.0, chunk: Column | None = None) -> DataFrame:
+    """Rows where the current moves by `step` or more and is not idle on both sides, with the resistance -dV/dI.
+
+    `chunk`, which rises with `order`, cuts an entity into tasks.
+    """
+    if chunk is not None:
+        paired = segments.previous(df, entity, order, chunk, i0=F.col(i), v0=F.col(v))
+    else:
+        w = Window.partitionBy(*entity).orderBy(*order)
+        paired = df.withColumns({"i0": F.lag(i).over(w), "v0": F.lag(v).over(w)})
+    moved = paired.withColumns({"di": F.col(i) - F.col("i0"), "dv": F.col(v) - F.col("v0")}).drop("v0")
     return moved.filter((F.abs("di") >= step) & ~((F.abs("i0") < idle) & (F.abs(i) < idle))).withColumn("r", -F.col("dv") / F.col("di"))
 
 

@@ -6,19 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlens.operators import segments
+
 # Size of a hit, run length that fires, windows kept for an entity.
 HIT, FIRE, KEPT = 12.0, 75, 48
 
 
-def runs(df: DataFrame, dev: str, bad: Column, entity: list[str], order: list[str], hit: float = HIT, fire: int = FIRE) -> DataFrame:
-    """Adds island, run and fired. Bad rows hold the count, small deviations reset it, rows without deviation are skipped."""
-    rows = df.filter(F.col(dev).isNotNull()).withColumn("bad", bad)
-    is_hit = (~F.col("bad")) & (F.abs(dev) >= hit)
-    reset = (~F.col("bad")) & (F.abs(dev) < hit)
-    w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumn("is_hit", is_hit).withColumn("island", F.sum(reset.cast("int")).over(w))
-    inner = Window.partitionBy(*entity, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.withColumn("run", F.sum(F.col("is_hit").cast("int")).over(inner)).withColumn("fired", F.col("is_hit") & (F.col("run") >= fire))
+def runs(df: DataFrame, dev: str, bad: Column, entity: list[str], order: list[str], hit: float = HIT, fire: int = FIRE, chunk: Column | None = None) -> DataFrame:
+    """Adds island, run and fired. Bad rows hold the count, small deviations reset it, rows without deviation are skipped.
+
+    `chunk`, which rises with `order`, cuts an entity into tasks (see `segments`); without it an entity is one task.
+    """
+    rows = df.filter(F.col(dev).isNotNull()).withColumn("bad", bad).withColumn("is_hit", ~F.col("bad") & (F.abs(dev) >= hit))
+    reset = ~F.col("bad") & (F.abs(dev) < hit)
+    if chunk is not None:
+        counted = segments.runs(rows, entity, order, chunk, F.col("is_hit"), reset)
+    else:
+        w = Window.partitionBy(*entity).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        inner = Window.partitionBy(*entity, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        counted = rows.withColumn("island", F.sum(reset.cast("int")).over(w)).withColumn("run", F.sum(F.col("is_hit").cast("int")).over(inner))
+    return counted.withColumn("fired", F.col("is_hit") & (F.col("run") >= fire))
 
 
 def windows(counted: DataFrame, dev: str, t: str, entity: list[str], seq: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridlens.operators import segments
+from gridlens.session import stored
+
 DAY_MS = 86_400_000
 
 
@@ -28,12 +33,56 @@ def lower_quantile(values: Column, p: float) -> Column:
     return F.get(s, F.floor(F.lit(p) * (F.size(s) - 1)).cast("int"))
 
 
-def lower_quantiles(df: DataFrame, value: str, ps: dict[str, float], by: list[str]) -> DataFrame:
-    """lower_quantile of groups of any size: ranks instead of gathered lists."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("rn__", F.row_number().over(w) - 1).withColumn("n__", F.count("*").over(Window.partitionBy(*by)))
-    picks = [F.max(F.when(F.col("rn__") == F.floor(F.lit(p) * (F.col("n__") - 1)), F.col(value))).alias(k) for k, p in ps.items()]
-    return ranked.groupBy(*by).agg(*picks, F.max(value).alias("max"))
+def lower_quantiles(df: DataFrame, value: str, ps: dict[str, float], by: list[str], cells: int = 4096, few: int = 100_000, passes: int = 12) -> DataFrame:
+    """lower_quantile of groups of any size, and their largest value, without sorting a group.
+
+    Each quantile of a group has a bracket of values, at first all of them, that holds the
+    sought rank. A pass counts the rows of a bracket over `cells` equal cells, with the least and largest value of
+    each, and the cell of the rank is the next bracket; it ends where these are equal, after
+    some log(rows) / log(cells) passes. No row moves: cells are counted within tasks first, and the brackets
+    are broadcast while they are at most `few`. NaN is the largest value, as in sorting; null is no value.
+    """
+    if not ps:
+        return df.groupBy(*by).agg(F.max(value).alias("max"))
+    names = [f"by__{i}" for i in range(len(by))]
+    same = [F.col(n).eqNullSafe(F.col(f"{n}of")) for n in names]
+    x = F.col("x__")
+    # infinities and NaN lie in cells of their own, at the ends
+    finite = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    rows = df.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col(value).alias("v__"), F.col(value).cast("double").alias("x__"))
+    all_ = rows.groupBy(*names).agg(F.count("*").alias("n__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k__"), F.lit(p).alias("p__")) for k, p in ps.items()]))
+    now = all_.withColumn("e__", each).select(*[F.col(n).alias(f"{n}of") for n in names], F.col("e__.k__").alias("k__"), F.floor(F.col("e__.p__") * (F.col("n__") - 1)).cast("long").alias("rank__"), "lo__", "hi__", F.col("hi__").alias("max__"))
+    now, done = stored(now, "brackets"), []
+    for turn in range(passes + 1):
+        done.append(now.filter("lo__ = hi__"))
+        open_ = now.filter("lo__ <> hi__")
+        n = open_.count()
+        if not n:
+            break
+        lo, hi = F.greatest(F.col("lo__").cast("double"), F.lit(-1.7e308)), F.when(F.isnan(F.col("hi__").cast("double")), 1.7e308).otherwise(F.least(F.col("hi__").cast("double"), F.lit(1.7e308)))
+        share = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)
+        cell = F.when(finite, F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.coalesce(share, F.lit(0.0)) * cells)))).when(x == -float("inf"), -1).otherwise(F.when(F.isnan(x), cells + 1).otherwise(cells))
+        inside = (F.col("v__") >= F.col("lo__")) & (F.col("v__") <= F.col("hi__"))
+        met = rows.join(F.broadcast(open_) if n <= few else open_, [*same, inside])
+        # the last turn, for brackets that equal cells no longer divide, takes every value as a cell
+        of = [F.col(f"{n}of") for n in names]
+        counts = met.groupBy(*of, "k__", "rank__", "max__", (F.col("v__") if turn == passes else cell).alias("cell__")).agg(F.count("*").alias("n__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"))
+        upto = F.sum("n__").over(Window.partitionBy(*of, "k__").orderBy("cell__").rowsBetween(Window.unboundedPreceding, 0))
+        found = counts.withColumn("upto__", upto).filter((F.col("rank__") < F.col("upto__")) & (F.col("rank__") >= F.col("upto__") - F.col("n__")))
+        now = stored(found.select(*of, "k__", (F.col("rank__") - F.col("upto__") + F.col("n__")).alias("rank__"), "lo__", "hi__", "max__"), "brackets")
+    else:
+        done.append(now)
+    told = reduce(DataFrame.unionByName, done)
+    picks = [F.max(F.when(F.col("k__") == k, F.col("lo__"))).alias(k) for k in ps]
+    return told.groupBy(*[F.col(f"{n}of").alias(c) for c, n in zip(by, names, strict=True)]).agg(*picks, F.max("max__").alias("max"))
+
+
+def largest_gap(df: DataFrame, entity: list[str], order: list[str], t_ms: str, chunk: Column) -> DataFrame:
+    """The largest time between neighbouring rows of an entity and its share of the span; `chunk`, which rises with `order`, cuts an entity into tasks."""
+    steps = segments.previous(df, entity, order, chunk, before__=F.col(t_ms))
+    found = steps.groupBy(*entity).agg(F.max(F.col(t_ms) - F.col("before__")).alias("gap"), (F.max(t_ms) - F.min(t_ms)).alias("span"))
+    return found.withColumn("share", F.try_divide("gap", "span"))
 
 
 def counts_capped(df: DataFrame, by: list[str], key: str, order: list[str], cap: int = 20, other: str = "other") -> DataFrame:

@@ -17,7 +17,7 @@ def register(query, table, events, common: str) -> None:
     entity, order = ["event_type"], ["t_ms", "event_id"]
 
     def kept(spark, sf_dir):
-        return bounded.retained(events(spark, sf_dir), entity, order, "t_ms", cap=80, first=10, bins=8, quota=3)
+        return bounded.retained(events(spark, sf_dir), entity, order, "t_ms", cap=80, first=10, bins=8, quota=3, chunk=F.expr("t_ms div 604800000"))
 
     @query(f"{common}{KEPT} SELECT event_type, event_id, dropped FROM kept")
     def retained_events(spark, sf_dir):
@@ -36,7 +36,7 @@ g AS (SELECT l.*, (SELECT count(*) FROM range(20, 10000, 10) m(turn_at) WHERE tu
 SELECT event_type, CAST(p >> merges AS BIGINT) AS bin, min(h) AS bin_ms, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 6) AS mean FROM g GROUP BY 1, 2""")
     def adaptive_bins(spark, sf_dir):
         hours = events(spark, sf_dir).withColumn("h", F.expr("t_ms div 3600000"))
-        b = bounded.adaptive_bins(hours, entity, ["h", "event_id"], "h", "value", cap=20)
+        b = bounded.adaptive_bins(hours, entity, ["h", "event_id"], "h", "value", cap=20, chunk=F.expr("h div 168"))
         return b.select("event_type", "bin", "bin_ms", "n", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean")])
 
     @query(f"""{common}, c AS (SELECT user_id, event_type, count(*) AS n, min((t_ms, event_id)) AS met FROM e GROUP BY 1, 2), k AS (SELECT user_id FROM c GROUP BY 1 ORDER BY min(met), user_id LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY met) AS rn FROM c WHERE user_id IN (SELECT user_id FROM k)) SELECT user_id, event_type, n FROM r WHERE rn <= 3""")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlens.operators import evidence, forensics, islands, rolling, sampling, series, stats
+from gridlens.operators import evidence, forensics, islands, rolling, sampling, segments, series, stats
 from gridlens.plans import bounds, inline, literals
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
@@ -89,7 +89,7 @@ w AS (SELECT event_type, island, min(t_ms) AS start, max(t_ms) AS stop, count(*)
 
 def counted(spark, sf_dir) -> DataFrame:
     d = events(spark, sf_dir).withColumn("dev", F.col("value") - 250)
-    return islands.runs(d, "dev", F.col("event_id") % 10 == 0, ENTITY, ORDER, hit=60.0, fire=5)
+    return islands.runs(d, "dev", F.col("event_id") % 10 == 0, ENTITY, ORDER, hit=60.0, fire=5, chunk=F.expr(WEEK))
 
 
 def sustained(spark, sf_dir) -> DataFrame:
@@ -228,7 +228,7 @@ SELECT user_id, t_ms, near_ms, round(coalesce(near_y, 0), 6) AS near_y FROM j WH
 def nearest_sample_join(spark, sf_dir):
     e = events(spark, sf_dir)
     grid = e.filter("event_type = 'click'").select("user_id", "t_ms").distinct()
-    return forensics.nearest(grid, e.filter("event_type = 'view'"), ["user_id"], "t_ms", "value").select("user_id", "t_ms", "near_ms", *r6("near_y"))
+    return forensics.nearest(grid, e.filter("event_type = 'view'"), ["user_id"], "t_ms", "value", chunk="t div 604800000").select("user_id", "t_ms", "near_ms", *r6("near_y"))
 
 
 CORR = f"""{BINS}, f AS (SELECT bin_ms, mean AS fy FROM b WHERE event_type = 'click'), j AS (SELECT b.event_type, b.bin_ms, mean AS y, fy FROM b JOIN f USING (bin_ms) WHERE b.event_type <> 'click'),
@@ -257,8 +257,8 @@ def common_mode(spark, sf_dir):
 @query(f"""{EVENTS}, d AS (SELECT event_type, t_ms - lag(t_ms) OVER w AS dt, abs(value - lag(value) OVER w) AS dv FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t_ms, event_id)),
 q AS (SELECT event_type, list_sort(list(dv / (dt / 3600000.0))) AS s FROM d WHERE dt > 0 GROUP BY 1) SELECT event_type, round(s[CAST(floor(0.5 * (len(s) - 1)) AS INT) + 1], 4) AS p50, round(s[CAST(floor(0.95 * (len(s) - 1)) AS INT) + 1], 4) AS p95, round(s[len(s)], 4) AS max FROM q""")
 def rate_of_change_quantiles(spark, sf_dir):
-    w = Window.partitionBy(*ENTITY).orderBy(*ORDER)
-    d = events(spark, sf_dir).select("event_type", (F.col("t_ms") - F.lag("t_ms").over(w)).alias("dt"), F.abs(F.col("value") - F.lag("value").over(w)).alias("dv")).filter("dt > 0")
+    steps = segments.previous(events(spark, sf_dir), ENTITY, ORDER, F.expr(WEEK), t0=F.col("t_ms"), v0=F.col("value"))
+    d = steps.select("event_type", (F.col("t_ms") - F.col("t0")).alias("dt"), F.abs(F.col("value") - F.col("v0")).alias("dv")).filter("dt > 0")
     q = stats.lower_quantiles(d.withColumn("rate", F.col("dv") / (F.col("dt") / F.lit(3600000.0))), "rate", {"p50": 0.5, "p95": 0.95}, ENTITY)
     return q.select("event_type", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "max")])
 
@@ -268,7 +268,7 @@ t AS (SELECT *, -dv / di AS r FROM d WHERE abs(di) >= 5 AND NOT (abs(i0) < 2 AND
 
 
 def moved(spark, sf_dir) -> DataFrame:
-    return forensics.transitions(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", "l_extendedprice")
+    return forensics.transitions(table(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", "l_extendedprice", chunk=F.expr("l_orderkey div 100000"))
 
 
 @query(f"{TRANS} SELECT l_suppkey, l_orderkey, l_linenumber, round(di, 6) AS di, round(r, 8) AS r FROM t")
@@ -399,8 +399,7 @@ def residual_buckets(spark, sf_dir):
 
 @query(f"""{EVENTS}, g AS (SELECT event_type, t_ms, t_ms - lag(t_ms) OVER (PARTITION BY event_type ORDER BY t_ms, event_id) AS gap FROM e) SELECT event_type, max(gap) AS gap, round(max(gap)::DOUBLE / (max(t_ms) - min(t_ms)), 6) AS share FROM g GROUP BY 1""")
 def largest_gap(spark, sf_dir):
-    g = events(spark, sf_dir).withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy(*ENTITY).orderBy(*ORDER)))
-    return g.groupBy("event_type").agg(F.max("gap").alias("gap"), F.round(F.max("gap") / (F.max("t_ms") - F.min("t_ms")), 6).alias("share"))
+    return stats.largest_gap(events(spark, sf_dir), ENTITY, ORDER, "t_ms", F.expr(WEEK)).select("event_type", "gap", *r6("share"))
 
 
 @query(f"{CELLS} SELECT vec_id, round(stddev_pop(v), 6) AS spread, round(max(v) - median(v), 6) AS hottest FROM c GROUP BY 1")
