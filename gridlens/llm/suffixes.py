@@ -7,7 +7,7 @@ seeds at equal places. Neighbouring windows with the same seed occurrence are on
 context. The steps, none of which moves text that has no seed twice:
 
 1. Texts are cut into units of some hundred bytes where their content says so. Of units with equal
-   bytes (by a 128-bit BLAKE2 digest) the first place goes into a bitmap of fixed size. A unit that is not in it is a later
+   bytes (by a 128-bit BLAKE2 digest) the first place goes into a bitmap of bounded size. A unit that is not in it is a later
    copy: it goes whole, and no window of it is looked at again. A later copy that falls into the bitmap by chance
    is left to the next steps.
 2. Seed hashes of the other windows are counted; those met twice fall into another bitmap. Contexts with such a seed are stored. Equal contexts (by a 128-bit BLAKE2 digest)
@@ -41,7 +41,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.substrings import bitmap, within
 from gridlens.llm.text import mix
 from gridlens.session import forget, stored
 
@@ -55,6 +54,36 @@ HELD = ["c", "h", "ctx", "a", "size", "doc", "th", "at"]
 PLACE = ["c", "doc", "th", "at"]
 
 
+class Marks:
+    """Which classes of 64-bit hashes are met: a bitmap of at most 2**MOST_BITS bits, some `ROOM` for each hash while that suffices."""
+
+    MOST_BITS, ROOM = 28, 16
+
+    def __init__(self, cells: np.ndarray, words: np.ndarray):
+        """`words` has 64 classes each, of the MOST_BITS highest bits of the hashes, from class 64 * cell on."""
+        met = int(np.bitwise_count(words).sum())
+        self.bits = min(self.MOST_BITS, max(6, (self.ROOM * met).bit_length()))
+        self.map = np.zeros(1 << self.bits - 6, np.uint64)
+        for at in range(0, len(cells), 1 << 16):
+            cell, bit = np.nonzero(np.unpackbits(words[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            c = (cells[at : at + (1 << 16)][cell].astype(np.uint64) * np.uint64(64) + bit.astype(np.uint64)) >> np.uint64(self.MOST_BITS - self.bits)
+            np.bitwise_or.at(self.map, (c >> np.uint64(6)).astype(np.int64), np.uint64(1) << (c & np.uint64(63)))
+
+    def __contains__(self, h: int) -> bool:
+        return bool(self.has(np.array([h], np.uint64))[0])
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        c = h >> np.uint64(64 - self.bits)
+        return (self.map[(c >> np.uint64(6)).astype(np.int64)] >> (c & np.uint64(63))) & np.uint64(1) > 0
+
+
+def marks(df: DataFrame, column: str):
+    """The hashes in a column as broadcast Marks. A hash that has not been met may be marked by chance; one that has always is."""
+    high = F.shiftrightunsigned(column, 64 - Marks.MOST_BITS)
+    cells = df.select(high.alias("c")).groupBy(F.expr("c >> 6").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(c & 63 as int)))").alias("bits")).toArrow()
+    return df.sparkSession.sparkContext.broadcast(Marks(cells["at"].to_numpy(), np.ascontiguousarray(cells["bits"].to_numpy().astype(np.int64)).view(np.uint64)))
+
+
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hash, spread by a finalizer, of every run of k bytes."""
     cur, size, out, used, base = _BYTE[data], 1, None, 0, _BASE
@@ -179,7 +208,7 @@ def first_units(texts: DataFrame, k: int, length: int):
                 yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(own.view(np.int64)), batch.column("doc").take(pa.array(row)), batch.column("th").take(pa.array(row)), pa.array(at)], names=["d", "p", "doc", "th", "at"])
 
     least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "p")).alias("f")
-    return bitmap(texts.mapInArrow(run, "d binary, p long, doc long, th long, at long").groupBy("d").agg(least).select("f.p"), "p")
+    return marks(texts.mapInArrow(run, "d binary, p long, doc long, th long, at long").groupBy("d").agg(least).select("f.p"), "p")
 
 
 def met_twice(texts: DataFrame, firsts, k: int, length: int):
@@ -187,10 +216,10 @@ def met_twice(texts: DataFrame, firsts, k: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in contexts(batch, k, length, lambda p: within(firsts.value, p)):
+            for found in contexts(batch, k, length, firsts.value.has):
                 yield pa.record_batch({"h": found[1].view(np.int64)})
 
-    return bitmap(texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
+    return marks(texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h")
 
 
 def repeated_contexts(texts: DataFrame, firsts, bits, k: int, length: int) -> DataFrame:
@@ -202,7 +231,7 @@ def repeated_contexts(texts: DataFrame, firsts, bits, k: int, length: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, th = batch.column("doc"), batch.column("th")
-            for data, h, begin, end, seed, row, at, *again in contexts(batch, k, length, lambda p: within(firsts.value, p), lambda h: within(bits.value, h)):
+            for data, h, begin, end, seed, row, at, *again in contexts(batch, k, length, firsts.value.has, bits.value.has):
                 if len(h):
                     held = memoryview(np.ascontiguousarray(data))
                     digests = [blake2b(held[b:e], digest_size=16).digest() for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
@@ -407,7 +436,7 @@ def may_repeat(there: DataFrame, keys, places, k: int, length: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, p = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "p"))
-            yield batch.filter(pa.array(within(keys.value, h) & within(places.value, p))).drop_columns(["p"])
+            yield batch.filter(pa.array(keys.value.has(h) & places.value.has(p))).drop_columns(["p"])
 
     rows = there.select(F.col("h").alias("key"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), "c", "ctx", "a", "doc", "th", "at", F.xxhash64(*PLACE).alias("p"))
     return rows.mapInArrow(run, "key long, lo int, hi int, c binary, ctx binary, a int, doc long, th long, at long")
@@ -420,7 +449,7 @@ def later(held: DataFrame, places) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("c").is_valid().to_numpy(zero_copy_only=False)
-            maybe = own & within(places.value, batch.column("p").to_numpy().view(np.uint64))
+            maybe = own & places.value.has(batch.column("p").to_numpy().view(np.uint64))
             kept = batch.filter(pa.array(maybe)).drop_columns(["p"])
             yield kept
             gone = batch.filter(pa.array(~maybe))
@@ -446,25 +475,30 @@ def later(held: DataFrame, places) -> DataFrame:
 def spans(texts: DataFrame, k: int = SEED, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(doc, th, start, stop): stretches of texts (doc, th, t) that earlier strings cover; they may overlap."""
     units = first_units(texts, k, length)
-    held = stored(repeated_contexts(texts, units, met_twice(texts, units, k, length), k, length), "contexts")
+    twice = met_twice(texts, units, k, length)
+    held = stored(repeated_contexts(texts, units, twice, k, length), "contexts")
+    units.destroy()
+    twice.destroy()
     there = held.filter("c is not null")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "th", "at", "h")
     firsts = stored(there.groupBy("c").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("c", "n", "f.*"), "firsts")
     sizes = stored(firsts.groupBy(F.col("h").alias("key")).agg(F.count("*").alias("n"), F.lit(length > k).alias("wide")).filter("n > 1"), "sizes")
-    places = bitmap(firsts.select(F.xxhash64(*PLACE).alias("p")), "p")
-    work = stored(may_repeat(there, bitmap(sizes, "key"), places, k, length), "asked")
+    places, keys = marks(firsts.select(F.xxhash64(*PLACE).alias("p")), "p"), marks(sizes, "key")
+    work = stored(may_repeat(there, keys, places, k, length), "asked")
+    keys.destroy()
     told = compared(work, sizes, length, most)
     forget(work, sizes)
     same = F.col("doc").eqNullSafe(F.col("of_doc")) & (F.col("th") == F.col("of_th")) & (F.col("at") == F.col("of_at"))
     of = firsts.select(F.col("c").alias("of_c"), "n", *[F.col(x).alias(f"of_{x}") for x in PLACE[1:]])
-    marks = stored(of.join(told, (F.col("c") == F.col("of_c")) & same, "left").filter("n > 1 or least is not null").select("of_c", "of_doc", "of_th", "of_at", "least", "most"), "marks")
+    told_of = stored(of.join(told, (F.col("c") == F.col("of_c")) & same, "left").filter("n > 1 or least is not null").select("of_c", "of_doc", "of_th", "of_at", "least", "most"), "told")
     rest = stored(later(held, places), "later")
-    own = rest.filter("c is not null").join(marks, F.col("c") == F.col("of_c"))
+    places.destroy()
+    own = rest.filter("c is not null").join(told_of, F.col("c") == F.col("of_c"))
     start = F.when(same, F.col("at") + F.col("a") - F.col("most")).otherwise(F.col("at"))
     stop = F.when(same, F.col("at") + F.col("a") + length - F.col("least")).otherwise(F.col("at") + F.col("size"))
     whole = rest.filter("c is null").select("doc", "th", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
     found = stored(own.select("doc", "th", start.alias("start"), stop.alias("stop")).filter("start is not null").unionByName(whole), "spans")
-    forget(held, firsts, told, marks, rest)
+    forget(held, firsts, told, told_of, rest)
     return found
 
 

@@ -97,6 +97,16 @@ def test_every_window_is_in_one_context(monkeypatch, slab):
     assert {k: v for k, v in seen.items() if k[0] == "at"} == {("at", r, i): 1 for r, t in enumerate(texts[2:]) for i in range(len(t) - 19)}
 
 
+def test_marks_hold_what_they_were_given():
+    h = np.random.default_rng(0).integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2)
+    c = h >> np.uint64(64 - suffixes.Marks.MOST_BITS)
+    cells = np.unique(c >> np.uint64(6))
+    words = np.array([np.bitwise_or.reduce(np.uint64(1) << (c[c >> np.uint64(6) == x] & np.uint64(63))) for x in cells])
+    marks = suffixes.Marks(cells, words)
+    assert marks.has(h).all() and 15 <= marks.bits <= 17 and marks.has(np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)).mean() < 0.2
+    assert int(h[0]) in marks and not suffixes.Marks(cells[:0], words[:0]).has(h).any()
+
+
 def suffix_case(seed=1):
     rng = np.random.default_rng(seed)
     data = rng.choice(np.frombuffer(b"ab", np.uint8), 900)
