@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.operators import evidence, forensics, islands, rolling, sampling, segments, series, stats
-from gridlens.plans import bounds, inline, literals, streams
+from gridlens.plans import bounds, ingest, inline, literals, streams
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 WEEK = "t_ms div 604800000"  # a week of an entity is a task of the rolling rules
@@ -423,6 +423,7 @@ def file_rollup(spark, sf_dir):
 bounds.register(query, table, events, EVENTS)
 inline.register(query, table)
 streams.register(query, events, RUNS)
+ingest.register(query, table, events, EVENTS, SCORED)
 literals.register(query)
 
 
