@@ -50,6 +50,15 @@ def running(df: DataFrame, entity: list[str], order: list[str], chunk: Column, *
     return carried(own, states, entity).select(*df.columns, *[(F.col(f"{n}__before") + F.col(f"{n}__in")).alias(n) for n in sums])
 
 
+def span(df: DataFrame, entity: list[str], order: list[str], chunk: Column, t: str) -> DataFrame:
+    """Adds lo and hi: the least and largest `t` up to and with each row."""
+    rows, w = dealt(df, chunk), line(entity, order)
+    own = rows.withColumns({"lo__in": F.min(t).over(w), "hi__in": F.max(t).over(w)})
+    whole = rows.groupBy(*entity, CHUNK).agg(F.min(t).alias("lo__all"), F.max(t).alias("hi__all"))
+    states = whole.select(*entity, CHUNK, F.min("lo__all").over(before(entity)).alias("lo__before"), F.max("hi__all").over(before(entity)).alias("hi__before"))
+    return carried(own, states, entity).select(*df.columns, F.least("lo__in", "lo__before").alias("lo"), F.greatest("hi__in", "hi__before").alias("hi"))
+
+
 def previous(df: DataFrame, entity: list[str], order: list[str], chunk: Column, **columns: Column) -> DataFrame:
     """Adds values of the row before, null for the first row of an entity."""
     held = in_chunks(df, entity, order, chunk, 1)

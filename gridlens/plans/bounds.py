@@ -47,11 +47,11 @@ SELECT event_type, CAST(p >> merges AS BIGINT) AS bin, min(h) AS bin_ms, count(*
     def first_metric_keys(spark, sf_dir):
         return bounded.first_metrics(events(spark, sf_dir), "user_id", "value", order).select("user_id", "n", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "mean")])
 
-    @query(f"{common}, u AS (SELECT CASE WHEN user_id % 9 = 0 THEN 'Bess ' ELSE 'unit ' END || user_id AS name, min(event_id) AS first, max(value) AS top FROM e GROUP BY 1) SELECT name FROM u WHERE name ILIKE '%bess%' OR top > 495 OR name IN (SELECT name FROM u ORDER BY first, name LIMIT 32)")
+    @query(f"{common}, u AS (SELECT CASE WHEN user_id % 9 = 0 THEN 'Bess ' ELSE 'unit ' END || user_id AS name, min(event_id) AS first, max(value) AS top FROM e GROUP BY 1) SELECT name FROM u WHERE name ILIKE '%bess%' OR top > 200 OR name IN (SELECT name FROM u ORDER BY first, name LIMIT 32)")
     def attached_entities(spark, sf_dir):
         name = F.concat(F.when(F.col("user_id") % 9 == 0, "Bess ").otherwise("unit "), F.col("user_id").cast("string"))
         u = events(spark, sf_dir).groupBy(name.alias("name")).agg(F.min("event_id").alias("first"), F.max("value").alias("top"))
-        return bounded.attached(u, "name", "first", F.col("top") > 495).select("name")
+        return bounded.attached(u, "name", "first", F.col("top") > 200).select("name")
 
     @query(f"""{common}, a AS (SELECT event_type, event_id, t_ms FROM e WHERE value > 200), s AS (SELECT event_type, t_ms AS t, max(event_id) AS flag FROM e WHERE value < 20 GROUP BY 1, 2),
 n AS (SELECT a.event_id, s.flag, row_number() OVER (PARTITION BY a.event_id ORDER BY CASE WHEN abs(s.t - a.t_ms) < 60000 THEN 0 ELSE 1 END, CASE WHEN abs(s.t - a.t_ms) < 60000 THEN s.t ELSE abs(s.t - a.t_ms) END, s.t) AS rn FROM a JOIN s USING (event_type)) SELECT event_id, flag FROM n WHERE rn = 1""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.operators import evidence, forensics, islands, rolling, sampling, segments, series, stats
-from gridlens.plans import bounds, ingest, inline, literals, streams
+from gridlens.plans import bounds, ingest, inline, streams, texts
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 WEEK = "t_ms div 604800000"  # a week of an entity is a task of the rolling rules
@@ -112,10 +112,10 @@ def sustained_windows_capped(spark, sf_dir):
 
 
 @query(f"""{EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t_ms, event_id) AS rn FROM e)
-SELECT a.event_id, b.event_id AS context_id, b.rn - a.rn AS back FROM n a JOIN n b ON a.event_type = b.event_type AND b.rn BETWEEN a.rn - 4 AND a.rn WHERE a.value > 480""")
+SELECT a.event_id, b.event_id AS context_id, b.rn - a.rn AS back FROM n a JOIN n b ON a.event_type = b.event_type AND b.rn BETWEEN a.rn - 4 AND a.rn WHERE a.value > 150""")
 def context_windows(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy(*ENTITY).orderBy(*ORDER)))
-    rows = rolling.context(e, ["event_id", "rn"], ENTITY, ORDER).filter("value > 480")
+    rows = rolling.context(e, ["event_id", "rn"], ENTITY, ORDER).filter("value > 150")
     return rows.select("event_id", "rn", F.explode("context").alias("c")).select("event_id", F.col("c.event_id").alias("context_id"), (F.col("c.rn") - F.col("rn")).cast("long").alias("back"))
 
 
@@ -143,10 +143,10 @@ def category_over_time(spark, sf_dir):
     return stats.category_over_time(e, ["all"], "event_type", "t_ms").select("width_ms", "bin", "event_type", "n")
 
 
-@query(f"""{EVENTS}, r AS (SELECT event_type, min(t_ms) AS data_lo, max(t_ms) AS data_hi, min(t_ms) FILTER (value > 450) AS kept_lo, max(t_ms) FILTER (value > 450) AS kept_hi FROM e GROUP BY 1)
+@query(f"""{EVENTS}, r AS (SELECT event_type, min(t_ms) AS data_lo, max(t_ms) AS data_hi, min(t_ms) FILTER (value > 100) AS kept_lo, max(t_ms) FILTER (value > 100) AS kept_hi FROM e GROUP BY 1)
 SELECT *, round(CASE WHEN kept_lo IS NULL THEN NULL WHEN data_hi <= data_lo THEN 1.0 ELSE least(1.0, (kept_hi - kept_lo)::DOUBLE / (data_hi - data_lo)) END, 6) AS coverage FROM r""")
 def time_range_coverage(spark, sf_dir):
-    return stats.time_coverage(events(spark, sf_dir), ENTITY, "t_ms", F.col("value") > 450).select("event_type", "data_lo", "data_hi", "kept_lo", "kept_hi", *r6("coverage"))
+    return stats.time_coverage(events(spark, sf_dir), ENTITY, "t_ms", F.col("value") > 100).select("event_type", "data_lo", "data_hi", "kept_lo", "kept_hi", *r6("coverage"))
 
 
 @query(f"""{EVENTS}, p AS (SELECT event_type, min(t_ms) AS lo, max(t_ms) AS hi FROM e GROUP BY 1), c AS (SELECT event_type, CAST(least(7, floor((t_ms - lo) * 8.0 / (hi - lo))) AS INT) AS bucket, count(*) AS n FROM e JOIN p USING (event_type) GROUP BY 1, 2)
@@ -364,11 +364,18 @@ def head_sample(spark, sf_dir):
     return sampling.head(events(spark, sf_dir), ENTITY, ORDER).select("event_type", "event_id", "rn")
 
 
-@query(f"""{EVENTS}, a AS (SELECT * FROM e WHERE value > 400), p AS (SELECT event_type, min(t_ms) AS lo, max(t_ms) AS hi FROM a GROUP BY 1), s AS (SELECT a.*, CAST(CASE WHEN hi > lo THEN least(7, floor((t_ms - lo) * 8.0 / (hi - lo))) ELSE 0 END AS INT) AS stratum FROM a JOIN p USING (event_type)),
+@query(f"""{EVENTS}, p AS (SELECT event_type, min(t_ms) AS lo, max(t_ms) AS hi FROM e GROUP BY 1), s AS (SELECT a.*, CAST(CASE WHEN hi > lo THEN least(7, floor((t_ms - lo) * 8.0 / (hi - lo))) ELSE 0 END AS INT) AS stratum FROM e a JOIN p USING (event_type) WHERE value > 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_type, stratum ORDER BY t_ms, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM s), k AS (SELECT * FROM r WHERE rn <= 5)
 SELECT event_type, stratum, event_id, n - count(*) OVER (PARTITION BY event_type) AS dropped FROM k""")
 def stratified_sample(spark, sf_dir):
-    return sampling.stratified(events(spark, sf_dir).filter("value > 400"), ENTITY, "t_ms", ORDER).select("event_type", "stratum", "event_id", "dropped")
+    return sampling.stratified(events(spark, sf_dir), ENTITY, "t_ms", ORDER, F.col("value") > 100).select("event_type", "stratum", "event_id", "dropped")
+
+
+@query()
+def retained_alarms(spark, sf_dir):
+    """Events over 100 as alarms, kept as a reader in arrival order (by id) keeps them; tests hold it against a plain fold."""
+    kept = sampling.retained_alarms(events(spark, sf_dir), ENTITY, ["event_id"], "t_ms", F.col("value") > 100, chunk=F.expr("event_id div 5000"))
+    return kept.select("event_type", "event_id", "t_ms", "dropped")
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_discount >= 0.09)")
@@ -383,11 +390,11 @@ def anti_unmatched(spark, sf_dir):
     return evidence.uncited(table(spark, sf_dir, "orders"), cited, ["o_orderkey"]).select("o_orderkey")
 
 
-@query(f"""{RUNS}, k AS (SELECT 1 AS kind, event_type AS entity, start AS at_ms, 'sustained' AS rule, CAST(fires AS BIGINT) AS weight FROM w UNION ALL SELECT 2, event_type, t_ms, 'level', CAST(floor(value) AS BIGINT) FROM e WHERE value > 488),
+@query(f"""{RUNS}, k AS (SELECT 1 AS kind, event_type AS entity, start AS at_ms, 'sustained' AS rule, CAST(fires AS BIGINT) AS weight FROM w UNION ALL SELECT 2, event_type, t_ms, 'level', CAST(floor(value) AS BIGINT) FROM e WHERE value > 250),
 n AS (SELECT *, row_number() OVER (ORDER BY kind, at_ms, entity, weight) AS i FROM k) SELECT printf('E%03d', i) AS evidence_id, entity, at_ms, rule, weight FROM n WHERE i <= 80""")
 def evidence_ledger(spark, sf_dir):
     w = sustained(spark, sf_dir).select(F.lit(1).alias("kind"), F.col("event_type").alias("entity"), F.col("start").alias("at_ms"), F.lit("sustained").alias("rule"), F.col("fires").alias("weight"))
-    e = events(spark, sf_dir).filter("value > 488").select(F.lit(2).alias("kind"), F.col("event_type").alias("entity"), F.col("t_ms").alias("at_ms"), F.lit("level").alias("rule"), F.floor("value").cast("long").alias("weight"))
+    e = events(spark, sf_dir).filter("value > 250").select(F.lit(2).alias("kind"), F.col("event_type").alias("entity"), F.col("t_ms").alias("at_ms"), F.lit("level").alias("rule"), F.floor("value").cast("long").alias("weight"))
     return evidence.ledger([w, e], ["kind", "at_ms", "entity", "weight"]).select("evidence_id", "entity", "at_ms", "rule", "weight")
 
 
@@ -424,7 +431,7 @@ bounds.register(query, table, events, EVENTS)
 inline.register(query, table)
 streams.register(query, events, RUNS)
 ingest.register(query, table, events, EVENTS, SCORED)
-literals.register(query)
+texts.register(query, table, events, EVENTS)
 
 
 def queries() -> dict:

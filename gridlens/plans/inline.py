@@ -1,4 +1,4 @@
-"""Queries on texts, literal rows and streams."""
+"""Queries on texts, snapshots, contracts and streams."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gridlens.functions import scalars
 from gridlens.operators import evidence
+from gridlens.plans.texts import EMAIL, PHONE
 from gridlens.session import shared_dir
-from gridlens.sources import logs
 from gridlens.streaming import live
 
 
@@ -18,7 +18,7 @@ def register(query, table) -> None:
     def html_text(spark, sf_dir):
         return table(spark, sf_dir, "pages").select("page_id", scalars.html_text(F.col("html")).alias("text"))
 
-    @query(rf"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '{scalars.EMAIL}')), ' ') <> '' AS has_email, len(list_distinct(regexp_extract_all(text, '{scalars.EMAIL}'))) AS emails, len(list_distinct(regexp_extract_all(text, '{scalars.PHONE}'))) AS phones FROM documents".replace("emails,", "emails,"))
+    @query(rf"SELECT doc_id, regexp_matches(text, '{EMAIL}') AS has_email, len(list_distinct(regexp_extract_all(text, '{EMAIL}'))) AS emails, len(list_distinct(regexp_extract_all(text, '{PHONE}'))) AS phones FROM documents")
     def pii_scan(spark, sf_dir):
         every = lambda p: F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0)))
         return table(spark, sf_dir, "documents").select("doc_id", (F.size(every(scalars.EMAIL)) > 0).alias("has_email"), F.size(every(scalars.EMAIL)).cast("long").alias("emails"), F.size(every(scalars.PHONE)).cast("long").alias("phones"))
@@ -46,20 +46,6 @@ def register(query, table) -> None:
         text = lambda c: F.date_format(c, "yyyy-MM-dd")
         return d.groupBy("l_orderkey").agg(text(F.min("d")).alias("first_day"), text(F.max("d")).alias("last_day"), F.count_distinct("d").alias("days"))
 
-    lines = ['a,"x, y",3', 'b,"he said ""hi""", 4 ', 'c,"open', "d,,"]
-
-    @query("SELECT * FROM (VALUES (0, 'a', 'x, y', '3', false), (1, 'b', 'he said \"hi\"', '4', false), (2, '', '', '', true), (3, 'd', '', '', false)) t(seq, k, note, n, malformed)")
-    def parse_delimited(spark, sf_dir):
-        rows = spark.createDataFrame(list(enumerate(lines)), "seq int, value string")
-        return logs.generic_rows(rows, ["k", "note", "n"]).select("seq", "k", "note", "n", "malformed")
-
-    times = ["2025-08-19T12:15:00Z", "2025/08/19 12:15:00", "2025-08-19 12:15:00+10:00", "2025-02-30 00:00:00.1239", "1700000000", "", "never"]
-
-    @query("SELECT * FROM (VALUES (0, 1755605700000), (1, 1755569700000), (2, 1755569700000), (3, 1740837600123), (4, NULL), (5, NULL), (6, NULL)) t(seq, ms)")
-    def parse_timestamp(spark, sf_dir):
-        rows = spark.createDataFrame(list(enumerate(times)), "seq int, value string")
-        return rows.select("seq", scalars.timestamp_ms(F.col("value"), 600).alias("ms"))
-
     @query("SELECT o_custkey AS case_id, 'new' AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
     def snapshot_upsert(spark, sf_dir):
         old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.lit("old").alias("state"))

@@ -3,7 +3,6 @@
 import io
 import zipfile
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,11 +51,64 @@ def test_cell_rule(spark):
     assert (found[0]["cell"], found[0]["alarm"], found[1]["alarm"]) == (8, True, False)
 
 
-def test_fold_keeps_extremes_and_counts():
-    rows = pd.DataFrame({"t_ms": [*range(100), 5, None, 200]})
-    kept = sampling.fold_alarms(rows)
-    assert len(kept) == 40 and kept["dropped"].iloc[0] == 63
-    assert kept["t_ms"].min() == 0 and kept["t_ms"].max() == 200
+def kept_plainly(rows, cap, strata):
+    """The rule of retention word by word: (kept ids by time, dropped) of rows (id, time, alarm)."""
+    kept, dropped, times = [], 0, []
+    for i, t, alarm in rows:
+        times += [] if t is None else [t]
+        if not alarm:
+            continue
+        if len(kept) < cap:
+            kept.append((i, t))
+            continue
+        dropped += 1
+        untimed = [k for k in kept if k[1] is None]
+        if t is None:
+            continue
+        if untimed:
+            kept[kept.index(untimed[0])] = (i, t)
+            continue
+        lo, hi = min(times), max(times)
+        place = lambda x: min(strata - 1, max(0, (x - lo) * strata // (hi - lo))) if hi > lo else 0  # noqa: B023, E731
+        n = [sum(place(k[1]) == s for k in kept) for s in range(strata)]
+        top, low = max(k[1] for k in kept), min(k[1] for k in kept)
+        ends = [next(k for k in kept if k[1] == top), next(k for k in kept if k[1] == low)]
+        if n[place(t)] < cap // strata:
+            fullest = max(s for s in range(strata) if n[s] == max(n))
+            members = [k for k in kept if place(k[1]) == fullest]
+            if n[fullest] > n[place(t)]:
+                gone = ([k for k in members if k not in ends] or members)[-1]
+                kept[kept.index(gone)] = (i, t)
+        elif t > top:
+            kept[kept.index(ends[0])] = (i, t)
+        elif t < low:
+            kept[kept.index(ends[1])] = (i, t)
+    return [k[0] for k in sorted(kept, key=lambda k: (k[1] is None, k[1] or 0))], dropped
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_retention_is_that_of_the_rule(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = {e: [(i, None if rng.random() < 0.03 else [i * 10, rng.randrange(5000), 4000 - i * 3, i // 90][seed], rng.random() < 0.6) for i in range(400)] for e in ("a", None, "b")}
+    df = spark.createDataFrame([(e, *r, "x") for e, rs in rows.items() for r in rs], "e string, seq long, t long, alarm boolean, lo string").withColumnRenamed("lo", "note").repartition(7)
+    kept = sampling.retained_alarms(df, ["e"], ["seq"], "t", F.col("alarm"), chunk=F.expr("seq div 50"), cap=24, strata=6).collect()
+    for e, rs in rows.items():
+        ids, dropped = kept_plainly(rs, 24, 6)
+        mine = [r for r in kept if r["e"] == e]
+        assert [r["seq"] for r in mine] == ids and {r["dropped"] for r in mine} == {dropped}
+
+
+def test_a_shelf_holds_no_more_than_its_places():
+    import pyarrow as pa
+
+    shelf, row = sampling.Shelf(40, 8), pa.record_batch({"x": [1]})
+    for i in range(5000):
+        slot = shelf.slot(float(i % 977), 0.0, float(min(i, 976)))
+        if slot is not None:
+            shelf.put(slot, float(i % 977), row)
+    assert len(shelf.rows) == len(shelf.times) == 40 and shelf.dropped == 4960
 
 
 def test_spread_keeps_both_ends(spark):
