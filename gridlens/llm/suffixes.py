@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from gridlens.llm.text import mix
 from gridlens.session import forget, stored
 
-LENGTH, SEED, MOST = 100, 32, 20_000
+LENGTH, SEED, MOST = 100, 32, 2_000
 SLAB, ROWS, UNIT = 1 << 20, 1 << 14, 768
 FEW_SPANS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
