@@ -43,6 +43,27 @@ def upsert(history: DataFrame, snapshot: DataFrame, key: str = "case_id") -> Dat
     return snapshot.unionByName(history.join(snapshot.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def snapshots(cases: DataFrame, keys: list[str], heavy: list[str]) -> DataFrame:
+    """The key columns of cases and `body`, the others as JSON without the heavy ones."""
+    body = [c for c in cases.columns if c not in keys and c not in heavy]
+    return cases.select(*keys, F.to_json(F.struct(*body)).alias("body"))
+
+
+def reloaded(history: DataFrame, case_id, schema: str, key: str = "case_id") -> DataFrame:
+    """A case of the history, its body typed again."""
+    return history.filter(F.col(key) == F.lit(case_id)).withColumn("body", F.from_json("body", schema)).select("*", "body.*").drop("body")
+
+
+def profiles(df: DataFrame, source: str, t_ms: str, alarm: Column, format_id: str = "generic", entity_column: str | None = None, dropped: Column | None = None) -> DataFrame:
+    """What is told of each source: format, entity column, rows, alarms, range of data and of evidence, coverage, events dropped."""
+    from gridlens.operators.stats import time_coverage
+
+    hit = F.coalesce(alarm, F.lit(False))
+    n = df.groupBy(source).agg(F.count("*").alias("row_count"), F.count_if(hit).alias("derived_alarm_count"), (F.lit(0) if dropped is None else F.sum(dropped)).cast("long").alias("dropped_events"))
+    c = time_coverage(df, [source], t_ms, hit).select(source, "data_lo", "data_hi", F.col("kept_lo").alias("evidence_lo"), F.col("kept_hi").alias("evidence_hi"), "coverage")
+    return n.join(c, source).select(source, F.lit(format_id).alias("format_id"), F.lit(entity_column).alias("entity_column"), "row_count", "derived_alarm_count", "data_lo", "data_hi", "evidence_lo", "evidence_hi", "coverage", "dropped_events")
+
+
 def budget(df: DataFrame, by: list[str], order: list[str], size: Column, per_row: int, total: int) -> DataFrame:
     """Adds `take`: characters of each row within a budget per row and for the group, spent in order."""
     want = df.withColumn("want", F.least(size, F.lit(per_row)))

@@ -104,6 +104,13 @@ def cell_resistance(before: Column, after: Column, di: Column) -> Column:
     return F.zip_with(before, after, lambda a, b: -(b - a) / di)
 
 
+def cell_events(df: DataFrame, entity: list[str], order: list[str], i: str, cells: str, step: float = 5.0, idle: float = 2.0, chunk: Column | None = None) -> DataFrame:
+    """Changes of current of a battery, as `transitions`, with di and the resistance r of every cell."""
+    paired = segments.previous(df, entity, order, F.lit(0) if chunk is None else chunk, i0=F.col(i), c0=F.col(cells)).withColumn("di", F.col(i) - F.col("i0"))
+    moved = paired.filter((F.abs("di") >= step) & ~((F.abs("i0") < idle) & (F.abs(i) < idle)))
+    return moved.withColumn("r", cell_resistance(F.col("c0"), F.col(cells), F.col("di"))).drop("i0", "c0")
+
+
 def matched_point(df: DataFrame, by: list[str], limits: dict[str, float], least: int = 8) -> DataFrame:
     """Rows near the group's lower medians of all columns; groups under `least` rows stay whole, missing values pass."""
     from gridlens.operators.stats import lower_quantiles

@@ -118,6 +118,26 @@ def time_histogram(df: DataFrame, by: list[str], t_ms: str, buckets: int = 8) ->
     return frame.join(counts, [*by, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def deviations(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, least, most, mean, middle, mad (of the finite values about their median), and quantiles p01 to p99, interpolated."""
+    finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+    ps = {f"p{int(p * 100):02d}": p for p in (0.01, 0.05, 0.25, 0.75, 0.95, 0.99)}
+    found = finite.groupBy(*by).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("middle"), *[F.percentile(value, F.lit(p)).alias(k) for k, p in ps.items()])
+    own = [F.col(c).eqNullSafe(F.col(f"{c}__of")) for c in by]
+    middles = found.select(*[F.col(c).alias(f"{c}__of") for c in by], F.col("middle").alias("middle__"))
+    spread = finite.join(middles, own).groupBy(*by).agg(F.percentile(F.abs(F.col(value) - F.col("middle__")), F.lit(0.5)).alias("mad"))
+    of = spread.select(*[F.col(c).alias(f"{c}__of") for c in by], "mad")
+    return found.join(of, own).drop(*[f"{c}__of" for c in by])
+
+
+def least_squares(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """slope, base and squared error of the line through the pairs of a group; 0, 0 and infinity for fewer than three."""
+    told = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n, sse = F.count("*"), F.regr_syy(y, x) - F.coalesce(F.try_divide(F.regr_sxy(y, x) * F.regr_sxy(y, x), F.regr_sxx(y, x)), F.lit(0.0))
+    few = n < 3
+    return told.groupBy(*by).agg(F.when(few, 0.0).otherwise(F.coalesce(F.regr_slope(y, x), F.lit(0.0))).alias("slope"), F.when(few, 0.0).otherwise(F.coalesce(F.regr_intercept(y, x), F.avg(y))).alias("base"), F.when(few, float("inf")).otherwise(sse).alias("sse"))
+
+
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation; 0 for fewer than four pairs or without variance."""
     r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
