@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlens.operators import islands
-from gridlens.streaming import sustained
+from gridlens.streaming import bins, sustained
 
 SCHEMA = "entity string, seq long, t long, dev double, bad boolean"
 
@@ -58,3 +58,21 @@ def test_fold_does_not_depend_on_batches(seed):
         more, held = sustained.fold(t[a:b], dev[a:b], bad[a:b], held, 12.0, 4)
         closed += more
     assert (closed, held) == whole
+
+
+@pytest.mark.parametrize("order", [1, -1, 7])
+def test_bins_do_not_depend_on_the_order(rocks, tmp_path, order):
+    rng = np.random.default_rng(3)
+    rows = [("u" if i % 3 else None, int(t), str(i % 2)) for i, t in enumerate(rng.integers(-5_000, 40_000, 200))] + [("u", None, "1"), ("u", 5, None)]
+    rows = rows[::order] if abs(order) == 1 else [rows[i] for i in rng.permutation(len(rows))]
+    for part in (rows[:30], rows[30:90], rows[90:]):
+        rocks.createDataFrame(part, "entity string, t long, kind string").write.mode("append").parquet(f"{tmp_path}/in")
+        found = bins.run_to_end(rocks.readStream.schema("entity string, t long, kind string").parquet(f"{tmp_path}/in"), str(tmp_path), most=5, width=100)
+    want = {}
+    for e in ("u", None):
+        ts = [t for x, t, _ in rows if x == e and t is not None]
+        width = next(100 << k for k in range(40) if max(ts) // (100 << k) - min(ts) // (100 << k) < 5)
+        for x, t, kind in rows:
+            if x == e and t is not None:
+                want[e, t // width * width, width, kind or ""] = want.get((e, t // width * width, width, kind or ""), 0) + 1
+    assert {(r["entity"], r["bin_ms"], r["width_ms"], r["kind"]): r["n"] for r in found.collect()} == want
