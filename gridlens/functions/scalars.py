@@ -88,16 +88,19 @@ REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp"
 
 def html_references(c: Column) -> Column:
     """Named and numeric character references decoded in one pass; unknown ones stay."""
-    pieces = F.split(c, r"(?=&(?:#[0-9]|#[xX][0-9a-fA-F]|[a-zA-Z])[0-9a-zA-Z]*;)|(?<=&[#0-9a-zA-Z]{1,16};)")
+    names = F.create_map(*[F.lit(v) for kv in REFERENCES.items() for v in kv])
 
     def one(x: Column) -> Column:
-        name = F.regexp_extract(x, r"^&([a-zA-Z]+);$", 1)
-        code = F.coalesce(F.conv(F.nullif(F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(x, r"^&#([0-9]{1,7});$", 1), F.lit(""))).cast("long")
+        """What follows an ampersand, with the reference it begins with decoded."""
+        name = F.regexp_extract(x, r"^(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[a-zA-Z]{2,4});", 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).try_cast("long")
         numeric = F.when((code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        named = F.create_map(*[F.lit(v) for kv in REFERENCES.items() for v in kv])[name]
-        return F.coalesce(named, numeric, x)
+        told = F.coalesce(F.when(name != "", names[name]), numeric)
+        return F.coalesce(F.concat(told, F.substring(x, F.length(name) + 2, F.length(x))), F.concat(F.lit("&"), x))
 
-    return F.array_join(F.transform(pieces, one), "")
+    pieces = F.split(c, "&")
+    told = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.when(F.contains(c, F.lit("&")), told).otherwise(c)
 
 
 def html_text(c: Column) -> Column:
