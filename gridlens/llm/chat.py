@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts.
 
 A turn's content is a list of parts: text, image, audio or document. A visitor
-walks the parts in order: text is escaped, every other part becomes an ordered
+walks the parts in order: neighbouring texts are joined and escaped as one, since a control string may be
+cut between them; every other part becomes an ordered
 placeholder such as `<|image:2|>`, its reference is noted as an attachment and
 its expanded token count is added up. The template marks turns, and the control
 strings that occur in a text are escaped reversibly, so the turns can be read
@@ -22,8 +23,9 @@ other than the four named are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,12 +65,14 @@ class Visitor:
     seen: dict = field(default_factory=dict)
     tokens: int = 0
 
-    def visit(self, part: dict, turn: int) -> str:
-        kind = part["type"] or "text"
-        return self.text(part) if kind == "text" else self.attachment(kind, part, turn)
+    def visit(self, parts: list[dict], turn: int) -> str:
+        out = []
+        for kind, run in groupby(parts, lambda p: p["type"] or "text"):
+            out += [self.text(run)] if kind == "text" else [self.attachment(kind, p, turn) for p in run]
+        return "".join(out)
 
-    def text(self, part: dict) -> str:
-        return escape(part["text"] or "")
+    def text(self, run: Iterable[dict]) -> str:
+        return escape("".join(p["text"] or "" for p in run))
 
     def attachment(self, kind: str, part: dict, turn: int) -> str:
         self.seen[kind] = n = self.seen.get(kind, 0) + 1
@@ -85,7 +89,7 @@ def render(turns: list[dict]) -> tuple[str, list[dict], Visitor]:
     for i, turn in enumerate(turns):
         role = turn["role"] or "user"
         head = f"<|turn:{escape_role(role)}|>\n"
-        body = "".join(visitor.visit(p, i) for p in turn["parts"] or [])
+        body = visitor.visit([] if turn["parts"] is None else list(turn["parts"]), i)
         if role == "assistant":
             spans.append({"begin": at + len(head), "stop": at + len(head) + len(body)})
         text = f"{head}{body}<|end|>\n"
@@ -99,10 +103,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def text_parts(text: Column) -> Column:
-    """A plain text as a list of one text part."""
+def text_parts(*texts: Column) -> Column:
+    """Plain texts as a list of text parts."""
     none = F.lit(None)
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), none.cast("string").alias("ref"), none.cast("long").alias("units")))
+    return F.array(*[F.struct(F.lit("text").alias("type"), F.coalesce(t, F.lit("")).alias("text"), none.cast("string").alias("ref"), none.cast("long").alias("units")) for t in texts])
 
 
 def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts: str | Column = "parts") -> DataFrame:

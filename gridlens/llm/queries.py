@@ -20,7 +20,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
-    rows = turns.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    half = F.floor(F.length("text") / 2).cast("int")  # two parts a turn, cut wherever the middle is
+    rows = turns.unionByName(extra).withColumn("parts", chat.text_parts(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))))
     return chat.digests(chat.format_conversations(rows))
 
 
