@@ -436,7 +436,12 @@ def may_repeat(there: DataFrame, keys, places, k: int, length: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, p = (batch.column(c).to_numpy().view(np.uint64) for c in ("key", "p"))
-            yield batch.filter(pa.array(keys.value.has(h) & places.value.has(p))).drop_columns(["p"])
+            some = batch.filter(pa.array(keys.value.has(h) & places.value.has(p))).drop_columns(["p"])
+            if some.num_rows:  # of equal contexts in a batch, only the earliest can be a first one
+                none = some.column("doc").is_null().to_numpy(zero_copy_only=False)
+                order = np.lexsort((some.column("at").to_numpy(), some.column("th").to_numpy(), some.column("doc").fill_null(0).to_numpy(), none))
+                _, first = np.unique(np.array(some.column("c").to_pylist(), dtype="S16")[order], return_index=True)
+                yield some.take(pa.array(np.sort(order[first])))
 
     rows = there.select(F.col("h").alias("key"), F.lit(0).alias("lo"), F.lit(length - k).alias("hi"), "c", "ctx", "a", "doc", "th", "at", F.xxhash64(*PLACE).alias("p"))
     return rows.mapInArrow(run, "key long, lo int, hi int, c binary, ctx binary, a int, doc long, th long, at long")
