@@ -14,7 +14,7 @@ around the seed that keeps `min_identity` counts, if it has `min_words` words.
 Seeds alone lose a repeat whose parts stand first in different documents. So
 every run of `min_words` words that holds a word outside the passages found, and
 whose seeds all have an earlier place, is joined to its own first place in the
-corpus, and aligned from there. (A run with a seed that has no earlier place has
+corpus (a later place in one document: to the place before it), and aligned from there. (A run with a seed that has no earlier place has
 none itself.) Every word of an exact repeat is in a passage.
 
 An alignment works on slices: the words of a chain and MARGIN words to both sides.
@@ -109,6 +109,12 @@ def before(h: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretch_ends(pos: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which places begin or end a stretch of neighbouring places whose places before are neighbours too."""
+    on = (np.diff(pos) == 1) & (np.diff(own) == 1) & (own[:-1] >= 0) if len(pos) else np.empty(0, bool)
+    return (own >= 0) & ~(np.r_[False, on][: len(pos)] & np.r_[on, False][: len(pos)])
+
+
 def repeated(found: DataFrame) -> DataFrame:
     """(seed, first, hi): first place and last document of every seed with two places or more."""
     return found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -282,7 +288,7 @@ def align(a: Slice, b: Slice, pos: list[int], first: list[int], own: bool, k: in
         if run and 0 not in done[p - a.at : p - a.at + run]:
             continue
         x, y = p - a.at, f - b.at
-        if a.words[x : x + k] != b.words[y : y + k] or x + k > len(a.words) or any(s <= p and p + k <= e and fs <= f and f + k <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
+        if a.words[x : x + k] != b.words[y : y + k] or x + k > len(a.words) or any(s <= p and p + (run or k) <= e and fs <= f and f + (run or k) <= fe and abs((p - f) - (s - fs)) <= 2 * edits for s, e, fs, fe, edits in seen):
             continue
         one = around(a, b, p, f, own, min_identity)
         if one is None:
@@ -327,7 +333,9 @@ def _packed(positions: Column) -> Column:
 
 def exact_runs(source: DataFrame, found: DataFrame, met: DataFrame, seen, k: int, window: int, n: int) -> DataFrame:
     """(doc, pos, first_doc, first_pos): runs of n words that no passage of `found` holds whole, with their first place.
-    Runs with a seed that does not repeat (`seen`), or has no earlier place (not in `met`), have none themselves."""
+    Runs with a seed that does not repeat (`seen`), or has no earlier place (not in `met`), have none themselves.
+    Of a run with several such places in a document the first is joined to the corpus, and each later one to the place
+    before it (`own`), of which the first and last of every stretch are given: a word said a thousand times asks once."""
     cuts = spans(found).groupBy(F.col("doc_id")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     hits = met.groupBy(F.col("doc").alias("doc_id")).agg(_packed(F.collect_set("pos")).alias("hits"))
     marks = stored(hits.join(cuts, "doc_id", "left"), "marks")
@@ -364,17 +372,21 @@ def exact_runs(source: DataFrame, found: DataFrame, met: DataFrame, seen, k: int
                     if asked is not None:
                         fits &= within(asked.value, r)
                     p = np.flatnonzero(fits)
-                    parts.append((doc, r[p], p))
+                    own = before(r[p], p)
+                    kept = own < 0 if asked is not None else (own < 0) | stretch_ends(p, own)
+                    parts.append((doc, r[p[kept]], p[kept], own[kept]))
                 if parts:
-                    yield pd.DataFrame({"run": np.concatenate([x[1] for x in parts]).view(np.int64), "doc": np.repeat([x[0] for x in parts], [len(x[2]) for x in parts]).astype(np.int64), "pos": np.concatenate([x[2] for x in parts])})
+                    yield pd.DataFrame({"run": np.concatenate([x[1] for x in parts]).view(np.int64), "doc": np.repeat([x[0] for x in parts], [len(x[2]) for x in parts]).astype(np.int64), "pos": np.concatenate([x[2] for x in parts]), "own": np.concatenate([x[3] for x in parts])})
 
         return find
 
-    schema = "run long, doc long, pos long"
-    asked = stored(source.join(marks.hint("merge"), "doc_id", "left").mapInArrow(text.in_slices(runs(None), schema), schema), "asked")
+    schema = "run long, doc long, pos long, own long"
+    inside = stored(source.join(marks.hint("merge"), "doc_id", "left").mapInArrow(text.in_slices(runs(None), schema), schema), "asked")
+    asked = inside.filter("own < 0")
     least = stored(source.mapInArrow(text.in_slices(runs(bitmap(asked, "run")), schema), schema).groupBy("run").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least")
     forget(marks)
-    return asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    other = asked.join(least, "run").filter("struct(doc, pos) <> first").select("doc", "pos", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    return other.union(inside.filter("own >= 0").select("doc", "pos", F.col("doc").alias("first_doc"), F.col("own").alias("first_pos")))
 
 
 def chained(links: DataFrame, pick, least: int) -> DataFrame:

@@ -462,6 +462,26 @@ def test_substring_passages_whose_parts_stand_first_elsewhere(spark):
     assert {i for i, _ in asked} == {3, 6, 7} and asked <= found and {i for i, _ in found} == {3, 6, 7}
 
 
+def test_substring_passages_of_periodic_texts(spark):
+    """Words and pairs said over and over, whose runs may hold no seed: a few links, and no word of an exact repeat is lost."""
+    rng = random.Random(15)
+    said = [(w, n) for w in ("uno", "due", "tre", "quattro", "cinque sei", "sette otto", "nove dieci", "uno due tre") for n in (70, 170, 400)]
+    texts = [" ".join([*babble(rng, 20), *[w] * n, *babble(rng, 20)]) for w, n in said] + [" ".join(babble(rng, 10) + ["cinque sei"] * 90 + ["uno"] * 90 + babble(rng, 10))]
+    first, asked = {}, set()
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            if first.setdefault(tuple(w[j : j + 50]), (i, j)) != (i, j):
+                asked |= {(i, k) for k in range(j, j + 50)}
+    rows = substrings.passages(docs(spark, texts)).collect()
+    found = {(r["doc_id"], k) for r in rows for k in range(r["start"], r["stop"])}
+    assert asked <= found and len(found - asked) <= len(texts) * 10
+    p = np.array([3, 4, 5, 6, 9, 10, 12])
+    own = np.array([-1, 3, 4, 5, 8, 8, -1])
+    assert substrings.stretch_ends(p, own).tolist() == [False, True, False, True, True, True, False]
+    assert substrings.stretch_ends(p[:0], own[:0]).tolist() == []
+
+
 def test_substring_passages_of_long_texts_and_repeated_ids(spark):
     rng = random.Random(14)
     long = babble(rng, 900)
