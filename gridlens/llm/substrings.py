@@ -542,15 +542,16 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
     A document of which nothing is left goes; one that had no words stays, and so do
     rows of a repeated id whose text is not the one that counts.
     """
-    lists = spans(found).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts__")).withColumnRenamed("doc_id", "id__")
-    cuts = stored(lists.join(repeated_ids(docs, id_col, text_col), "id__", "left"), "cuts")
-    joined = among(docs.withColumn("id__", F.col(id_col).cast("long")), cuts, "id__", "left", most=200_000).drop("id__")
-    ours = F.col("cuts__").isNotNull() & (F.col("mark__").isNull() | (F.col("mark__") == F.xxhash64(F.col(text_col))))
+    id_, cuts_, mark_ = (text.fresh(docs, name) for name in ("id", "cuts", "mark"))
+    lists = spans(found).groupBy(F.col("doc_id").alias("id__")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts_))
+    cuts = stored(lists.join(repeated_ids(docs, id_col, text_col).withColumnRenamed("mark__", mark_), "id__", "left").withColumnRenamed("id__", id_), "cuts")
+    joined = among(docs.withColumn(id_, F.col(id_col).cast("long")), cuts, id_, "left", most=200_000).drop(id_)
+    ours = F.col(cuts_).isNotNull() & (F.col(mark_).isNull() | (F.col(mark_) == F.xxhash64(F.col(text_col))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, places in zip(batch.column(text_col).to_pylist(), batch.column("cuts__").to_pylist(), strict=True):
+            for t, places in zip(batch.column(text_col).to_pylist(), batch.column(cuts_).to_pylist(), strict=True):
                 data = text.encode(t)
                 _, s, e = text.words_of(data)
                 out, at = [], 0
@@ -558,9 +559,9 @@ def cut(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col:
                     out.append(data[at : s[c["start"]]])
                     at = int(e[c["stop"] - 1])
                 texts.append((b"".join(out) + data[at:]).decode("utf-8", "replace"))
-            names = [n for n in batch.schema.names if n != "cuts__"]
+            names = [n for n in batch.schema.names if n != cuts_]
             columns = [pa.array(texts, batch.schema.field(n).type) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(t.strip()) for t in texts], pa.bool_()))
 
-    changed = joined.filter(ours).drop("mark__").mapInArrow(run, docs.schema)
+    changed = joined.filter(ours).drop(mark_).mapInArrow(run, docs.schema)
     return joined.filter(~ours).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(changed)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -85,6 +85,14 @@ def encode(text: str | None) -> bytes:
     return b"" if not isinstance(text, str) else text.encode("utf-8", "surrogatepass")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_key(id_col: Column) -> Column:
     """An id on its way into a pandas frame, where a null would turn whole numbers into floats: as a string."""
     return id_col.cast("long").cast("string")

@@ -27,7 +27,7 @@ the curve's value for no difference; texts of any length are scored whole, windo
 by window. Repeated ids are scored row by row, equal texts get equal scores. Without
 labels of both kinds the score is 0. Null labels are left out, a document
 labelled both ways counts as toxic, and of an id on several rows the greatest text
-is learned from. An empty table gives no rows; columns named score or window_diff are
+is learned from. An empty table gives no rows; columns named score or window_diff, in any case of letters, are
 replaced, all others are carried along as they are.
 """
 
@@ -225,7 +225,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of `docs` that are not named so, with score (double) and window_diff (int) added."""
-    added = [c for c in docs.columns if c not in ("score", "window_diff")]
+    added = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "window_diff")]
     if model is None:
         return docs.select(*added, F.lit(0.0).alias("score"), F.lit(0).alias("window_diff"))
     kept = docs.select(*added)

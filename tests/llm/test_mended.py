@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from gridlens.llm import chat, html
+from gridlens.llm import chat, html, substrings, toxicity
 
 LONG = [f"This is paragraph {i} of the article, and it says at some length what there is to say, with commas, and a full stop. " * 2 for i in range(3)]
 BODY = "".join(f"<p>{x}</p>" for x in LONG)
@@ -69,3 +69,16 @@ def test_control_strings_cut_between_parts(at):
     assert back[0] == ("user", TRICKY)
     assert back[1] == ("assistant", TRICKY[at:] + "<|image:1|>" + TRICKY[:at] + "<" + "<|audio:1|>" + "|end|>")
     assert not any(c in chat.escape(TRICKY) for c in chat.CONTROLS) and len(visitor.attachments) == 2 and len(spans) == 1
+
+
+def test_clashing_columns_of_any_case(spark):
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, words, "a", "b", "c", "d", 5.0, "e"), (2, words + " and more", "f", "g", "h", "i", 6.0, "j")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, id string, CUTS string, cuts__ string, id__ string, Score double, mark string")
+    left = {r["doc_id"]: r.asDict() for r in substrings.cut(table, substrings.passages(table)).collect()}
+    assert left[1] == dict(zip(table.columns, rows[0], strict=True)) and left[2] == dict(zip(table.columns, (2, " and more", *rows[1][2:]), strict=True))
+    model = toxicity.train([(1, "you stupid idiot"), (1, "such a stupid idiot"), (0, "a quiet evening"), (0, "bread and butter")] * 5)
+    for m in (model, None):
+        scored = toxicity.score(table, m)
+        assert [c.lower() for c in scored.columns].count("score") == 1 and scored.count() == 2 and scored.agg({"score": "max"}).first()[0] <= 1
+    assert toxicity.score(table.limit(0), model).count() == 0
