@@ -74,3 +74,14 @@ def budget(df: DataFrame, by: list[str], order: list[str], size: Column, per_row
 def violations(rules: dict[str, Column]) -> Column:
     """Names of the rules that a row breaks."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+
+
+def taken(sources: DataFrame, group: str, order: str, least: int = 3) -> DataFrame:
+    """The ready sources of each group that go on, with the reason `why`: those selected; if there are none,
+    those of score `least` or more; if there are none either, the first by `order`. Columns ready, selected
+    and score; nulls count as false. Three sums of a group are joined back, so a large group is many tasks."""
+    ready, selected, good = (F.coalesce(c, F.lit(False)) for c in (F.col("ready"), F.col("selected"), F.col("score") >= least))
+    sums = sources.filter(ready).groupBy(group).agg(F.max(selected).alias("any_selected"), F.max(good).alias("any_good"), F.min(order).alias("head"))
+    why = F.when(F.col("any_selected"), "chosen").when(F.col("any_good"), "score").otherwise("first")
+    stays = F.when(F.col("any_selected"), selected).when(F.col("any_good"), good).otherwise(F.col(order) == F.col("head"))
+    return sources.filter(ready).join(sums, group).filter(stays).withColumn("why", why).drop("any_selected", "any_good", "head")

@@ -46,3 +46,16 @@ def points(bins: DataFrame) -> DataFrame:
     """x, y, lo, hi for drawing; a missing bound falls back to the mean, rows without a finite mean go."""
     ok = F.col("mean").isNotNull() & ~F.isnan("mean") & (F.abs("mean") < F.lit(float("inf")))
     return bins.filter(ok).select("*", F.col("bin_ms").alias("x"), F.col("mean").alias("y")).withColumn("lo", F.coalesce("lo", "y")).withColumn("hi", F.coalesce("hi", "y"))
+
+
+def halved(bins: DataFrame, entity: list[str], signals: list[str]) -> DataFrame:
+    """Every two neighbouring bins as one (columns n, and <signal>_min, _max and _mean for each signal).
+
+    A signal that one of the two lacks is the other's; means weigh by the rows of the
+    bin, not of the signal, and a bin without a count weighs one. The last bin of an
+    odd number stays.
+    """
+    pair = F.floor((F.row_number().over(Window.partitionBy(*entity).orderBy("bin_ms")) - 1) / 2)
+    n = F.coalesce(F.nullif("n", F.lit(0)), F.lit(1))
+    of = [x for s in signals for x in (F.min(f"{s}_min").alias(f"{s}_min"), F.max(f"{s}_max").alias(f"{s}_max"), (F.sum(F.col(f"{s}_mean") * n) / F.sum(F.when(F.col(f"{s}_mean").isNotNull(), n))).alias(f"{s}_mean"))]
+    return bins.withColumn("pair", pair).groupBy(*entity, "pair").agg(F.min("bin_ms").alias("bin_ms"), F.sum(n).cast("long").alias("n"), *of).drop("pair")

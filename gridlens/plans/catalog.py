@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlens.operators import evidence, forensics, islands, rolling, sampling, segments, series, stats
-from gridlens.plans import bounds, drawn, ingest, inline, reports, streams, texts
+from gridlens.plans import bounds, drawn, ingest, inline, notes, reports, streams, texts
 
 ENTITY, ORDER = ["event_type"], ["t_ms", "event_id"]
 WEEK = "t_ms div 604800000"  # a week of an entity is a task of the rolling rules
@@ -434,6 +434,7 @@ ingest.register(query, table, events, EVENTS, SCORED)
 texts.register(query, table, events, EVENTS)
 reports.register(query, table, events, EVENTS)
 drawn.register(query, table, events, EVENTS, PIECE[len(DAILY) + 2 :], CHORD_ONLY)
+notes.register(query, table, events, EVENTS, QUERIES, SQL)
 
 
 def queries() -> dict:
