@@ -1,7 +1,8 @@
 """Contracts of nested JSON, and the rules that ask more than shape.
 
 A contract is a tree of rules; it becomes one expression over a VARIANT, which
-names every violation by its path. Objects are strict: a key that the contract does not
+names every violation by its path. A rule names its value several times, so values are bound (`bound`)
+and taken from the text once a row, however deep the tree is. Objects are strict: a key that the contract does not
 name is a violation.
 """
 
@@ -17,6 +18,13 @@ from gridlens.functions.scalars import PLACEHOLDERS
 Rule = Callable[[Column, Column], Column]  # (value, path) to the names of violations
 
 
+def bound(value: Column, body: Callable[[Column], Column], like: Column | None = None) -> Column:
+    """`body` of a value that is computed once, though the body names it many times; it is of the type of `like`, names if untold.
+
+    A fold over one value: the item of a transformed list would ask for the types of the whole tree at each row.
+    """
+    return F.aggregate(F.array(value), none() if like is None else like, lambda _, v: body(v))
+
 
 def none() -> Column:
     return F.array().cast("array<string>")
@@ -24,8 +32,8 @@ def none() -> Column:
 
 def kind(v: Column) -> Column:
     """object, list, text, number, flag or null."""
-    s = F.schema_of_variant(v)
-    return F.when(v.isNull(), "missing").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "list").when(s == "STRING", "text").when(s == "BOOLEAN", "flag").when(s == "VOID", "null").otherwise("number")
+    named = lambda s: F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "list").when(s == "STRING", "text").when(s == "BOOLEAN", "flag").when(s == "VOID", "null").otherwise("number")
+    return F.when(v.isNull(), "missing").otherwise(bound(F.schema_of_variant(v), named, F.lit("")))
 
 
 def broken(path: Column, said: str, if_: Column) -> Column:
@@ -39,26 +47,24 @@ def only(wanted: str, v: Column, path: Column, more: Column) -> Column:
 
 
 def text(least: int = 0, most: int = 1_000_000, substantive: bool = False, one_of: list[str] | None = None) -> Rule:
-    def rule(v: Column, path: Column) -> Column:
-        s = v.cast("string")
+    def more(s: Column, path: Column) -> Column:
         found = [broken(path, f"is shorter than {least}", F.length(s) < least)] if least else []
         found.append(broken(path, f"is longer than {most}", F.length(s) > most))
         if substantive:
             found.append(broken(path, "is a placeholder", F.trim(s).rlike(PLACEHOLDERS)))
         if one_of is not None:
             found.append(broken(path, "is none of its values", ~s.isin(one_of)))
-        return only("text", v, path, F.concat(*found))
+        return F.concat(*found)
 
-    return rule
+    return lambda v, path: only("text", v, path, bound(v.cast("string"), lambda s: more(s, path)))
 
 
 def number(least: float | None = None, whole: bool = False) -> Rule:
-    def rule(v: Column, path: Column) -> Column:
-        n = F.try_variant_get(v, "$", "double")
+    def more(n: Column, path: Column) -> Column:
         found = [none()] + ([broken(path, f"is below {least}", n < least)] if least is not None else []) + ([broken(path, "is not whole", n != F.floor(n))] if whole else [])
-        return only("number", v, path, F.concat(*found))
+        return F.concat(*found)
 
-    return rule
+    return lambda v, path: only("number", v, path, bound(F.try_variant_get(v, "$", "double"), lambda n: more(n, path)))
 
 
 def flag() -> Rule:
@@ -70,35 +76,38 @@ def nullable(inner: Rule) -> Rule:
 
 
 def listed(item: Rule, least: int = 0, most: int = 1_000_000) -> Rule:
-    def rule(v: Column, path: Column) -> Column:
-        items = F.try_variant_get(v, "$", "array<variant>")
+    def more(items: Column, path: Column) -> Column:
         size = [broken(path, f"has fewer than {least}", F.size(items) < least)] if least else []
         size.append(broken(path, f"has more than {most}", F.size(items) > most))
         each = F.flatten(F.transform(items, lambda x, i: item(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        return only("list", v, path, F.concat(*size, each))
+        return F.concat(*size, each)
 
-    return rule
+    return lambda v, path: only("list", v, path, bound(F.try_variant_get(v, "$", "array<variant>"), lambda items: more(items, path)))
+
+
+def placed(inner: Rule, path: Column) -> Callable[[Column], Column]:
+    return lambda v: inner(v, path)
 
 
 def shape(required: dict[str, Rule], optional: dict[str, Rule] | None = None) -> Rule:
-    def rule(v: Column, path: Column) -> Column:
-        optional_ = optional or {}
-        keys = F.json_object_keys(F.to_json(v))
+    optional_ = optional or {}
+
+    def more(v: Column, keys: Column, path: Column) -> Column:
         unknown = F.transform(F.array_except(keys, F.array(*[F.lit(k) for k in [*required, *optional_]])), lambda k: F.concat(path, F.lit("."), k, F.lit(" is unknown")))
         found = [unknown]
         for key, inner in [*required.items(), *optional_.items()]:
             own, at = F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(path, F.lit(f".{key}"))
             missing = F.array(F.concat(at, F.lit(" is missing"))) if key in required else none()
-            found.append(F.when(F.array_contains(keys, key), inner(own, at)).otherwise(missing))
-        return only("object", v, path, F.concat(*found))
+            found.append(F.when(F.array_contains(keys, key), bound(own, placed(inner, at))).otherwise(missing))
+        return F.concat(*found)
 
-    return rule
+    return lambda v, path: only("object", v, path, bound(F.json_object_keys(F.to_json(v)), lambda keys: more(v, keys, path)))
 
 
 def violations(json: Column, contract: Rule) -> Column:
     """Names of all violations, in order; a text that is no JSON has one. Null is no JSON."""
-    v = F.try_parse_json(json)
-    return F.when(v.isNull(), F.array(F.lit("$ is no JSON"))).otherwise(F.array_sort(contract(v, F.lit("$"))))
+    said = lambda v: F.when(v.isNull(), F.array(F.lit("$ is no JSON"))).otherwise(F.array_sort(contract(v, F.lit("$"))))
+    return bound(F.try_parse_json(json), said)
 
 
 def truncated(json: Column, key: str, most: int) -> tuple[Column, Column]:

@@ -84,3 +84,12 @@ def test_containment_against_all_pairs(spark):
     ts = spark.createDataFrame([(t,) for t in texts], "t string")
     found = {r["i"] for r in contracts.uncontained(df, ts, "f", "t").collect()}
     assert found == {i for i, f in enumerate(findings) if f is not None and f.strip(" ") and not any(t is not None and f.strip(" ")[:40] in t for t in texts)}
+
+
+def test_contract_takes_a_value_from_its_text_once(spark):
+    """However deep the contract is and however often its rules name a value."""
+    rule = shape({"a": shape({"b": nullable(shape({"c": number(0, whole=True), "d": text(1, 9, substantive=True)})), "e": listed(text(1), 1, 3)})})
+    df = spark.createDataFrame([('{"a":{"b":{"c":-1.5,"d":"TBD"},"e":["x",2]}}',)], "j string").select(contracts.violations(F.col("j"), rule).alias("v"))
+    assert df.collect()[0]["v"] == ["$.a.b.c is below 0", "$.a.b.c is not whole", "$.a.b.d is a placeholder", "$.a.e[1] is no text"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse") == 1 and plan.count("$['a']") == 1 and plan.count("$['c']") == 1
