@@ -1,6 +1,7 @@
 """Worked cases of the rules: sustained runs, retention, anchors, knees, cells, sources."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -269,3 +270,22 @@ def test_flag_at(spark):
     asks = spark.createDataFrame([("u", 55_000), ("u", 60_000), ("u", 240_000), ("u", 300_000), ("w", 0), ("u", 275_000)], "e string, at long")
     found = {(r["e"], r["at"]): r["q"] for r in bounded.flag_at(asks, samples, ["e"], "at", "t", "q").collect()}
     assert found == {("u", 55_000): "first", ("u", 60_000): "second", ("u", 240_000): "second", ("u", 300_000): "far", ("w", 0): None, ("u", 275_000): "second"}
+
+
+def test_flag_at_takes_many_tasks_and_one_pass(spark):
+    """Against all pairs, on chunks shorter than the gaps; no frame runs to the end of an entity from each of its rows."""
+    rng = random.Random(3)
+    samples = [(e, rng.choice([None, *range(0, 4000, 7)]) if e else rng.randrange(0, 9000), rng.randrange(100)) for e in ("u", "v", None) for _ in range(60)]
+    asks = [(e, i, rng.choice([None, *range(-500, 5000, 13)])) for e in ("u", "v", None, "w") for i in range(80)]
+
+    def want(e, at):
+        own = [(t, q) for k, t, q in samples if k == e and t is not None]
+        if not own or at is None:
+            return min(own)[1] if own else None
+        near = [s for s in own if abs(s[0] - at) < 40]
+        late, soon = min((s for s in own if s[0] >= at), default=None), max((s for s in own if s[0] <= at), default=None)
+        return (min(near) if near else late if soon is None else soon if late is None or at - soon[0] <= late[0] - at else late)[1]
+
+    found = bounded.flag_at(spark.createDataFrame(asks, "e string, i long, at long"), spark.createDataFrame(samples, "e string, t long, q long"), ["e"], "at", "t", "q", radius=40, chunk_ms=100)
+    assert {(r["e"], r["i"]): r["q"] for r in found.collect()} == {(e, i): want(e, at) for e, i, at in asks}
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
