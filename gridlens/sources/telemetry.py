@@ -3,8 +3,8 @@
 Lines keep the place they come from: (path, block, at), the byte its split begins at
 and the place in the split. A line feed is never part of a longer character in
 UTF-8 or EUC-KR, so whether a file is UTF-8 is the conjunction over its lines, whatever splits
-they are in: a partial aggregate, over all bytes. Headers are few rows and meet the data rows in a join
-on ranges of places; nothing puts a file in order.
+they are in: a partial aggregate, over all bytes. Headers are carried to the data rows along stretches
+of lines; nothing puts a file in order.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from gridlens.functions.scalars import number, timestamp_ms
 from gridlens.operators import rolling, segments
 from gridlens.sources.logs import CELLS, cells, code_alarm, quality_alarm, status_alarm
 
-FEW = 100_000  # files, or headers, of at most so many are broadcast (some 100 bytes each)
+FEW = 100_000  # files of at most so many are broadcast (some 100 bytes each)
+STRETCH = 1 << 17  # lines along which a header is carried by one task
 # The first column of record rows, and by dialect the minutes east of UTC of times without zone.
 OFFSET, EAST = 4, {"record": 600, "cells": 0, "generic": 0}
 # Columns by their role, first choice first.
@@ -120,19 +121,18 @@ def headed(found: DataFrame, told: DataFrame, few: int = FEW) -> DataFrame:
     return own.select("path", "block", "at", "names", cut(F.col("value"), F.col("delimiter")).alias("cells"))
 
 
-def records(found: DataFrame, few: int = FEW) -> DataFrame:
+def records(found: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """path, block, at, names, cells of the D rows of record files, by the last I row before each.
 
-    An I row holds for the range of places up to the next one of its file; ranges are few and are broadcast while they are.
+    The last header is carried along the lines, in stretches of so many lines that are tasks; rows are not paired with headers.
     """
-    kind = found.filter(F.col("value").startswith("I,")).select("path", "block", "at", F.coalesce(cells(F.col("value")), F.array().cast("array<string>")).alias("c"))
-    own = F.expr(f"slice(c, {OFFSET + 1}, greatest(size(c) - {OFFSET}, 0))")
-    ranges = kind.select("path", F.struct("block", "at").alias("from__"), F.lead(F.struct("block", "at")).over(Window.partitionBy("path").orderBy("block", "at")).alias("to__"), own.alias("names"))
-    data = found.filter(F.col("value").startswith("D,"))
-    at = F.struct("block", "at")
-    met = data.join(F.broadcast(ranges) if ranges.count() <= few else ranges, "path").filter((at > F.col("from__")) & (F.col("to__").isNull() | (at < F.col("to__"))))
-    whole = met.select("path", "block", "at", "names", cells(F.col("value")).alias("c"))
-    return whole.select("path", "block", "at", "names", F.when(F.col("c").isNotNull(), own).alias("cells"))
+    own = lambda c: F.slice(c, F.lit(OFFSET + 1), F.greatest(F.size(c) - OFFSET, F.lit(0)))
+    typed = found.filter(F.col("value").startswith("I,") | F.col("value").startswith("D,")).select("path", "block", "at", "value")
+    header = F.when(F.col("value").startswith("I,"), own(F.coalesce(cells(F.col("value")), F.array().cast("array<string>"))))
+    met = segments.latest(typed, ["path"], ["block", "at"], F.struct("block", F.expr(f"at div {stretch}").alias("part")), names=header)
+    data = met.filter(F.col("value").startswith("D,") & F.col("names").isNotNull())
+    # a line is cut once, however many of its cells are asked for
+    return rolling.once(data, c__=cells(F.col("value"))).select("path", "block", "at", "names", F.when(F.col("c__").isNotNull(), own(F.col("c__"))).alias("cells"))
 
 
 def field(name: str) -> Column:

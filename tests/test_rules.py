@@ -289,3 +289,21 @@ def test_flag_at_takes_many_tasks_and_one_pass(spark):
     found = bounded.flag_at(spark.createDataFrame(asks, "e string, i long, at long"), spark.createDataFrame(samples, "e string, t long, q long"), ["e"], "at", "t", "q", radius=40, chunk_ms=100)
     assert {(r["e"], r["i"]): r["q"] for r in found.collect()} == {(e, i): want(e, at) for e, i, at in asks}
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_headers_are_carried_along_stretches(spark, tmp_path):
+    """A header for every few rows, none for the first, one that is malformed; no join of rows with ranges of headers."""
+    from gridlens.sources import telemetry
+
+    lines, want, names = ["C,x", "D,a,b,1,lost"], [], None
+    for i in range(120):
+        if i % 7 in (0, 1) and i != 50:
+            names = None if i == 14 else [f"N{i}", "M"]
+            lines.append('I,a,b,1,"open' if i == 14 else f"I,a,b,1,N{i},M")
+        lines.append(f'D,a,b,1,{i},"open' if i % 11 == 0 else f"D,a,b,1,{i},m")
+        want.append((names or [], None if i % 11 == 0 else [str(i), "m"]))
+    (tmp_path / "one.csv").write_text("\n".join(lines) + "\n")
+    rows = telemetry.records(telemetry.lines(spark, str(tmp_path)), stretch=10)
+    assert [(r["names"], r["cells"]) for r in rows.orderBy("block", "at").collect()] == want
+    joins = [s for s in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in s]
+    assert joins and not any(">" in s.replace("<=>", "") or "<" in s.replace("<=>", "") for s in joins)
