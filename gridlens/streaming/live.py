@@ -7,9 +7,12 @@ being late.
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +21,41 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from gridlens.operators.rolling import BASELINE, DEVIATION, FLOOR, LEAST, MAD_SCALE, Z_ALARM
 
 OUT = "event_id long, event_type string, base_n long, z_robust double, z_std double, stat_alarm boolean"
+NAMES = [c.split()[0] for c in OUT.split(", ")]
 STATE = "values array<double>"
+# Rows of an entity that are sorted in memory, and rows of a frame put out or read back.
+RUN, PIECE = 500_000, 10_000
+ROW = np.dtype([("t_ms", "f8"), ("event_id", "i8"), ("value", "f8")])
+
+
+def sorted_run(frames: list[pd.DataFrame]) -> np.ndarray:
+    whole = np.empty(sum(map(len, frames)), ROW)
+    for c in ROW.names:
+        whole[c] = np.concatenate([f[c].astype("i8" if c == "event_id" else "f8").to_numpy() for f in frames])
+    whole["t_ms"][np.isnan(whole["t_ms"])] = np.inf  # rows without a time come last
+    return whole[np.lexsort((whole["event_id"], whole["t_ms"]))]
+
+
+def read_back(path: str, n: int) -> Iterator[tuple]:
+    with open(path, "rb") as f:
+        for _ in range(0, n, PIECE):
+            yield from np.fromfile(f, ROW, PIECE).tolist()
+
+
+def in_order(frames: Iterator[pd.DataFrame], run: int = RUN) -> Iterator[tuple]:
+    """(t_ms, event_id, value) of all frames by time and id; beyond `run` rows, sorted runs wait on local disk and are merged."""
+    held, n, runs = [], 0, []
+    with tempfile.TemporaryDirectory() as at:
+        for frame in frames:
+            held.append(frame[list(ROW.names)])
+            n += len(frame)
+            if n >= run:
+                runs.append((f"{at}/{len(runs)}", n))
+                sorted_run(held).tofile(runs[-1][0])
+                held, n = [], 0
+        last = sorted_run(held) if held else np.empty(0, ROW)
+        tail = (r for i in range(0, len(last), PIECE) for r in last[i : i + PIECE].tolist())
+        yield from heapq.merge(*[read_back(*r) for r in runs], tail, key=lambda r: r[:2])
 
 
 class RollingProcessor(StatefulProcessor):
@@ -29,9 +66,8 @@ class RollingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         held = list(self.state.get()[0]) if self.state.exists() else []
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["t_ms", "event_id"], kind="stable")
         out = []
-        for event_id, value in zip(frame["event_id"], frame["value"], strict=True):
+        for _, event_id, value in in_order(rows):
             z = zs = None
             alarm = False
             if held:
@@ -42,8 +78,11 @@ class RollingProcessor(StatefulProcessor):
                 alarm = len(held) >= LEAST and abs(value - mid) >= DEVIATION and (z >= Z_ALARM or zs >= Z_ALARM)
             out.append((int(event_id), key[0], len(held), z, zs, alarm))
             held = [*held, float(value)][-BASELINE:]
+            if len(out) == PIECE:
+                yield pd.DataFrame(out, columns=NAMES)
+                out = []
         self.state.update((held,))
-        yield pd.DataFrame(out, columns=["event_id", "event_type", "base_n", "z_robust", "z_std", "stat_alarm"])
+        yield pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass

@@ -1,11 +1,12 @@
 """Streams against batch operators: windows over micro-batches, silence, the end."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from gridlens.operators import islands
-from gridlens.streaming import bins, sustained
+from gridlens.streaming import bins, live, sustained
 
 SCHEMA = "entity string, seq long, t long, dev double, bad boolean"
 
@@ -76,3 +77,14 @@ def test_bins_do_not_depend_on_the_order(rocks, tmp_path, order):
             if x == e and t is not None:
                 want[e, t // width * width, width, kind or ""] = want.get((e, t // width * width, width, kind or ""), 0) + 1
     assert {(r["entity"], r["bin_ms"], r["width_ms"], r["kind"]): r["n"] for r in found.collect()} == want
+
+
+def test_rows_of_a_micro_batch_are_taken_in_order_in_bounded_runs(monkeypatch):
+    """More rows than a run holds: none is sorted with more than a run and a frame in memory."""
+    rng = np.random.default_rng(4)
+    rows = [(int(t), int(i), float(v)) for t, i, v in zip(rng.integers(0, 40, 1000), rng.permutation(1000), rng.normal(size=1000), strict=True)]
+    frames = [pd.DataFrame(rows[k : k + 30], columns=["t_ms", "event_id", "value"]) for k in range(0, 1000, 30)]
+    sizes, sort = [], live.sorted_run
+    monkeypatch.setattr(live, "sorted_run", lambda held: sizes.append(sum(map(len, held))) or sort(held))
+    assert list(live.in_order(iter(frames), run=100)) == sorted(rows) and max(sizes) <= 130 and len(sizes) > 5
+    assert list(live.in_order(iter(frames))) == sorted(rows) and list(live.in_order(iter([]))) == []
