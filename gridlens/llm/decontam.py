@@ -262,6 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         index = Index([(r["i"], r["t"]) for r in rows], rate, min_item_words, walks)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            text.let_go()
             for batch in batches:
                 h, at = text.batch_words([plain(t) for t in batch["text"]])
                 ids = text.exact(batch["doc_id"])

@@ -21,7 +21,6 @@ into full windows as it comes. Empty tables give no rows. Other columns are igno
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridlens.llm.text import as_key, exact, longs
+from gridlens.llm.text import as_key, exact, held, longs
 
 CAPACITY = 4096
 END_ID = 2
@@ -126,10 +125,9 @@ class Encoder:
         return np.frombuffer(ids + _END, "<u4")
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: later tasks find the words of earlier ones."""
-    return Encoder(path)
+    """One for each Python worker, until a task of another operator comes: later tasks find the words of earlier ones."""
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 class Packer:

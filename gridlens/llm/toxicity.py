@@ -46,6 +46,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from gridlens.llm.text import let_go
+
 LEVEL = 3
 #: a difference is counted in bytes saved per so many bytes of window.
 SHARE = 20
@@ -232,6 +234,7 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     schema = StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("window_diff", IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         far = _cache.get(model.key)
         if far is None:
             _cache.clear()
