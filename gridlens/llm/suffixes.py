@@ -399,7 +399,8 @@ def verdicts(rows: DataFrame, length: int) -> DataFrame:
 def compared(work: DataFrame, sizes: DataFrame, length: int, most: int) -> DataFrame:
     """verdicts of contexts dealt by `key`, where `sizes` (key, n, wide) has the keys of two or more.
 
-    A key of more than `most` is split by longer shared strings; there are at most rows / most of them.
+    A key of more than `most` is split by longer shared strings; there are at most rows / most of them. What a context
+    shares whole with an earlier one leaves at each split, so that of a passage only its edges are split on.
     """
     kept = ["key", "lo", "hi", "c", "ctx", "a", "doc", "th", "at"]
     found, spent = [], []
@@ -412,17 +413,33 @@ def compared(work: DataFrame, sizes: DataFrame, length: int, most: int) -> DataF
         found.append(stored(same_window(among(~F.col("wide")), length), "verdicts"))
         # The windows with lo to hi bytes before the seed share the string from lo bytes before it to length - hi after it.
         halves = F.expr("array(struct(lo, (lo + hi) div 2 as hi), struct((lo + hi) div 2 + 1 as lo, hi))")
-        cut = among(F.col("wide")).withColumn("p", F.explode(halves)).withColumns({"lo": F.col("p.lo").cast("int"), "hi": F.col("p.hi").cast("int")})
-        holds = cut.filter(F.greatest("lo", F.lit(length) - F.length("ctx") + F.col("a")) <= F.least("hi", "a"))
+        low, high = (lambda lo: F.greatest(lo, F.lit(length) - F.length("ctx") + F.col("a"))), (lambda hi: F.least(hi, "a"))
+        held = among(F.col("wide")).withColumn("p", F.explode(F.filter(halves, lambda p: low(p["lo"]) <= high(p["hi"])))).withColumns({"lo": F.col("p.lo").cast("int"), "hi": F.col("p.hi").cast("int")})
         key = F.xxhash64("key", "lo", "hi", F.expr(f"substring(ctx, a - lo + 1, lo + {length} - hi)"))
-        work = stored(holds.withColumn("key", key).select(kept), "split")
+        cut = stored(held.withColumn("key", key).withColumns({"low": low("lo"), "high": high("hi")}).select(*kept, "low", "high"), "cut")
+        split = stored(twins(cut, length), "split")
+        forget(cut)
+        found.append(split.filter("twin").select(*PLACE, F.col("low").alias("least"), F.col("high").alias("most")))
+        work = split.filter("not twin").select(kept)
         sizes = stored(work.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("hi") > F.col("lo")).alias("wide")).filter("n > 1"), "sizes")
-        spent += [work, sizes]
+        spent += [split, sizes]
     out = stored(reduce(DataFrame.unionByName, found).groupBy(*PLACE).agg(F.min("least").alias("least"), F.max("most").alias("most")), "verdict")
-    forget(*found, *spent)
+    forget(*[t for t in found if hasattr(t, "stored_at")], *spent)
     return out
 
 
+def twins(rows: DataFrame, length: int) -> DataFrame:
+    """`rows` with `twin`: whether an earlier context has equal bytes in all windows with `low` to `high` bytes before the seed.
+
+    Then all those windows repeat, and only the earliest context goes on: a range that lies
+    within a shared passage is one row from then on, whoever holds it.
+    """
+    by = ["key", "low", "high", "w"]
+    placed = rows.withColumn("w", F.expr(f"substring(ctx, a - high + 1, {length} + high - low)")).withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "th", F.col("at") + F.col("a")))
+    first = placed.groupBy(*by).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return placed.join(first, by, "left").withColumn("twin", F.coalesce(F.col("place") > F.col("first"), F.lit(False))).drop("w", "place", "first")
+
+
 def same_window(rows: DataFrame, length: int) -> DataFrame:
     """verdicts where one window of each context is left: all but the earliest context with its bytes."""
     windows = rows.withColumn("w", F.expr(f"substring(ctx, a - lo + 1, {length})")).withColumn("place", F.struct(F.col("doc").isNull().alias("none"), "doc", "th", F.col("at") + F.col("a")))

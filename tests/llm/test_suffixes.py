@@ -68,6 +68,24 @@ def test_one_line_in_many_texts_is_split_and_found(spark):
     assert found(spark, rows, most=4) == plain(hashed(spark, rows), 100)
 
 
+def test_a_range_within_a_shared_passage_is_split_once(spark, monkeypatch):
+    """The texts share a passage, and a seed at its edge has a context of its own in each: the windows
+    within the passage are one row after the first split and not a row for each text and window."""
+    rng = np.random.default_rng(12)
+    say = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, made, stored = say(170), [], suffixes.stored
+    rows = [(i, say(60) + passage + say(60)) for i in range(80)]
+
+    def counted(df, name):
+        table = stored(df, name)
+        made.append(table.count() if name == "split" else 0)
+        return table
+
+    monkeypatch.setattr(suffixes, "stored", counted)
+    assert found(spark, rows, most=4) == plain(hashed(spark, rows), 100)
+    assert 0 < sum(made) <= 25 * len(rows)
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
 
