@@ -33,6 +33,16 @@ def test_query_equals_sql(spark, duck, name):
     assert rows([tuple(x) for x in df.collect()], df.columns) == rows(r.fetchall(), r.columns)
 
 
+@pytest.mark.parametrize("name", ["grid_figures", "figure_points"])
+def test_figures_of_many_entities_equal_sql(spark, tmp_path, name):
+    """Sixty event types, and small values without a type: all are compared or drawn."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (CASE WHEN value >= 5 THEN event_type || user_id % 12 END AS event_type) FROM '/root/testdata/sf0.01/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df, r = catalog.queries()[name](spark, str(tmp_path)), c.sql(catalog.oracle_sql()[name])
+    assert rows([tuple(x) for x in df.collect()], df.columns) == rows(r.fetchall(), r.columns)
+
+
 def test_stream_equals_batch(spark):
     live = {r["event_id"]: r for r in catalog.queries()["stream_equals_batch"](spark, SF).collect()}
     batch = {r["event_id"]: r for r in catalog.scored(spark, SF).collect()}
